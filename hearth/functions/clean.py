@@ -36,8 +36,8 @@ STATE_USE_TYPES = {
     "Single Family": "HOUSE", "Two Family": "HOUSE", "Three Family": "HOUSE",
     "Condo": "CONDO", "Apartment": "APARTMENT", "Townhouse": "TOWNHOUSE",
 }
-# Tokens a CSV reader should treat as missing (the reference's reader default
-# list); Spark's CSV reader knows only one ``nullValue``.
+# Tokens pandas' CSV reader treats as missing by default (the reference's
+# reader); Spark's CSV reader knows only one ``nullValue``.
 MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
     "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
@@ -53,19 +53,25 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def strip_ws(c: Column | str) -> Column:
-    """Remove leading/trailing whitespace of any kind (``trim`` drops only spaces)."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+# Characters ``strip`` removes: ASCII whitespace (``trim`` alone drops only
+# spaces).
+WHITESPACE = " \t\n\r\f\x0b"
 
 
-def _finite(d: Column) -> Column:
-    return F.when(~F.isnan(d) & (F.abs(d) < F.lit(float("inf"))), d)
+def strip_ws(c: Column | str) -> Column:
+    """Remove leading/trailing whitespace of any kind."""
+    return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
 def parse_double(c: Column | str) -> Column:
-    """Guarded text -> double; NULL for non-numbers and non-finite values."""
+    """Guarded text -> double; NULL for non-numbers and non-finite values.
+
+    The pattern admits no NaN/Infinity words, so only an out-of-range
+    exponent (``1e400``) can give a non-finite value; it is dropped.
+    """
     s = strip_ws(c)
-    return _finite(F.when(s.rlike(NUMBER_RE), s.try_cast("double")))
+    d = F.when(s.rlike(NUMBER_RE), s.try_cast("double"))
+    return F.when(F.abs(d) < F.lit(float("inf")), d)
 
 
 def clean_int(c: Column | str) -> Column:

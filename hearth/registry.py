@@ -60,9 +60,15 @@ REPORTS: dict[str, Query] = {
 }
 
 
+def _ops() -> dict[str, Query]:
+    from hearth import registry_ops
+    return {name: _q(fn) for name, fn in registry_ops.OPS.items()}
+
+
 def queries() -> dict[str, Query]:
-    return dict(REPORTS)
+    return {**REPORTS, **_ops()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return P.queries()
+    from hearth import oracle_ops
+    return {**P.queries(), **oracle_ops.queries()}
