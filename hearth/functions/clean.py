@@ -66,24 +66,26 @@ def strip_ws(c: Column | str) -> Column:
 def parse_double(c: Column | str) -> Column:
     """Guarded text -> double; NULL for non-numbers and non-finite values.
 
-    The pattern admits no NaN/Infinity words, so only an out-of-range
-    exponent (``1e400``) can give a non-finite value; it is dropped.
+    ``regexp_extract`` returns the whole text when it matches the number
+    pattern and '' otherwise (which casts to NULL), so the text is scanned
+    once; CASE branches would hide repeated sub-expressions from Spark's
+    common-subexpression elimination. The pattern admits no NaN/Infinity
+    words, so only an out-of-range exponent (``1e400``) can give a
+    non-finite value; it is dropped.
     """
-    s = strip_ws(c)
-    d = F.when(s.rlike(NUMBER_RE), s.try_cast("double"))
+    d = F.regexp_extract(strip_ws(c), NUMBER_RE, 0).try_cast("double")
     return F.when(F.abs(d) < F.lit(float("inf")), d)
 
 
 def clean_int(c: Column | str) -> Column:
     """Drop commas, strip, parse as a number, truncate toward zero -> INT."""
-    d = parse_double(F.regexp_replace(_c(c), ",", ""))
-    return d.try_cast("int")
+    return parse_double(F.translate(_c(c), ",", "")).try_cast("int")
 
 
 def clean_price(c: Column | str) -> Column:
     """Drop ``$`` and commas, strip, parse; positive values only -> DOUBLE."""
-    d = parse_double(F.regexp_replace(_c(c), r"[$,]", ""))
-    return F.when(d > 0, d)
+    d = F.regexp_extract(strip_ws(F.translate(_c(c), "$,", "")), NUMBER_RE, 0).try_cast("double")
+    return F.when((d > 0) & (d < F.lit(float("inf"))), d)
 
 
 def clean_zip(c: Column | str) -> Column:
@@ -118,12 +120,30 @@ DEFAULT_DATE_FORMATS = (
     "MM/dd/yyyy hh:mm:ss a",
     "M/d/yyyy",
 )
+# Text shape of each known format. A failed parse is costly (the parser
+# raises internally), so a format is only tried on text of its shape.
+_D = r"[0-9]{1,2}"
+FORMAT_SHAPES = {
+    "yyyy-MM-dd": rf"^[0-9]{{4}}-{_D}-{_D}$",
+    "yyyy-MM-dd HH:mm:ss": rf"^[0-9]{{4}}-{_D}-{_D} {_D}:[0-9]{{2}}:[0-9]{{2}}$",
+    "yyyy-MM-dd'T'HH:mm:ss": rf"^[0-9]{{4}}-{_D}-{_D}T{_D}:[0-9]{{2}}:[0-9]{{2}}$",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS":
+        rf"^[0-9]{{4}}-{_D}-{_D}T{_D}:[0-9]{{2}}:[0-9]{{2}}\.[0-9]{{3}}$",
+    "MM/dd/yyyy": rf"^{_D}/{_D}/[0-9]{{4}}$",
+    "MM/dd/yyyy HH:mm:ss": rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}:[0-9]{{2}}$",
+    "MM/dd/yyyy hh:mm:ss a": rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}:[0-9]{{2}} [AaPp][Mm]$",
+    "M/d/yyyy": rf"^{_D}/{_D}/[0-9]{{4}}$",
+}
 
 
 def parse_timestamp(c: Column | str, formats: Iterable[str] = DEFAULT_DATE_FORMATS) -> Column:
     """First format that parses wins; no format parses -> NULL (TIMESTAMP_NTZ)."""
     s = strip_ws(c)
-    tries = [F.try_to_timestamp(s, F.lit(f)) for f in formats]
+    tries = []
+    for f in formats:
+        t = F.try_to_timestamp(s, F.lit(f))
+        shape = FORMAT_SHAPES.get(f)
+        tries.append(F.when(s.rlike(shape), t) if shape else t)
     return F.coalesce(*tries).cast("timestamp_ntz")
 
 

@@ -26,6 +26,7 @@ from hearth.functions import expr as X
 from hearth.operators import joins as J
 from hearth.operators.dedup import keep_first
 from hearth.operators.keys import dense_keys
+from hearth.operators.partitioning import spread_small_input
 from hearth.operators.reshape import first_metrics, melt, month_columns
 from hearth.sources import literal
 
@@ -35,6 +36,7 @@ MIN_PRICE = 50000
 # E4: city sales ------------------------------------------------------------
 def clean_city_sales(raw: DataFrame, min_price: float = MIN_PRICE) -> DataFrame:
     """Typed city sales that pass the quality filter (price, type, zip, date)."""
+    raw = spread_small_input(raw)
     price = C.clean_price("sale_price")
     zip_c = C.clean_zip("zip_code")
     ptype = C.building_type("building_class_category")
@@ -147,6 +149,7 @@ def price_history(sales: DataFrame) -> DataFrame:
 # E5: state sales -----------------------------------------------------------
 def clean_state_sales(raw: DataFrame, min_price: float = MIN_PRICE) -> DataFrame:
     """Typed state sales: price above minimum, date and use type present."""
+    raw = spread_small_input(raw)
     price = C.parse_number("saleamount")
     assessed = C.parse_number("assessedvalue")
     typed = raw.select(
@@ -227,7 +230,7 @@ def _borough_id(df: DataFrame, col: str, borough: DataFrame) -> DataFrame:
 
 def housing_violations(raw: DataFrame, borough: DataFrame) -> DataFrame:
     """Violations with a parsed inspection date and id (others dropped)."""
-    j = _borough_id(raw, "boro", borough)
+    j = _borough_id(spread_small_input(raw), "boro", borough)
     out = j.select(
         F.col("violationid").cast("string").alias("violation_id"),
         C.clean_zip("zip").alias("zip_code"),
@@ -244,7 +247,7 @@ def housing_violations(raw: DataFrame, borough: DataFrame) -> DataFrame:
 
 
 def service_requests(raw: DataFrame, borough: DataFrame) -> DataFrame:
-    j = _borough_id(raw, "borough", borough)
+    j = _borough_id(spread_small_input(raw), "borough", borough)
     return j.select(
         F.col("unique_key").cast("string").alias("request_id"),
         C.parse_timestamp("created_date").alias("created_date"),
