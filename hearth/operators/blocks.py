@@ -8,16 +8,19 @@ shifted by the total of the blocks before it (a table of one row per block).
 A hot group simply spans many blocks.
 
 The block id is taken from the partition index right after the range
-shuffle and the tagged rows are checkpointed to the shared checkpoint folder
-before use, so a recomputed task can never see a different split.
+shuffle, and the tagged rows are written as Parquet under the shared
+checkpoint folder (``spark.checkpoint.dir``) and read back before use, so a
+recomputed task can never see a different split and the lineage is cut.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.session import checkpoint_dir
+from hearth.session import scratch_path
 
 BLOCK = "_blk"
 
@@ -26,10 +29,19 @@ def range_blocks(df: DataFrame, order: list[Column | str],
                  partitions: int | None = None) -> DataFrame:
     """``df`` plus a ``_blk`` column; blocks are contiguous in ``order``."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     tagged = df.repartitionByRange(n, *order).withColumn(BLOCK, F.spark_partition_id())
-    return tagged.checkpoint(eager=True)
+    return stage(tagged, "blocks")
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back: later branches reuse the rows instead of recomputing them,
+    and the lineage is cut (a lost executor re-reads, it does not re-derive)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def block_offsets(blocks: DataFrame, group: list[str], weight: Column) -> DataFrame:

@@ -18,3 +18,19 @@ def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> Data
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)
+
+
+def keep_valid(df: DataFrame, ok) -> DataFrame:
+    """Rows of ``df`` for which ``ok`` holds, tested on ``df``'s own columns.
+
+    ``df.where(ok)`` lets the optimizer push the predicate below the
+    projection that computed those columns, re-inlining every cleaner into
+    the filter (each regex/date parse then runs twice per row) and past a
+    round-robin spread into the scan task. Emitting the row through a
+    generator (``inline`` of a zero- or one-element array) keeps the test on
+    the computed values: each cleaner runs once, after the spread.
+    """
+    from pyspark.sql import functions as F
+    cols = [F.col(c) for c in df.columns]
+    return df.select(F.inline(F.when(ok, F.array(F.struct(*cols)))
+                              .otherwise(F.array())))

@@ -24,9 +24,10 @@ from hearth import schemas as S
 from hearth.functions import clean as C
 from hearth.functions import expr as X
 from hearth.operators import joins as J
+from hearth.operators.blocks import stage
 from hearth.operators.dedup import keep_first
 from hearth.operators.keys import dense_keys
-from hearth.operators.partitioning import spread_small_input
+from hearth.operators.partitioning import keep_valid, spread_small_input
 from hearth.operators.reshape import first_metrics, melt, month_columns
 from hearth.sources import literal
 
@@ -55,9 +56,10 @@ def clean_city_sales(raw: DataFrame, min_price: float = MIN_PRICE) -> DataFrame:
         price.alias("sale_price"),
         date.alias("sale_date"),
         X.price_per_sqft(price.cast(S.MONEY), gross).alias("price_per_sqft"))
-    return typed.where(F.col("sale_price").isNotNull() & (F.col("sale_price") > min_price)
-                       & F.col("property_type").isNotNull() & F.col("zip_code").isNotNull()
-                       & F.col("sale_date").isNotNull())
+    return keep_valid(typed, F.col("sale_price").isNotNull()
+                      & (F.col("sale_price") > min_price)
+                      & F.col("property_type").isNotNull() & F.col("zip_code").isNotNull()
+                      & F.col("sale_date").isNotNull())
 
 
 def city_rejects(raw: DataFrame, min_price: float = MIN_PRICE) -> DataFrame:
@@ -158,8 +160,8 @@ def clean_state_sales(raw: DataFrame, min_price: float = MIN_PRICE) -> DataFrame
         C.parse_date("daterecorded").alias("sale_date"),
         C.parse_number("salesratio").alias("sales_ratio"),
         C.state_use_type("propertytype").alias("property_type"))
-    return typed.where((F.col("sale_price") > min_price) & F.col("sale_date").isNotNull()
-                       & F.col("property_type").isNotNull())
+    return keep_valid(typed, (F.col("sale_price") > min_price)
+                      & F.col("sale_date").isNotNull() & F.col("property_type").isNotNull())
 
 
 def municipalities(state: DataFrame, code: str = "CT") -> DataFrame:
@@ -243,7 +245,8 @@ def housing_violations(raw: DataFrame, borough: DataFrame) -> DataFrame:
         F.col("violationstatus").alias("violation_status"),
         F.col("novdescription").alias("description"),
         _geo("latitude").alias("latitude"), _geo("longitude").alias("longitude"))
-    return out.where(F.col("violation_id").isNotNull() & F.col("inspection_date").isNotNull())
+    return keep_valid(out, F.col("violation_id").isNotNull()
+                      & F.col("inspection_date").isNotNull())
 
 
 def service_requests(raw: DataFrame, borough: DataFrame) -> DataFrame:
@@ -306,9 +309,10 @@ def build_star(spark: SparkSession, feeds: dict[str, DataFrame], home_min: str =
     """All star tables from the six raw feeds (lazy; write with sinks.publish_star)."""
     borough = literal.boroughs(spark)
     district = literal.school_districts(spark, borough)
-    city = clean_city_sales(feeds["city_sales"])
+    # Each cleaned feed feeds several tables: clean once, stage, reuse.
+    city = stage(clean_city_sales(feeds["city_sales"]), "city_sales")
     nbhd = neighborhoods(city, borough)
-    st = clean_state_sales(feeds["state_sales"])
+    st = stage(clean_state_sales(feeds["state_sales"]), "state_sales")
     towns = municipalities(st)
     ct_id = [i + 1 for i, (n, _) in enumerate(literal.BOROUGHS) if n == "CONNECTICUT"][0]
     props = key_properties(city_property_rows(city, borough),

@@ -16,6 +16,7 @@ from hearth import schemas as S
 from hearth.functions import clean as C
 from hearth.operators import joins as J
 from hearth.operators import quality as Q
+from hearth.operators.blocks import stage
 from hearth.operators.dedup import Order, distinct_on
 from hearth.operators.quantile import percentile_cont
 from hearth.plans import ingest as I
@@ -59,7 +60,7 @@ def surrogate_keys(t: TestStar) -> DataFrame:
 
 
 def _ny_sales(t: TestStar) -> DataFrame:
-    city = _city(t)
+    city = stage(_city(t), "city_sales")
     return I.city_sales(city, I.city_properties(city, _boroughs(t)))
 
 
@@ -84,7 +85,7 @@ def ingest_municipalities(t: TestStar) -> DataFrame:
 
 
 def _ct(t: TestStar):
-    st = _state(t)
+    st = stage(_state(t), "state_sales")
     towns = I.municipalities(st)
     props = I.state_properties(st, towns)
     return st, props
@@ -102,7 +103,7 @@ def assessment_history(t: TestStar) -> DataFrame:
 
 
 def union_regions(t: TestStar) -> DataFrame:
-    st = _state(t)
+    st = stage(_state(t), "state_sales")
     ct_rows = I.state_property_rows(st, I.municipalities(st))
     return I.union_regions(I.city_property_rows(_city(t), _boroughs(t)), ct_rows)
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearth.operators.partitioning import spread_small_input
 from hearth.sources.testviews import TestStar
 
 _PC = "CAST(round(o_totalprice * 100) AS BIGINT)"
@@ -32,7 +33,7 @@ _BORO = """CASE {k} % 6 WHEN 0 THEN 'manhattan' WHEN 1 THEN 'BRONX' WHEN 2 THEN
 
 
 def _orders(t: TestStar) -> DataFrame:
-    o = t.raw("orders")
+    o = spread_small_input(t.raw("orders"))
     c = t.raw("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     n = t.raw("nation").select("n_nationkey", "n_name", "n_regionkey")
     return (o.join(c, o.o_custkey == c.c_custkey)
@@ -96,7 +97,7 @@ def _geo(sign: str = "") -> str:
 
 def violations(t: TestStar) -> DataFrame:
     """Housing-violation file from the ``error`` events."""
-    e = t.raw("events").where(F.col("event_type") == "error")
+    e = spread_small_input(t.raw("events")).where(F.col("event_type") == "error")
     return e.selectExpr(
         "event_id AS _ord",
         "CASE WHEN event_id % 53 = 0 THEN NULL ELSE CAST(event_id AS STRING) END AS violationid",
@@ -117,7 +118,7 @@ def violations(t: TestStar) -> DataFrame:
 
 def requests_311(t: TestStar) -> DataFrame:
     """311 service-request file from the other events."""
-    e = t.raw("events").where(F.col("event_type") != "error")
+    e = spread_small_input(t.raw("events")).where(F.col("event_type") != "error")
     return e.selectExpr(
         "event_id AS _ord",
         "CAST(event_id AS STRING) AS unique_key",
