@@ -1,0 +1,5 @@
+"""Structured Streaming entry points (incremental ingest of landed files)."""
+
+from hearth.streaming.incremental import landed_stream, start_incremental_ingest
+
+__all__ = ["landed_stream", "start_incremental_ingest"]
