@@ -219,32 +219,6 @@ class TestStar:
             rate.alias("attendance_rate"),
             F.lit(None).cast(S.RATE).alias("chronic_absent"))
 
-    @functools.cached_property
-    def metric_long(self) -> DataFrame:
-        """Long (entity, metric, value) table in file order, for pivot tests."""
-        return self.raw("events").select(
-            F.col("user_id").cast("string").alias("dbn"),
-            F.col("event_type").alias("metric"),
-            F.col("value").alias("metric_value"),
-            F.col("event_id").alias("ord"))
-
-    @functools.cached_property
-    def sale_keys(self) -> DataFrame:
-        """Sales feed rows with repeating (address, zip) for key-resolution tests.
-
-        The address is the order priority plus the buyer's segment, so many
-        sales share one address; town and zip come from the buyer's nation.
-        """
-        o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-        c = self.raw("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-        n = self.raw("nation").select("n_nationkey", "n_name")
-        return (o.join(c, o.o_custkey == c.c_custkey)
-                .join(n, F.col("c_nationkey") == n.n_nationkey)
-                .select(F.col("o_orderkey").alias("src"),
-                        F.concat_ws(" ", "o_orderpriority", "c_mktsegment").alias("address"),
-                        _zip(F.col("c_nationkey")).alias("zip_code"),
-                        F.col("n_name").alias("town")))
-
 
 def load_star(spark: SparkSession, sf_dir: str) -> TestStar:
     return TestStar(spark, sf_dir)
