@@ -276,6 +276,11 @@ def home_values(wide: DataFrame, neighborhood: DataFrame, state: str = "NY",
             .where(F.col("stat_month").isNotNull() & F.col("median_home_value").isNotNull()))
 
 
+def market_stats(values: DataFrame) -> DataFrame:
+    """The market-stat table: ``home_values`` rows with ids in (zip, month) order."""
+    return dense_keys(values, ["zip_code", "stat_month"], key="stat_id")
+
+
 # E8: schools ---------------------------------------------------------------
 ATTENDANCE_METRIC = "attendance_k8_all"
 ABSENCE_METRIC = "chronic_absent_ems_all"
@@ -336,8 +341,8 @@ def build_star(spark: SparkSession, feeds: dict[str, DataFrame], home_min: str =
             sales.join(ct_props.select("property_id"), "property_id", "left_semi")),
         "housing_violation": housing_violations(feeds["violations"], borough),
         "service_request_311": service_requests(feeds["requests_311"], borough),
-        "neighborhood_market_stat": home_values(feeds["home_values"], nbhd,
-                                                prefix=home_prefix, minimum=home_min),
+        "neighborhood_market_stat": market_stats(home_values(
+            feeds["home_values"], nbhd, prefix=home_prefix, minimum=home_min)),
         "school_district": district,
         "school": sch,
     }

@@ -49,16 +49,32 @@ def append_table(df: DataFrame, path: str, **kw) -> int | None:
     return write_table(df, path, mode="append", **kw)
 
 
+def new_run(root: str) -> str:
+    """A fresh, unpublished run folder under ``root``."""
+    run = f"run-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    return os.path.join(root, run)
+
+
+def write_run(run_dir: str, tables: dict[str, DataFrame],
+              partition_by: dict[str, list[str]] | None = None) -> dict[str, int | None]:
+    """Write tables into an unpublished run folder; returns row counts."""
+    return {name: write_table(df, os.path.join(run_dir, name),
+                              partition_by=(partition_by or {}).get(name))
+            for name, df in tables.items()}
+
+
+def switch_to(spark: SparkSession, run_dir: str) -> None:
+    """Publish a fully written run folder (one pointer file is replaced)."""
+    root, run = os.path.split(run_dir.rstrip("/"))
+    _write_pointer(spark, root, run)
+
+
 def publish_star(spark: SparkSession, root: str, tables: dict[str, DataFrame],
                  partition_by: dict[str, list[str]] | None = None) -> dict[str, int | None]:
     """Write all tables into ``root/run-<id>/`` then point ``root/_CURRENT`` at it."""
-    run = f"run-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    base = os.path.join(root, run)
-    counts = {}
-    for name, df in tables.items():
-        counts[name] = write_table(df, os.path.join(base, name),
-                                   partition_by=(partition_by or {}).get(name))
-    _write_pointer(spark, root, run)
+    run_dir = new_run(root)
+    counts = write_run(run_dir, tables, partition_by)
+    switch_to(spark, run_dir)
     return counts
 
 

@@ -42,9 +42,14 @@ class TestStar:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.sf_dir, f"{name}.parquet"))
+        """A driver table (one footer read per star, then reused)."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(
+                os.path.join(self.sf_dir, f"{name}.parquet"))
+        return self._tables[name]
 
     # ---- dimensions -------------------------------------------------------
     @functools.cached_property
