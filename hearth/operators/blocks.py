@@ -27,10 +27,17 @@ BLOCK = "_blk"
 
 def range_blocks(df: DataFrame, order: list[Column | str],
                  partitions: int | None = None) -> DataFrame:
-    """``df`` plus a ``_blk`` column; blocks are contiguous in ``order``."""
+    """``df`` plus a ``_blk`` column; blocks are contiguous in ``order``.
+
+    Without ``partitions`` the range exchange is left to AQE, which merges
+    adjacent ranges up to the advisory partition size: the block count
+    follows the data size (a handful here, thousands on a large input) and
+    merged blocks stay contiguous.
+    """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = df.repartitionByRange(n, *order).withColumn(BLOCK, F.spark_partition_id())
+    ranged = (df.repartitionByRange(partitions, *order) if partitions
+              else df.repartitionByRange(*order))
+    tagged = ranged.withColumn(BLOCK, F.spark_partition_id())
     return stage(tagged, "blocks")
 
 

@@ -14,10 +14,12 @@ def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> Data
     is read from the planned scan (no job runs).
     """
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave as is
         return df
-    return df.repartition(target)
+    return df if have >= target else df.repartition(target)
 
 
 def keep_valid(df: DataFrame, ok) -> DataFrame:

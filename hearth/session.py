@@ -42,22 +42,30 @@ def get_spark(app: str = "hearth", master: str | None = None,
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # remote sessions have no SparkContext
+        pass
     return spark
 
 
+_LOCAL_SCRATCH: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Read from ``spark.checkpoint.dir`` as the cluster configures it. Only
-    when it is unset (local tests) is a fresh scratch folder taken and set.
+    when it is unset (a local run) is one fresh scratch folder taken for the
+    process.
     """
+    global _LOCAL_SCRATCH
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="hearth-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        return d
+    if _LOCAL_SCRATCH is None:
+        _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="hearth-ckpt-")
+    return _LOCAL_SCRATCH
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -30,11 +30,13 @@ def _skewed_values(n=3000, seed=7):
     return out
 
 
-@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.9, 1.0])
-def test_percentile_cont_matches_numpy(spark, q):
+@pytest.mark.parametrize("q,blocks", [(0.0, None), (0.25, 7), (0.5, None), (0.5, 13),
+                                      (0.9, 7), (1.0, 5)])
+def test_percentile_cont_matches_numpy(spark, q, blocks):
     data = _skewed_values()
     df = spark.createDataFrame(data, "i int, g string, v double")
-    got = {r["g"]: r["p"] for r in percentile_cont(df, ["g"], "v", q, alias="p").collect()}
+    got = {r["g"]: r["p"] for r in percentile_cont(df, ["g"], "v", q, alias="p",
+                                                   partitions=blocks).collect()}
     for g in "abcde":
         vals = np.array([v for _, gg, v in data if gg == g and v is not None])
         assert got[g] == pytest.approx(float(np.quantile(vals, q)), abs=1e-9)
@@ -81,8 +83,9 @@ def test_dense_keys_range_and_window(spark):
     rnd = random.Random(5)
     names = [f"addr{rnd.randint(0, 10**6):07d}" for _ in range(2000)]
     df = spark.createDataFrame([(n, i) for i, n in enumerate(dict.fromkeys(names))], "n string, i int")
-    for method in ("range", "window"):
-        got = sorted((r["id"], r["n"]) for r in dense_keys(df, ["n"], method=method).collect())
+    for method, blocks in (("range", None), ("range", 9), ("window", None)):
+        got = sorted((r["id"], r["n"]) for r in
+                     dense_keys(df, ["n"], method=method, partitions=blocks).collect())
         assert [g[0] for g in got] == list(range(1, len(got) + 1))
         assert [g[1] for g in got] == sorted(g[1] for g in got)
 
