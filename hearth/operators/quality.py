@@ -1,9 +1,9 @@
 """Data-quality jobs: the DDL's constraints checked as distributed queries.
 
 A database rejects a bad row on insert; a lake accepts it. Each check here
-returns the violating rows (or a count per table/column), computed with
-aggregations and anti joins — nothing is collected. ``summary`` turns any
-check into one row per (table, check, column) with a violation count.
+returns the violating rows, computed with aggregations and anti joins —
+nothing is collected. The ``*_report`` functions turn the checks over a whole
+star into rows of (table, check, column, violations).
 """
 
 from __future__ import annotations
@@ -76,6 +76,8 @@ def outliers(df: DataFrame, key: list[str], low: str, high: str, ratio: float) -
 
 
 # ---- whole-star reports --------------------------------------------------
+# Each report reads a table once: all column checks of a table are
+# conditional counts of one aggregation, unpivoted into rows afterwards.
 def _count(df: DataFrame, table: str, check: str, column: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).cast("long").alias("violations")).select(
         F.lit(table).alias("table_name"), F.lit(check).alias("check_name"),
@@ -86,22 +88,50 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _counts_one_pass(df: DataFrame, table: str,
+                     checks: list[tuple[str, str, Column]]) -> DataFrame:
+    """One aggregation over ``df``: (table, check, column, rows where cond)."""
+    aggs = [F.count_if(F.coalesce(cond, F.lit(False))).cast("long").alias(f"c{i}")
+            for i, (_, _, cond) in enumerate(checks)]
+    stack = ", ".join(f"'{chk}', '{col}', c{i}" for i, (chk, col, _) in enumerate(checks))
+    return (df.agg(*aggs)
+            .selectExpr(f"stack({len(checks)}, {stack}) as (check_name, column_name, violations)")
+            .select(F.lit(table).alias("table_name"), "check_name", "column_name", "violations"))
+
+
+def _key_counts(df: DataFrame, table: str, key: list[str], check: str,
+                with_nulls: bool) -> DataFrame:
+    """Duplicate key values (and rows with a NULL key part) from one groupBy."""
+    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    checks = [(check, ",".join(key), ~any_null & (F.col("_n") > 1))]
+    aggs = [F.count_if(checks[0][2]).cast("long").alias("dup")]
+    if with_nulls:
+        aggs.append(F.coalesce(F.sum(F.when(any_null, F.col("_n"))), F.lit(0))
+                    .cast("long").alias("nul"))
+    out = per_key.agg(*aggs)
+    cols = ",".join(key)
+    stack = f"'{check}', '{cols}', dup" + (f", 'null_key', '{cols}', nul" if with_nulls else "")
+    n = 2 if with_nulls else 1
+    return (out.selectExpr(f"stack({n}, {stack}) as (check_name, column_name, violations)")
+            .select(F.lit(table).alias("table_name"), "check_name", "column_name", "violations"))
+
+
 def primary_key_report(star, tables: list[str]) -> DataFrame:
     """Duplicate and NULL key values per table (PRIMARY KEY = unique + not null)."""
     parts = []
     for t in tables:
-        key = S.PRIMARY_KEYS[t]
         df = getattr(star, t)
-        parts.append(_count(duplicate_keys(df, key), t, "duplicate_key", ",".join(key)))
-        parts.append(_count(not_null(df, key), t, "null_key", ",".join(key)))
+        parts.append(_key_counts(df, t, S.PRIMARY_KEYS[t], "duplicate_key", True))
         for uk in S.UNIQUE_KEYS.get(t, []):
-            parts.append(_count(duplicate_keys(df, uk), t, "duplicate_unique", ",".join(uk)))
+            parts.append(_key_counts(df, t, uk, "duplicate_unique", False))
     return _union(parts)
 
 
 def not_null_report(star, tables: list[str]) -> DataFrame:
-    parts = [_count(not_null(getattr(star, t), [c]), t, "not_null", c)
-             for t in tables for c in S.NOT_NULL.get(t, [])]
+    parts = [_counts_one_pass(getattr(star, t), t,
+                              [("not_null", c, F.col(c).isNull()) for c in S.NOT_NULL[t]])
+             for t in tables if S.NOT_NULL.get(t)]
     return _union(parts)
 
 
@@ -118,9 +148,10 @@ def length_report(star, tables: list[str]) -> DataFrame:
     parts = []
     for t in tables:
         df = getattr(star, t)
-        for c, n in S.MAX_LENGTH.get(t, {}).items():
-            if c in df.columns:
-                parts.append(_count(too_long(df, {c: n}), t, f"length>{n}", c))
+        checks = [(f"length>{n}", c, F.length(F.col(c)) > n)
+                  for c, n in S.MAX_LENGTH.get(t, {}).items() if c in df.columns]
+        if checks:
+            parts.append(_counts_one_pass(df, t, checks))
     return _union(parts)
 
 
@@ -128,9 +159,13 @@ def decimal_report(star, tables: list[str]) -> DataFrame:
     parts = []
     for t in tables:
         df = getattr(star, t)
+        checks = []
         for f in S.STAR[t].fields:
             if f.name in df.columns and hasattr(f.dataType, "precision"):
                 p, s = f.dataType.precision, f.dataType.scale
-                parts.append(_count(decimal_overflow(df, {f.name: (p, s)}), t,
-                                    f"numeric({p},{s})", f.name))
+                c = F.col(f.name)
+                checks.append((f"numeric({p},{s})", f.name,
+                               c.isNotNull() & c.try_cast(f"decimal({p},{s})").isNull()))
+        if checks:
+            parts.append(_counts_one_pass(df, t, checks))
     return _union(parts)

@@ -7,8 +7,6 @@ whose columns the DuckDB oracle reproduces.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,10 +233,9 @@ STAR_TABLES = ["borough", "neighborhood", "municipality", "property", "sales_tra
 
 
 def dq_pk(t: TestStar) -> DataFrame:
-    li = t.raw("lineitem")
-    lk = ["l_orderkey", "l_linenumber"]
-    extra = [Q._count(Q.duplicate_keys(li, lk), "lineitem", "duplicate_key", ",".join(lk))]
-    return Q.primary_key_report(t, STAR_TABLES).unionByName(extra[0])
+    li = Q._key_counts(t.raw("lineitem"), "lineitem", ["l_orderkey", "l_linenumber"],
+                       "duplicate_key", False)
+    return Q.primary_key_report(t, STAR_TABLES).unionByName(li)
 
 
 def dq_not_null(t: TestStar) -> DataFrame:
@@ -257,14 +254,14 @@ def dq_length(t: TestStar) -> DataFrame:
 
 
 def dq_decimal(t: TestStar) -> DataFrame:
-    st = _state(t)
-    specs = {"sale_price": (15, 2), "assessed_value": (15, 2), "sales_ratio": (8, 4)}
-    parts = [Q._count(Q.decimal_overflow(st, {c: ps}), "state_sales",
-                      f"numeric({ps[0]},{ps[1]})", c) for c, ps in specs.items()]
+    def fits(c: str, p: int, s: int):
+        return (f"numeric({p},{s})", c,
+                F.col(c).isNotNull() & F.col(c).try_cast(f"decimal({p},{s})").isNull())
+    st = Q._counts_one_pass(_state(t), "state_sales",
+                            [fits("sale_price", 15, 2), fits("assessed_value", 15, 2),
+                             fits("sales_ratio", 8, 4)])
     v = rawfeeds.violations(t).select(C.parse_number("latitude").alias("latitude"))
-    parts.append(Q._count(Q.decimal_overflow(v, {"latitude": (4, 2)}), "violations",
-                          "numeric(4,2)", "latitude"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return st.unionByName(Q._counts_one_pass(v, "violations", [fits("latitude", 4, 2)]))
 
 
 def dq_duplicates(t: TestStar) -> DataFrame:
