@@ -79,15 +79,30 @@ def publish_star(spark: SparkSession, root: str, tables: dict[str, DataFrame],
 
 
 def _write_pointer(spark: SparkSession, root: str, run: str) -> None:
+    """Write the run name to a temp file, then rename it over ``_CURRENT``.
+
+    ``FileContext.rename`` with OVERWRITE replaces the pointer in one step on
+    file systems that support it (HDFS); elsewhere it falls back to delete +
+    rename of a tiny file.
+    """
     fs, _, jvm = _fs(spark, root)
-    tmp = jvm.org.apache.hadoop.fs.Path(os.path.join(root, f".{POINTER}.{uuid.uuid4().hex}"))
-    dst = jvm.org.apache.hadoop.fs.Path(os.path.join(root, POINTER))
+    Path = jvm.org.apache.hadoop.fs.Path
+    tmp = Path(os.path.join(root, f".{POINTER}.{uuid.uuid4().hex}"))
+    dst = Path(os.path.join(root, POINTER))
     stream = fs.create(tmp, True)
     stream.write(bytearray(run.encode("utf-8")))
     stream.close()
-    fs.delete(dst, False)
-    if not fs.rename(tmp, dst):
-        raise OSError(f"could not publish {run} under {root}")
+    try:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), conf)
+        opts = jvm.java.lang.reflect.Array.newInstance(
+            jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        fc.rename(tmp, dst, opts)
+    except Exception:
+        fs.delete(dst, False)
+        if not fs.rename(tmp, dst):
+            raise OSError(f"could not publish {run} under {root}")
 
 
 def current_run(spark: SparkSession, root: str) -> str:
