@@ -23,20 +23,40 @@ from pyspark.sql import functions as F
 from hearth.session import scratch_path
 
 BLOCK = "_blk"
+# Target bytes per block when the input is too large for the configured
+# shuffle partition count (a block is ranked by one task).
+BLOCK_TARGET_BYTES = 128 * 1024 * 1024
+
+
+def block_count(df: DataFrame, target_bytes: int = BLOCK_TARGET_BYTES) -> int | None:
+    """Blocks needed for ``df`` from the optimizer's size estimate (no job).
+
+    None when ``spark.sql.shuffle.partitions`` blocks already fit the target:
+    AQE then merges adjacent small ranges. AQE never splits a range, so a
+    large input gets an explicit count of ``size / target`` blocks.
+    """
+    spark = df.sparkSession
+    try:
+        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # no JVM plan handle (remote session)
+        return None
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    need = -(-est // target_bytes)
+    return need if need > base else None
 
 
 def range_blocks(df: DataFrame, order: list[Column | str],
                  partitions: int | None = None) -> DataFrame:
     """``df`` plus a ``_blk`` column; blocks are contiguous in ``order``.
 
-    Without ``partitions`` the range exchange is left to AQE, which merges
-    adjacent ranges up to the advisory partition size: the block count
-    follows the data size (a handful here, thousands on a large input) and
-    merged blocks stay contiguous.
+    Without ``partitions`` the count comes from ``block_count``: a small
+    input is left to AQE, which merges adjacent ranges up to the advisory
+    partition size (merged blocks stay contiguous); a large one gets
+    ``size / 128 MB`` blocks. Either way a block, and so a ranking task, is
+    bounded in bytes however many rows one group holds.
     """
-    spark = df.sparkSession
-    ranged = (df.repartitionByRange(partitions, *order) if partitions
-              else df.repartitionByRange(*order))
+    n = partitions or block_count(df)
+    ranged = df.repartitionByRange(n, *order) if n else df.repartitionByRange(*order)
     tagged = ranged.withColumn(BLOCK, F.spark_partition_id())
     return stage(tagged, "blocks")
 
