@@ -26,6 +26,7 @@ BLOCK = "_blk"
 # Target bytes per block when the input is too large for the configured
 # shuffle partition count (a block is ranked by one task).
 BLOCK_TARGET_BYTES = 128 * 1024 * 1024
+MAX_BLOCKS = 200_000
 
 
 def block_count(df: DataFrame, target_bytes: int = BLOCK_TARGET_BYTES) -> int | None:
@@ -40,9 +41,11 @@ def block_count(df: DataFrame, target_bytes: int = BLOCK_TARGET_BYTES) -> int |
         est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # no JVM plan handle (remote session)
         return None
+    if est >= 2 ** 62:  # no statistics (the default estimate is Long.MaxValue)
+        return None
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    need = -(-est // target_bytes)
-    return need if need > base else None
+    need = min(-(-est // target_bytes), MAX_BLOCKS)
+    return int(need) if need > base else None
 
 
 def range_blocks(df: DataFrame, order: list[Column | str],

@@ -136,3 +136,11 @@ def test_semi_anti(spark):
     dim = spark.createDataFrame([("00001",)], "zip string")
     assert [r["i"] for r in J.semi_known(df, dim, "zip").collect()] == [1]
     assert [r["i"] for r in J.anti_orphans(df, dim, "zip").collect()] == [2]
+
+
+def test_block_count_follows_input_size(spark):
+    from hearth.operators.blocks import block_count
+    assert block_count(spark.range(1000)) is None            # AQE sizes small inputs
+    big = block_count(spark.range(10 ** 10))                 # ~80 GB by the estimate
+    assert big is not None and big > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert block_count(spark.createDataFrame([(1,)], "a int")) is None
