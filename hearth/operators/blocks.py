@@ -26,7 +26,7 @@ BLOCK = "_blk"
 # Target bytes per block when the input is too large for the configured
 # shuffle partition count (a block is ranked by one task).
 BLOCK_TARGET_BYTES = 128 * 1024 * 1024
-MAX_BLOCKS = 200_000
+MAX_BLOCKS = 50_000
 
 
 def block_count(df: DataFrame, target_bytes: int = BLOCK_TARGET_BYTES) -> int | None:
@@ -38,9 +38,16 @@ def block_count(df: DataFrame, target_bytes: int = BLOCK_TARGET_BYTES) -> int |
     """
     spark = df.sparkSession
     try:
-        est = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        plan = df._jdf.queryExecution().optimizedPlan()
+        est = int(str(plan.stats().sizeInBytes()))
+        leaves = plan.collectLeaves()
+        scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes()))
+                      for i in range(leaves.size()))
     except Exception:  # no JVM plan handle (remote session)
         return None
+    # Without CBO a join is estimated as the product of its sides; the rows
+    # ranked here (value counts, key sets) never exceed what was scanned.
+    est = min(est, scanned)
     if est >= 2 ** 62:  # no statistics (the default estimate is Long.MaxValue)
         return None
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
