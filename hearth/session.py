@@ -17,9 +17,6 @@ BASE_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.ansi.enabled": "true",
-    # Generated methods above 8000 bytes of bytecode are never JIT-compiled
-    # by the JVM; let Spark split such stages instead (wide cleaning stages).
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
