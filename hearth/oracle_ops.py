@@ -524,6 +524,9 @@ FROM ph GROUP BY property_id, price_c, sale_date HAVING COUNT(*) > 1"""
         f"SELECT '{r}' AS reason, CAST(COUNT(*) FILTER (WHERE {c}) AS BIGINT) AS rows FROM raw_city"
         for r, c in reasons.items())
 
+    q["dq_defaults"] = W(*STATE) + """
+SELECT DISTINCT town AS town_name, 'CT' AS state FROM state"""
+
     q["dq_outliers"] = with_views("ph") + """
 SELECT property_id, MIN(price_c) / 100.0 AS low, MAX(price_c) / 100.0 AS high
 FROM ph GROUP BY property_id HAVING MAX(price_c) > 20 * MIN(price_c)"""

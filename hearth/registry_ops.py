@@ -268,6 +268,14 @@ def dq_duplicates(t: TestStar) -> DataFrame:
     return Q.duplicate_keys(t.price_history, ["property_id", "sale_price", "sale_date"])
 
 
+def dq_defaults(t: TestStar) -> DataFrame:
+    """DDL defaults filled where the feed carries no value: the state of a
+    town (the state feed has no state column, the DDL default is 'CT')."""
+    towns = (_state(t).select(F.col("town").alias("town_name"),
+                              F.lit(None).cast("string").alias("state")).distinct())
+    return Q.apply_defaults(towns, S.DEFAULTS["municipality"])
+
+
 def dq_rejects(t: TestStar) -> DataFrame:
     return I.city_rejects(rawfeeds.city_sales(t))
 
@@ -313,6 +321,7 @@ OPS = {
     "dq_length": dq_length,
     "dq_decimal": dq_decimal,
     "dq_duplicates": dq_duplicates,
+    "dq_defaults": dq_defaults,
     "dq_rejects": dq_rejects,
     "dq_outliers": dq_outliers,
 }

@@ -60,6 +60,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster "
+                           "(intermediate tables are written there)")
     if _LOCAL_SCRATCH is None:
         _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="hearth-ckpt-")
     return _LOCAL_SCRATCH
