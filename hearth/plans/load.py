@@ -39,7 +39,9 @@ def load(spark: SparkSession, feeds: dict[str, DataFrame], root: str,
     cleaning runs twice. Returns the published run folder.
     """
     run_dir = new_run(root)
-    write_run(run_dir, I.build_star(spark, feeds, home_min=home_min))
+    # property is read per region by the state-feed reports: partition on it
+    write_run(run_dir, I.build_star(spark, feeds, home_min=home_min),
+              partition_by={"property": ["region"]})
     star = files.read_star(spark, run_dir)
     write_run(run_dir, {"neighborhood_quality_score": E.quality_score(star, as_of=as_of)},
               partition_by={"neighborhood_quality_score": ["score_month"]})

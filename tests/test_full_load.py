@@ -97,3 +97,13 @@ def test_load_from_landed_files(spark, star_small):
     assert ny == city
     assert star.neighborhood_market_stat.select("stat_id").distinct().count() == \
         star.neighborhood_market_stat.count()
+
+
+def test_region_partition_is_pruned(spark, star_small):
+    from hearth.plans.load import load
+    root = tempfile.mkdtemp(prefix="hearth-root2-")
+    run = load(spark, _feeds(star_small), root, as_of="2024-06-15", home_min="2000")
+    star = files.read_star(spark, run)
+    plan = star.property.where("region = 'CT'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(region" in plan and "(region" in plan
+    assert R.towns_below_assessment(star, min_sales=0).count() > 0
