@@ -71,16 +71,34 @@ def range_blocks(df: DataFrame, order: list[Column | str],
     return stage(tagged, "blocks")
 
 
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     read it back: later branches reuse the rows instead of recomputing them,
-    and the lineage is cut (a lost executor re-reads, it does not re-derive)."""
+    and the lineage is cut (a lost executor re-reads, it does not re-derive).
+    The folder lives until ``release_staged`` (after the results that read
+    it are written)."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    _STAGED.append(path)
     return spark.read.parquet(path)
 
 
+def release_staged(spark) -> int:
+    """Delete the scratch folders staged so far; returns how many."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _STAGED:
+        p = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        p.getFileSystem(conf).delete(p, True)
+        n += 1
+    return n
+
+
 def block_offsets(blocks: DataFrame, group: list[str], weight: Column) -> DataFrame:
     """Per (group, block): the summed weight of earlier blocks of the group.
 

@@ -7,6 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 
 from hearth import schemas as S
+from hearth.operators.blocks import release_staged
 from hearth.plans import ingest as I
 from hearth.plans import score as E
 from hearth.sinks import new_run, switch_to, write_run
@@ -46,6 +47,7 @@ def load(spark: SparkSession, feeds: dict[str, DataFrame], root: str,
     write_run(run_dir, {"neighborhood_quality_score": E.quality_score(star, as_of=as_of)},
               partition_by={"neighborhood_quality_score": ["score_month"]})
     switch_to(spark, run_dir)
+    release_staged(spark)  # the published tables no longer read the scratch
     return run_dir
 
 

@@ -97,6 +97,8 @@ def test_load_from_landed_files(spark, star_small):
     assert ny == city
     assert star.neighborhood_market_stat.select("stat_id").distinct().count() == \
         star.neighborhood_market_stat.count()
+    from hearth.operators import blocks
+    assert blocks._STAGED == []   # scratch released after the publish
 
 
 def test_region_partition_is_pruned(spark, star_small):
