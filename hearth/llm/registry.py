@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearth.llm import exact_dedup
+from hearth.llm import exact_dedup, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_secret_scan": secret_scan.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
 }
 
