@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearth.llm import exact_dedup, secret_scan
+from hearth.llm import exact_dedup, language_id, packing, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": language_id.op1_language_id,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {
