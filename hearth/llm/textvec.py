@@ -118,5 +118,6 @@ def shingle_hashes(hashes: np.ndarray, offsets: list[int]) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in offsets:
-        out = mix(out * np.uint64(31) + hashes[k:k + n] + np.uint64(k + 1))
-    return out
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += hashes[k:k + n]
+    return mix(out + np.uint64(len(offsets)))
