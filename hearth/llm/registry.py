@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearth.llm import decontaminate, exact_dedup, language_id, packing, secret_scan
+from hearth.llm import decontaminate, exact_dedup, language_id, near_dedup, packing, secret_scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_language_id": language_id.op1_language_id,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
