@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearth.llm import decontaminate, exact_dedup, language_id, near_dedup, packing, secret_scan
+from hearth.llm import (
+    decontaminate,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    near_dedup,
+    packing,
+    secret_scan,
+)
+from hearth.llm.staging import library_on_workers
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +26,7 @@ QUERIES: dict[str, Query] = {
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -25,8 +35,15 @@ ORACLES: dict[str, str] = {
 }
 
 
+def _shipped(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        library_on_workers(spark)
+        return query(spark, sf_dir)
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {name: _shipped(q) for name, q in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
