@@ -13,7 +13,9 @@ from hearth.llm import (
     line_dedup,
     near_dedup,
     packing,
+    quality,
     secret_scan,
+    toxicity,
 )
 from hearth.llm.staging import library_on_workers
 
@@ -23,7 +25,9 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": language_id.op1_language_id,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
