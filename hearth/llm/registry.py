@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hearth.llm import (
     decontaminate,
     exact_dedup,
+    html_text,
     language_id,
     line_dedup,
     near_dedup,
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op4_quality": quality.op4_quality,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_html_text": html_text.op7_html_text,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
