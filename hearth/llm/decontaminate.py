@@ -227,5 +227,17 @@ def find_overlaps(docs: DataFrame, tests: DataFrame, doc_id: str = "doc_id", doc
                     "b.doc_start", "b.item_start", "b.overlap", "b.matched"))
 
 
+def drop_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, as they are, without a verified overlap."""
+    th = F.xxhash64(text_of(text_col))
+    keyed = docs.select(F.struct(F.col(id_col).alias("id"), th.alias("th")).alias("doc_id"),
+                        F.col(text_col).alias("text"))
+    found = stage(find_overlaps(keyed, tests).select("doc_id.id", "doc_id.th").distinct(), "leaks")
+    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), th.alias("th")).join(
+        found.select(F.col("id").alias("fid"), F.col("th").alias("fth")),
+        F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")), "left_anti").select("row.*")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 from hearth.llm.staging import table, text_of
 
@@ -41,6 +42,7 @@ WINDOW = 250
 MAX_LETTERS = 128  # of one language's sample, by frequency: bounds the tables
 SEGMENT = 256
 TEMPER = 8.0
+MAX_BITS = 8.0  # of phrases of two letters; texts of a learned language need about 3
 UNKNOWN = "und"
 
 
@@ -182,14 +184,16 @@ class CrossParser:
             phrases[:, k] = np.bincount(owner[order], weights=count[k], minlength=len(texts))
         return phrases * self.bits, n
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and bits per letter in that language."""
         if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         bits, letters = self.costs(texts)
         best = bits.argmin(axis=1)
         odds = np.exp2(-np.clip((bits - bits.min(axis=1, keepdims=True)) / TEMPER, 0, 60))
         score = np.where(letters > 0, 1 / odds.sum(axis=1), 0.0)
-        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score
+        per_letter = bits.min(axis=1) / np.maximum(1, letters)
+        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score, per_letter
 
 
 _PARSERS: dict = {}
@@ -204,34 +208,39 @@ def _parser(samples: dict[str, list[str]]) -> CrossParser:
     return _PARSERS[key]
 
 
-def identify(df: DataFrame, samples: dict[str, list[str]], text_col: str = "text",
-             keep: list[str] | None = None) -> DataFrame:
-    """``df`` (its columns ``keep``, default all) plus ``_lang_pred``, ``_score``."""
-    from pyspark.sql.types import DoubleType, StringType, StructType
-    rows = df.select(*(keep or df.columns), F.col(text_col).cast("string").alias("_text"))
-    schema = StructType([f for f in rows.schema if f.name != "_text"])
-    schema = schema.add("_lang_pred", StringType()).add("_score", DoubleType())
+def identify(df: DataFrame, samples: dict[str, list[str]], text_col: str = "text") -> DataFrame:
+    """``row, lang_pred, score, bits``: each row of ``df`` as a struct, with
+    its language, score and bits per letter."""
+    rows = df.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = (StructType([rows.schema["row"]]).add("lang_pred", StringType()).add("score", DoubleType())
+              .add("bits", DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hearth.llm.textvec import groups
         parser = _parser(samples)
         for batch in batches:
-            langs, scores = [], []
-            for _, group in groups(batch.column(batch.num_columns - 1).to_pylist()):
-                a, b = parser.predict(group)
-                langs += a
-                scores.append(b)
-            score = np.concatenate(scores) if scores else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(score, pa.float64())],
-                names=[f.name for f in schema])
+            for first, group in groups(batch.column(1).to_pylist()):
+                langs, score, bits = parser.predict(group)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, len(group)), pa.array(langs, pa.string()),
+                     pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
+                    names=["row", "lang_pred", "score", "bits"])
 
     return rows.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text",
+                    max_bits: float = MAX_BITS) -> DataFrame:
+    """The rows, as they are, whose text some learned language explains: it has
+    letters and needs at most ``max_bits`` per letter."""
+    return (identify(docs, samples, text_col)
+            .filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits") <= max_bits)).select("row.*"))
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = held_out_by("doc_id", 4, 2)
     samples = sample_text(docs.filter(~held), "doc_id", "text", "lang")
-    return identify(docs, samples, keep=["doc_id"]).select(
-        "doc_id", held.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    rows = identify(docs.select("doc_id", "text"), samples)
+    return rows.select("row.doc_id", "lang_pred", "score", F.col("bits").alias("bits_per_letter")).select(
+        "doc_id", held.alias("held_out"), "lang_pred", "score", "bits_per_letter")

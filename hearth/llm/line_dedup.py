@@ -179,48 +179,61 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_words: int = MIN_WORDS) -> DataFrame:
-    """``df`` with its text rewritten, plus ``_lines``, ``_removed`` and
-    ``_cuts`` (the removed stretches ``from-to``, comma-joined)."""
-    cuts = stage(repeated_runs(df, id_col, text_col, min_words), "cuts")
-    at = cuts.select(F.col("id").alias("_cid"), F.col("th").alias("_cth"), "cuts")
-    rows = (df.withColumn("_th", F.xxhash64(text_of(text_col)))
-            .join(at, F.col(id_col).eqNullSafe(F.col("_cid")) & (F.col("_th") == F.col("_cth")), "left")
-            .select(*[F.col(c) for c in df.columns], F.col("cuts").alias("_cuts")))
-    schema = StructType([*df.schema, *StructType().add("_lines", LongType()).add("_removed", LongType())
-                         .add("_cuts", StringType())])
-    where = df.columns.index(text_col)
+    """``row`` (the input row as a struct), its ``text`` without the repeated
+    runs, ``lines``, ``removed`` and ``cuts`` (the removed stretches
+    ``from-to``, comma-joined)."""
+    found = stage(repeated_runs(df, id_col, text_col, min_words), "cuts").select(
+        F.col("id").alias("cid"), F.col("th").alias("cth"), "cuts")
+    rows = (df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"),
+                      F.xxhash64(text_of(text_col)).alias("th"))
+            .join(found, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
+            .select("row", F.col("row").getField(text_col).cast("string").alias("text"), "cuts"))
+    schema = StructType([rows.schema["row"], rows.schema["text"]]).add("lines", LongType()).add(
+        "removed", LongType()).add("cuts", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, count, removed, said = [], [], [], []
-            cut_col = batch.column("_cuts")
-            for i, t in enumerate(batch.column(where).to_pylist()):
+            cuts = batch.column("cuts")
+            for i, t in enumerate(batch.column("text").to_pylist()):
                 lines = t.split("\n") if t else []
-                drop = np.zeros(len(lines) + 1, np.int64)
-                stretch = ""
-                if cut_col[i].is_valid:
-                    spans = cut_col[i].values
-                    np.add.at(drop, spans.field("start").to_numpy(), 1)
-                    np.add.at(drop, spans.field("stop").to_numpy(), -1)
+                gone = np.zeros(len(lines), bool)
+                if cuts[i].is_valid:
+                    drop = np.zeros(len(lines) + 1, np.int64)
+                    np.add.at(drop, cuts[i].values.field("start").to_numpy(), 1)
+                    np.add.at(drop, cuts[i].values.field("stop").to_numpy(), -1)
                     gone = np.cumsum(drop)[:-1] > 0
                     t = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                    stretch = ",".join(f"{a}-{b}" for a, b in zip(edge[::2], edge[1::2], strict=True))
-                    removed.append(int(gone.sum()))
-                else:
-                    removed.append(0)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 texts.append(t)
                 count.append(len(lines))
-                said.append(stretch)
-            out = [*batch.columns[:-1], pa.array(count, pa.int64()), pa.array(removed, pa.int64()),
-                   pa.array(said, pa.string())]
-            out[where] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema])
+                removed.append(int(gone.sum()))
+                said.append(",".join(f"{a}-{b}" for a, b in zip(edge[::2], edge[1::2], strict=True)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row"), pa.array(texts, pa.string()), pa.array(count, pa.int64()),
+                 pa.array(removed, pa.int64()), pa.array(said, pa.string())],
+                names=["row", "text", "lines", "removed", "cuts"])
 
     return rows.mapInArrow(run, schema)
 
 
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                        chars_col: str = "n_chars", min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` with its texts rewritten, and their lengths if it has them."""
+    row, changed = F.col("row"), F.col("removed") > 0
+
+    def out(c: str):
+        if c == text_col:
+            return F.col("text").alias(c)
+        if c == chars_col:
+            return F.when(changed, F.length("text").cast(docs.schema[c].dataType)).otherwise(
+                row.getField(c)).alias(c)
+        return row.getField(c).alias(c)
+
+    return dedup_lines(docs, id_col, text_col, min_words).select(*[out(c) for c in docs.columns])
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "text", F.col("_lines").alias("n_lines"),
-                                    F.col("_removed").alias("n_removed"), F.col("_cuts").alias("removed"))
+    return dedup_lines(docs).select("row.doc_id", "text", F.col("lines").alias("n_lines"),
+                                    F.col("removed").alias("n_removed"), F.col("cuts").alias("removed"))

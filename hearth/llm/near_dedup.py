@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.llm.components import components
-from hearth.llm.staging import stage, table, text_of
+from hearth.llm.staging import is_empty, stage, table, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -252,7 +252,8 @@ def _rest(members: DataFrame, classes: DataFrame, sigs: DataFrame, n: int, least
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``uid, id, cls``: a row per input row; rows of one class share ``cls``."""
+    """``uid, id, t1, t2, cls``: a row per input row (its id and text hashes);
+    rows of one class share ``cls``."""
     text = text_of(text_col)
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"),
                      F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
@@ -260,8 +261,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     idf = idf_of(counts, n_docs)
     signed = stage(_signed(docs, idf, bands, rows).withColumn("uid", F.monotonically_increasing_id()), "signed")
     firsts = stage(signed.groupBy("s1", "s2").agg(F.min("uid").alias("rep")), "firsts")
-    named = stage(signed.select("uid", "id", "s1", "s2").join(firsts, ["s1", "s2"]).select("uid", "id", "rep"),
-                  "named")
+    named = stage(signed.select("uid", "id", "t1", "t2", "s1", "s2").join(firsts, ["s1", "s2"])
+                  .select("uid", "id", "t1", "t2", "rep"), "named")
     reps = signed.join(firsts.select(F.col("rep").alias("uid")), "uid", "left_semi")
     sigs = stage(reps.select("uid", "id", "t1", "t2", "sig"), "reps")
     keys = stage(_band_keys(sigs, bands, rows), "bands")
@@ -288,11 +289,11 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = components(links)
     more = stage(_rest(members.select("key", "uid"), classes, sigs.select("uid", "sig"), n, least)
                  .join(pairs, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
+    if not is_empty(more):
         links = links.union(_verify(more, texts, idf, threshold))
         classes = components(links)
     return (named.join(stage(classes.select(F.col("uid").alias("rep"), "cls"), "classes"), "rep", "left")
-            .select("uid", "id", F.coalesce("cls", "rep").alias("cls")))
+            .select("uid", "id", "t1", "t2", F.coalesce("cls", "rep").alias("cls")))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -307,5 +308,24 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("uid") == F.col("best.uid")).alias("kept"))
 
 
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                     threshold: float = THRESHOLD) -> DataFrame:
+    """``df`` with one row of each class, its columns as they are. Rows that
+    share id and text are one place; one of them stays."""
+    text = text_of(text_col)
+    keyed = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.xxhash64(text).alias("t1"),
+                      F.xxhash64(text, F.lit(1)).alias("t2"))
+    rows = stage(near_classes(df, id_col, text_col, threshold), "classes")
+    best = stage(rows.groupBy("cls").agg(
+        F.min(F.struct(F.col("id").isNull().alias("n"), "id", "uid")).alias("best")), "best")
+    kept = stage(rows.join(best, "cls").filter(F.col("uid") == F.col("best.uid")).select(
+        F.col("id").alias("kid"), F.col("t1").alias("k1"), F.col("t2").alias("k2")), "kept")
+    out = keyed.join(kept, F.col("id").eqNullSafe(F.col("kid")) & (F.col("t1") == F.col("k1"))
+                     & (F.col("t2") == F.col("k2")), "left_semi")
+    if not is_empty(rows.groupBy("id", "t1", "t2").count().filter("count > 1")):
+        out = out.dropDuplicates(["id", "t1", "t2"])
+    return out.select("row.*")
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
