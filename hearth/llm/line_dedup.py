@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from hearth.llm.staging import stage, table, text_of
+from hearth.llm.staging import merged, stage, table, text_of
 
 MIN_WORDS = 20
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -167,13 +167,13 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = stage(_fingerprints(docs, min_words), "prints")
     shared = stage(prints.groupBy("print").agg(F.count(F.lit(1)).alias("n"))
                    .filter("n > 1").select("print"), "shared")
-    spans = stage(prints.join(shared, "print").select(
+    spans = stage(merged(prints, shared, "print").select(
         "id", "th", F.explode(F.arrays_zip("start", "stop", "c1", "c2")).alias("w"))
         .select("id", "th", "w.start", "w.stop", "w.c1", "w.c2"), "spans")
     place = F.struct("id", "th", "start")
     firsts = stage(spans.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
                    .filter("n > 1").select("c1", "c2", "first"), "firsts")
-    later = spans.join(firsts, ["c1", "c2"]).filter(~place.eqNullSafe(F.col("first")))
+    later = merged(spans, firsts, ["c1", "c2"]).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("cuts"))
 
 
@@ -184,9 +184,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``from-to``, comma-joined)."""
     found = stage(repeated_runs(df, id_col, text_col, min_words), "cuts").select(
         F.col("id").alias("cid"), F.col("th").alias("cth"), "cuts")
-    rows = (df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"),
-                      F.xxhash64(text_of(text_col)).alias("th"))
-            .join(found, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
+    docs = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"),
+                     F.xxhash64(text_of(text_col)).alias("th"))
+    rows = (merged(docs, found, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
             .select("row", F.col("row").getField(text_col).cast("string").alias("text"), "cuts"))
     schema = StructType([rows.schema["row"], rows.schema["text"]]).add("lines", LongType()).add(
         "removed", LongType()).add("cuts", StringType())

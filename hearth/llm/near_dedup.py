@@ -2,7 +2,7 @@
 
 A document is the weighted set of its five-word shingles (lower-case words;
 one shingle of all words where there are fewer): term frequency times inverse
-document frequency. Two documents are linked when their weighted Jaccard
+document frequency, rounded to steps of an eighth in the logarithm. Two documents are linked when their weighted Jaccard
 similarity is ``THRESHOLD`` or more; classes are the connected components.
 
 1. Document frequencies over the whole corpus: each task counts the distinct
@@ -18,8 +18,8 @@ similarity is ``THRESHOLD`` or more; classes are the connected components.
 4. A pair that was not compared so can only matter where a bucket still holds
    several classes. There the members outside the bucket's largest class are
    compared, in blocks of ``BLOCK``, with all members of other classes by
-   their samples, and pairs whose samples agree closely enough
-   (``SURE`` below the threshold) are verified too. Nothing is capped, and a
+   ``FINE`` further samples, and pairs that agree within three standard
+   deviations of the threshold are verified too. Nothing is capped, and a
    bucket whose members already form one class costs nothing more.
 5. Verification computes the weighted Jaccard similarity from both texts.
 
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.llm.components import components
-from hearth.llm.staging import is_empty, stage, table, text_of
+from hearth.llm.staging import is_empty, merged, stage, table, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -48,7 +48,9 @@ BANDS, ROWS = 20, 4
 BUCKETS = 1 << 16
 BLOCK = 256
 SURE = 0.13  # three standard deviations of the share of equal samples
-_TABLE = 4096
+FINE = 1024
+STEP = 0.125  # weights are rounded to this in their logarithm
+_DRAWS = 1 << 15
 
 
 def shingles(texts: list[str], words: int = WORDS):
@@ -109,19 +111,36 @@ def idf_of(counts: np.ndarray, n: int) -> np.ndarray:
     return (np.log((n + 1) / (np.minimum(counts, n) + 1)) + 1).astype(np.float32)
 
 
+def _levels(value: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """The weights, as whole steps of ``STEP`` in their logarithm."""
+    weight = count * idf[(value & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    return np.rint(np.log(weight) / STEP).astype(np.int64)
+
+
 class Sampler:
     """Consistent weighted samples: for each hash function the element with
     the smallest ``c / (y e^r)``, where r and c are Gamma(2, 1) and y rounds
-    the weight on a random grid; all drawn from the element's hash."""
+    the weight on a random grid; all drawn by the element's hash from tables
+    of ``_DRAWS`` entries. Weights have few levels, so the whole expression is
+    tabulated once per level; equal entries are ordered by the element's hash."""
 
     def __init__(self, n: int, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.odd = (rng.integers(0, 1 << 63, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        self.r = rng.gamma(2.0, 1.0, _TABLE).astype(np.float32) + np.float32(1e-3)
-        self.beta = rng.random(_TABLE).astype(np.float32)
-        self.lnc = np.log(rng.gamma(2.0, 1.0, _TABLE) + 1e-9).astype(np.float32)
-
-    def samples(self, text: np.ndarray, value: np.ndarray, weight: np.ndarray, n_texts: int) -> np.ndarray:
+        self.r = rng.gamma(2.0, 1.0, _DRAWS) + 1e-3
+        self.beta = rng.random(_DRAWS)
+        self.lnc = np.log(rng.gamma(2.0, 1.0, _DRAWS) + 1e-9)
+        self.tables: dict[int, np.ndarray] = {}
+
+    def _table(self, level: int) -> np.ndarray:
+        if level not in self.tables:
+            grid = np.floor(level * STEP / self.r + self.beta)
+            ln_a = self.lnc - self.r * (grid - self.beta) - self.r
+            rank = np.maximum(ln_a + 64, 0).astype(np.float32).view(np.uint32)
+            self.tables[level] = rank.astype(np.uint64) << np.uint64(32)
+        return self.tables[level]
+
+    def samples(self, text: np.ndarray, value: np.ndarray, level: np.ndarray, n_texts: int) -> np.ndarray:
         """(texts, functions) samples of 32 bits; zeros for an empty set."""
         from hearth.llm.textvec import mix
         out = np.zeros((n_texts, len(self.odd)), np.uint32)
@@ -129,25 +148,21 @@ class Sampler:
             return out
         first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
         who = text[first]
-        lnw = np.log(weight).astype(np.float32)
+        seen, row = np.unique(level, return_inverse=True)
+        tables = np.concatenate([self._table(int(k)) for k in seen])
+        row = row.astype(np.uint64) * np.uint64(_DRAWS)
         low = value & np.uint64(0xFFFFFFFF)
-        mask = np.uint64(_TABLE - 1)
+        shift = np.uint64(64 - _DRAWS.bit_length() + 1)
         for j, odd in enumerate(self.odd):
-            u = value * odd
-            r = self.r[((u >> np.uint64(52)) & mask).view(np.int64)]
-            beta = self.beta[((u >> np.uint64(40)) & mask).view(np.int64)]
-            grid = np.floor(lnw / r + beta)
-            ln_a = self.lnc[((u >> np.uint64(28)) & mask).view(np.int64)] - r * (grid - beta) - r
-            rank = np.maximum(ln_a + np.float32(64), np.float32(0)).view(np.uint32).astype(np.uint64)
-            best = np.minimum.reduceat((rank << np.uint64(32)) | low, first)
-            out[who, j] = (mix(best) >> np.uint64(32)).astype(np.uint32)
+            at = value * odd
+            at >>= shift
+            at += row
+            rank = tables[at.view(np.int64)]
+            rank |= low
+            out[who, j] = (mix(np.minimum.reduceat(rank, first)) >> np.uint64(32)).astype(np.uint32)
         return out
 
 
-def _weights(value: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return count.astype(np.float32) * idf[(value & np.uint64(BUCKETS - 1)).astype(np.int64)]
-
-
 def _signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
     """Per row: its word-sequence hash ``s1, s2`` and its samples."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -158,7 +173,7 @@ def _signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFram
         for batch in batches:
             for first, group in groups(batch.column("text").to_pylist()):
                 seq, text, value, count = shingles(group)
-                sig = sampler.samples(text, value, _weights(value, count, idf), len(group))
+                sig = sampler.samples(text, value, _levels(value, count, idf), len(group))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(first, len(group)) for c in ("id", "t1", "t2")],
                      pa.array(seq[0].view(np.int64)), pa.array(seq[1].view(np.int64)),
@@ -185,39 +200,65 @@ def _agree(a: str, b: str, n: int) -> object:
     return F.aggregate(parts, F.lit(0), lambda x, y: x + y) / F.lit(float(n))
 
 
-def weighted_jaccard(a: str, b: str, idf: np.ndarray) -> float:
-    _, text, value, count = shingles([a, b])
-    w = _weights(value, count, idf)
-    both = np.intersect1d(value[text == 0], value[text == 1], assume_unique=True, return_indices=True)
-    x, y = w[text == 0], w[text == 1]
-    low = float(np.minimum(x[both[1]], y[both[2]]).sum())
-    total = float(x.sum() + y.sum()) - low
-    return low / total if total else 1.0
+def weighted_jaccard(xs: list[str], ys: list[str], idf: np.ndarray) -> np.ndarray:
+    """The similarity of each pair of texts; 1 for two texts without words."""
+    n = len(xs)
+    _, text, value, count = shingles([*xs, *ys])
+    weight = np.exp(_levels(value, count, idf) * STEP)
+    pair = text % n
+    order = np.lexsort((value, pair))
+    pair, value, weight = pair[order], value[order], weight[order]
+    total = np.bincount(pair, weights=weight, minlength=n)
+    same = np.flatnonzero((pair[1:] == pair[:-1]) & (value[1:] == value[:-1]))
+    low = np.bincount(pair[same], weights=np.minimum(weight[same], weight[same + 1]), minlength=n)
+    return np.where(total > 0, low / np.maximum(total - low, 1e-12), 1.0)
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` whose texts reach the threshold."""
-    left = stage(pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("x")), "a"), "left")
-    both = left.join(texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
+    left = stage(merged(pairs, texts.select(F.col("uid").alias("a"), F.col("text").alias("x")), "a"), "left")
+    both = merged(left, texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hearth.llm.textvec import groups
         for batch in batches:
             xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            ok = [weighted_jaccard(x, y, idf) >= threshold for x, y in zip(xs, ys, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            for first, group in groups([x + y for x, y in zip(xs, ys, strict=True)]):
+                last = first + len(group)
+                ok = weighted_jaccard(xs[first:last], ys[first:last], idf) >= threshold
+                yield batch.select(["a", "b"]).slice(first, len(group)).filter(pa.array(ok))
 
     return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
 
 
-def _rest(members: DataFrame, classes: DataFrame, sigs: DataFrame, n: int, least: float) -> DataFrame:
-    """Pairs of different classes in one bucket whose samples agree in
-    ``least`` of all: members outside the bucket's largest class against all."""
+def _fine(texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """``uid, sig``: ``FINE`` samples of 16 bits of each text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hearth.llm.textvec import groups
+        sampler = Sampler(FINE, seed=8)
+        for batch in batches:
+            for first, group in groups(batch.column("text").to_pylist()):
+                _, text, value, count = shingles(group)
+                sig = sampler.samples(text, value, _levels(value, count, idf), len(group)).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("uid").slice(first, len(group)),
+                     pa.array([row.tobytes() for row in sig], pa.binary())], names=["uid", "sig"])
+
+    return texts.select("uid", "text").mapInArrow(run, "uid long, sig binary")
+
+
+def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Pairs of different classes in one bucket whose samples agree closely
+    enough: members outside the bucket's largest class against all others."""
     own = stage(members.join(classes, "uid", "left").withColumn("cls", F.coalesce("cls", "uid")), "own")
     per = own.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n"))
     open_keys = stage(per.groupBy("key").agg(F.max_by("cls", F.struct("n", "cls")).alias("main"),
                                              F.sum("n").alias("size"), F.max("n").alias("most"))
                       .filter("size > most and size > 2"), "open")
-    rows = stage(own.join(open_keys, "key").join(sigs, "uid"), "rest")
+    rows = stage(own.join(open_keys, "key"), "rest")
+    sigs = stage(_fine(texts.join(rows.select("uid").distinct(), "uid", "left_semi"), idf), "fine")
+    rows = rows.join(sigs, "uid")
+    least = int(np.ceil((threshold - 3 * np.sqrt(threshold * (1 - threshold) / FINE)) * FINE))
     blocks = F.ceil(F.col("size") / BLOCK)
     member = F.struct("uid", "cls", "sig")
 
@@ -231,7 +272,7 @@ def _rest(members: DataFrame, classes: DataFrame, sigs: DataFrame, n: int, least
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(col, i):
             v = col[i].values
-            sig = np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint32).reshape(-1, n)
+            sig = np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint16).reshape(-1, FINE)
             return v.field("uid").to_numpy(), v.field("cls").to_numpy(), sig
 
         for batch in batches:
@@ -240,7 +281,7 @@ def _rest(members: DataFrame, classes: DataFrame, sigs: DataFrame, n: int, least
                 fu, fc, fs = parts(batch.column("few"), i)
                 eu, ec, es = parts(batch.column("every"), i)
                 for u, c, s in zip(fu, fc, fs, strict=True):
-                    hit = ((es == s).sum(axis=1) >= least * n) & (ec != c)
+                    hit = ((es == s).sum(axis=1) >= least) & (ec != c)
                     a_out.append(np.minimum(eu[hit], u))
                     b_out.append(np.maximum(eu[hit], u))
             a = np.concatenate(a_out) if a_out else np.zeros(0, np.int64)
@@ -261,33 +302,37 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     idf = idf_of(counts, n_docs)
     signed = stage(_signed(docs, idf, bands, rows).withColumn("uid", F.monotonically_increasing_id()), "signed")
     firsts = stage(signed.groupBy("s1", "s2").agg(F.min("uid").alias("rep")), "firsts")
-    named = stage(signed.select("uid", "id", "t1", "t2", "s1", "s2").join(firsts, ["s1", "s2"])
+    named = stage(merged(signed.select("uid", "id", "t1", "t2", "s1", "s2"), firsts, ["s1", "s2"])
                   .select("uid", "id", "t1", "t2", "rep"), "named")
-    reps = signed.join(firsts.select(F.col("rep").alias("uid")), "uid", "left_semi")
+    reps = merged(signed, firsts.select(F.col("rep").alias("uid")), "uid", "left_semi")
     sigs = stage(reps.select("uid", "id", "t1", "t2", "sig"), "reps")
     keys = stage(_band_keys(sigs, bands, rows), "bands")
     # A leader per bucket, by a hash so that buckets of one family differ.
     buckets = stage(keys.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.min_by("uid", F.xxhash64("key", "uid")).alias("leader"))
         .filter("n > 1").select("key", "leader"), "buckets")
-    members = stage(keys.join(buckets, "key"), "members")
+    members = stage(merged(keys, buckets, "key"), "members")
     n, least = bands * rows, threshold - SURE
     star = (members.filter("uid <> leader").select(
         F.least("uid", "leader").alias("a"), F.greatest("uid", "leader").alias("b")).distinct())
-    star = star.join(sigs.select(F.col("uid").alias("a"), F.col("sig").alias("sa")), "a")
-    star = star.join(sigs.select(F.col("uid").alias("b"), F.col("sig").alias("sb")), "b")
+    star = merged(star, sigs.select(F.col("uid").alias("a"), F.col("sig").alias("sa")), "a")
+    star = merged(star, sigs.select(F.col("uid").alias("b"), F.col("sig").alias("sb")), "b")
     pairs = stage(star.filter(_agree("sa", "sb", n) >= least).select("a", "b"), "pairs")
 
     involved = members.select("uid").distinct()
     wanted = stage(sigs.join(involved, "uid", "left_semi").select("uid", "id", "t1", "t2"), "wanted")
-    fetched = docs.join(wanted.select("uid", F.col("id").alias("wid"), F.col("t1").alias("w1"),
-                                      F.col("t2").alias("w2")),
-                        F.col("id").eqNullSafe(F.col("wid")) & (F.col("t1") == F.col("w1"))
-                        & (F.col("t2") == F.col("w2")))
+    # A table of at most 2^20 hash values lets most other documents go before
+    # the texts are shuffled.
+    near = F.pmod(F.col("t1"), F.lit(1 << 20))
+    some = docs.join(F.broadcast(wanted.select(near.alias("near")).distinct()), near == F.col("near"), "left_semi")
+    fetched = merged(some, wanted.select("uid", F.col("id").alias("wid"), F.col("t1").alias("w1"),
+                                         F.col("t2").alias("w2")),
+                     F.col("id").eqNullSafe(F.col("wid")) & (F.col("t1") == F.col("w1"))
+                     & (F.col("t2") == F.col("w2")))
     texts = stage(fetched.select("uid", "text").dropDuplicates(["uid"]), "texts")
     links = _verify(pairs, texts, idf, threshold)
     classes = components(links)
-    more = stage(_rest(members.select("key", "uid"), classes, sigs.select("uid", "sig"), n, least)
+    more = stage(_rest(members.select("key", "uid"), classes, texts, idf, threshold)
                  .join(pairs, ["a", "b"], "left_anti"), "more")
     if not is_empty(more):
         links = links.union(_verify(more, texts, idf, threshold))
