@@ -147,7 +147,7 @@ class _Tree(HTMLParser):
 
 def parse(html: str) -> Node:
     tree = _Tree()
-    tree.feed(html)
+    tree.feed(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", html))  # a tag that the page breaks off in
     tree.close()
     return tree.root
 
