@@ -9,7 +9,6 @@ Layout:
   joins, exact distributed quantiles, data-quality checks.
 * ``hearth.plans``     — whole jobs: ingest (CSV -> star), quality score,
   reporting queries.
-* ``hearth.streaming`` — incremental ingest of landed files.
 * ``hearth.sinks``     — Parquet writers with all-or-nothing publish.
 
 Every job returns a lazy DataFrame built from native expressions; nothing is

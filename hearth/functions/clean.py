@@ -14,6 +14,7 @@ Behaviour that differs from a naive Spark cast, on purpose:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -110,41 +111,52 @@ def parse_number(c: Column | str, to: str = "double") -> Column:
     return d if to == "double" else d.try_cast(to)
 
 
+# Date and time formats, tried in this order; one-letter fields take one or
+# two digits.
 DEFAULT_DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss.SSS",
-    "MM/dd/yyyy",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy hh:mm:ss a",
-    "M/d/yyyy",
+    "yyyy-M-d", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "yyyy-M-d'T'H:mm:ss", "yyyy-M-d'T'H:mm:ss.SSS",
+    "yyyy-M-d'T'H:mm", "yyyy/M/d", "yyyyMMdd",
+    "M/d/yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a",
+    "M/d/yy", "M-d-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy", "d MMM yyyy",
 )
-# Text shape of each known format. A failed parse is costly (the parser
-# raises internally), so a format is only tried on text of its shape.
-_D = r"[0-9]{1,2}"
-FORMAT_SHAPES = {
-    "yyyy-MM-dd": rf"^[0-9]{{4}}-{_D}-{_D}$",
-    "yyyy-MM-dd HH:mm:ss": rf"^[0-9]{{4}}-{_D}-{_D} {_D}:[0-9]{{2}}:[0-9]{{2}}$",
-    "yyyy-MM-dd'T'HH:mm:ss": rf"^[0-9]{{4}}-{_D}-{_D}T{_D}:[0-9]{{2}}:[0-9]{{2}}$",
-    "yyyy-MM-dd'T'HH:mm:ss.SSS":
-        rf"^[0-9]{{4}}-{_D}-{_D}T{_D}:[0-9]{{2}}:[0-9]{{2}}\.[0-9]{{3}}$",
-    "MM/dd/yyyy": rf"^{_D}/{_D}/[0-9]{{4}}$",
-    "MM/dd/yyyy HH:mm:ss": rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}:[0-9]{{2}}$",
-    "MM/dd/yyyy hh:mm:ss a": rf"^{_D}/{_D}/[0-9]{{4}} {_D}:[0-9]{{2}}:[0-9]{{2}} [AaPp][Mm]$",
-    "M/d/yyyy": rf"^{_D}/{_D}/[0-9]{{4}}$",
-}
+# Text shape of each field. A failed parse is costly (the parser raises
+# internally), so a format is only tried on text of its shape.
+_FIELD_SHAPES = {"yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": "[A-Z][a-z]{3,8}", "MMM": "[A-Z][a-z]{2}",
+                 "MM": "[0-9]{2}", "M": "[0-9]{1,2}", "dd": "[0-9]{2}", "d": "[0-9]{1,2}", "HH": "[0-9]{2}",
+                 "H": "[0-9]{1,2}", "hh": "[0-9]{2}", "h": "[0-9]{1,2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}",
+                 "SSS": "[0-9]{3}", "a": "[AaPp][Mm]"}
+
+
+def format_shape(fmt: str) -> str:
+    """The regular expression of the texts that have the shape of ``fmt``."""
+    out, at = "", 0
+    while at < len(fmt):
+        if fmt[at] == "'":
+            end = fmt.index("'", at + 1)
+            out += re.escape(fmt[at + 1:end])
+            at = end + 1
+        elif fmt[at].isalpha():
+            run = re.match(r"(.)\1*", fmt[at:]).group(0)
+            out += _FIELD_SHAPES[run]
+            at += len(run)
+        else:
+            out += re.escape(fmt[at])
+            at += 1
+    return f"^{out}$"
 
 
 def parse_timestamp(c: Column | str, formats: Iterable[str] = DEFAULT_DATE_FORMATS) -> Column:
-    """First format that parses wins; no format parses -> NULL (TIMESTAMP_NTZ)."""
-    s = strip_ws(c)
+    """First format that parses wins; no format parses -> NULL (TIMESTAMP_NTZ).
+
+    A trailing ``Z`` is dropped. Two-digit years are 1969 to 2068."""
+    s = F.regexp_replace(strip_ws(c), "(?<=[0-9])Z$", "")
     tries = []
     for f in formats:
-        t = F.try_to_timestamp(s, F.lit(f))
-        shape = FORMAT_SHAPES.get(f)
-        tries.append(F.when(s.rlike(shape), t) if shape else t)
-    return F.coalesce(*tries).cast("timestamp_ntz")
+        t = F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz")
+        if "yy" in f and "yyyy" not in f:
+            t = F.when(F.year(t) > 2068, t - F.expr("INTERVAL 100 YEAR")).otherwise(t)
+        tries.append(F.when(s.rlike(format_shape(f)), t))
+    return F.coalesce(*tries)
 
 
 def parse_date(c: Column | str, formats: Iterable[str] = DEFAULT_DATE_FORMATS) -> Column:
@@ -190,5 +202,4 @@ def null_tokens(c: Column | str, tokens: Iterable[str] = MISSING_TOKENS) -> Colu
 
 def normalize_header(name: str) -> str:
     """Header normalisation: strip, lower case, runs of blanks/dashes -> ``_``."""
-    import re
     return re.sub(r"[\s\-]+", "_", name.strip().lower())

@@ -20,9 +20,12 @@ def safe_div(a: Column | str, b: Column | str) -> Column:
 
 
 def price_per_sqft(price: Column | str, sqft: Column | str) -> Column:
-    """Price over area rounded to cents when the area is positive, else NULL."""
+    """Price over area rounded to cents when the area is positive, else NULL.
+
+    A quotient too large for the column is NULL too (``decimal_overflow``
+    counts such rows); it must not abort the job."""
     sq = _c(sqft)
-    return F.when(sq > 0, F.round(_c(price) / sq, 2)).cast(S.PPSF)
+    return F.when(sq > 0, F.round(_c(price) / sq, 2)).try_cast(S.PPSF)
 
 
 def sold_below_assessment(price: Column | str, assessed: Column | str) -> Column:

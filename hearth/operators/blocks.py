@@ -16,6 +16,8 @@ recomputed task can never see a different split and the lineage is cut.
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +28,8 @@ BLOCK = "_blk"
 # Target bytes per block when the input is too large for the configured
 # shuffle partition count (a block is ranked by one task).
 BLOCK_TARGET_BYTES = 128 * 1024 * 1024
-MAX_BLOCKS = 50_000
+# In-memory bytes of a row per byte of a compressed columnar scan.
+EXPANSION = 4
 
 
 def block_count(df: DataFrame, target_bytes: int = BLOCK_TARGET_BYTES) -> int | None:
@@ -47,11 +50,11 @@ def block_count(df: DataFrame, target_bytes: int = BLOCK_TARGET_BYTES) -> int |
         return None
     # Without CBO a join is estimated as the product of its sides; the rows
     # ranked here (value counts, key sets) never exceed what was scanned.
-    est = min(est, scanned)
+    est = min(est, scanned * EXPANSION)
     if est >= 2 ** 62:  # no statistics (the default estimate is Long.MaxValue)
         return None
     base = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    need = min(-(-est // target_bytes), MAX_BLOCKS)
+    need = -(-est // target_bytes)
     return int(need) if need > base else None
 
 
@@ -71,34 +74,43 @@ def range_blocks(df: DataFrame, order: list[Column | str],
     return stage(tagged, "blocks")
 
 
-_STAGED: list[str] = []
+_SCOPE: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging_scope(spark):
+    """Own the folders staged inside: they are deleted at the end, also after
+    a failure. Folders staged outside the scope, or in another, are not touched.
+
+    Plans built inside read those folders, so write their results inside too.
+    """
+    paths: list[str] = []
+    token = _SCOPE.set(paths)
+    try:
+        yield paths
+    finally:
+        _SCOPE.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet under the shared checkpoint folder and
     read it back: later branches reuse the rows instead of recomputing them,
     and the lineage is cut (a lost executor re-reads, it does not re-derive).
-    The folder lives until ``release_staged`` (after the results that read
-    it are written)."""
+    The folder belongs to the enclosing ``staging_scope``; without one it
+    stays until the cluster cleans its checkpoint folder."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    paths = _SCOPE.get()
+    if paths is not None:
+        paths.append(path)
     df.write.mode("overwrite").parquet(path)
-    _STAGED.append(path)
     return spark.read.parquet(path)
 
 
-def release_staged(spark) -> int:
-    """Delete the scratch folders staged so far; returns how many."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    while _STAGED:
-        p = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
-        p.getFileSystem(conf).delete(p, True)
-        n += 1
-    return n
-
-
 def block_offsets(blocks: DataFrame, group: list[str], weight: Column) -> DataFrame:
     """Per (group, block): the summed weight of earlier blocks of the group.
 

@@ -10,16 +10,19 @@ def spread_small_input(df: DataFrame, min_partitions: int | None = None) -> Data
 
     A large input already arrives as thousands of file splits and is left
     untouched (no shuffle). A small input stored as one file/row group would
-    otherwise run every following narrow stage in one task. The split count
-    is read from the planned scan (no job runs).
+    otherwise run every following narrow stage in one task. Whether it is
+    small is read from the scan's size in the optimizer's statistics: no job
+    runs and no plan is executed.
     """
     spark = df.sparkSession
     try:
         target = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a remote session): leave as is
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        scanned = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    except Exception:  # no JVM plan handle (e.g. a remote session): leave as is
         return df
-    return df if have >= target else df.repartition(target)
+    return df if scanned >= target * int(split) else df.repartition(target)
 
 
 def keep_valid(df: DataFrame, ok) -> DataFrame:

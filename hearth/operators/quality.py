@@ -32,7 +32,7 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
 
 def orphans(child: DataFrame, col: str, parent: DataFrame, parent_col: str) -> DataFrame:
     """V4: child rows whose non-NULL foreign key has no parent row."""
-    p = parent.select(F.col(parent_col).alias("_pk")).distinct()
+    p = parent.select(F.col(parent_col).alias("_pk"))
     return (child.where(F.col(col).isNotNull())
             .join(p, F.col(col) == F.col("_pk"), "left_anti"))
 

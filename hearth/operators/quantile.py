@@ -6,10 +6,11 @@ fit. Here:
 
 1. values are counted per (group, value) — partial aggregation collapses
    repeats on the map side;
-2. the counted values are cut into range blocks (see ``blocks``) and each
-   row gets its cumulative count = block offset + running count in block;
-3. the rows holding ranks ``floor(q(n-1))`` and ``ceil(q(n-1))`` are kept
-   (at most two per group) and interpolated.
+2. the counted values are cut into range blocks (see ``blocks``), and the
+   blocks' totals (one row per group and block) say which one or two blocks of
+   a group hold the ranks ``floor(q(n-1))`` and ``ceil(q(n-1))``;
+3. only those blocks are ranked, and their two values interpolated. The rest
+   of a group is never exchanged on the group.
 
 Decimal input stays decimal, so the result is exact.
 """
@@ -21,7 +22,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.operators.blocks import BLOCK, block_offsets, range_blocks
+from hearth.operators.blocks import BLOCK, range_blocks
 
 
 def value_counts(df: DataFrame, group: list[str], value: str,
@@ -40,32 +41,32 @@ def percentile_cont(df: DataFrame, group: list[str], value: str, q: float = 0.5,
         raise ValueError("q must be in [0, 1]")
     vc = value_counts(df, group, value, weight)
     blocks = range_blocks(vc, [*group, value], partitions)
-    offs = block_offsets(blocks, group, F.col("_w"))
-
-    local = Window.partitionBy(*group, BLOCK).orderBy(value).rowsBetween(
+    # One row per (group, block): its weight and that of the blocks before.
+    per = blocks.groupBy(*group, BLOCK).agg(F.sum("_w").alias("_bw"))
+    upto = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    ranked = (blocks.withColumn("_run", F.sum("_w").over(local))
-              .join(offs, [*group, BLOCK])
-              .select(*group, value,
-                      (F.col("_off") + F.col("_run") - F.col("_w")).alias("_lo_rank"),
-                      (F.col("_off") + F.col("_run")).alias("_hi_rank")))
-
     qd = F.lit(str(Decimal(str(q)))).cast("decimal(20,18)")
-    totals = blocks.groupBy(*group).agg(F.sum("_w").alias("_n"))
     pos = qd * (F.col("_n") - 1).cast("decimal(20,0)")
-    targets = totals.select(*group,
-                            F.floor(pos).cast("long").alias("_k1"),
-                            F.ceil(pos).cast("long").alias("_k2"),
-                            (pos - F.floor(pos)).alias("_frac"))
+    spans = (per.withColumn("_end", F.sum("_bw").over(upto))
+             .withColumn("_n", F.sum("_bw").over(Window.partitionBy(*group)))
+             .select(*group, BLOCK, (F.col("_end") - F.col("_bw")).alias("_off"), "_end",
+                     F.floor(pos).cast("long").alias("_k1"), F.ceil(pos).cast("long").alias("_k2"),
+                     (pos - F.floor(pos)).alias("_frac")))
 
-    def holds(k: str) -> Column:
-        return (F.col("_lo_rank") <= F.col(k)) & (F.col(k) < F.col("_hi_rank"))
+    def inside(k: str, lo: str, hi: str) -> Column:
+        return (F.col(lo) <= F.col(k)) & (F.col(k) < F.col(hi))
 
-    hit = (ranked.join(targets, group)
-           .where(holds("_k1") | holds("_k2"))
+    # At most two blocks of a group hold the wanted ranks; only they are ranked.
+    wanted = spans.where(inside("_k1", "_off", "_end") | inside("_k2", "_off", "_end")).drop("_end")
+    local = Window.partitionBy(*group, BLOCK).orderBy(value).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    ranked = (blocks.join(wanted, [*group, BLOCK])
+              .withColumn("_hi", F.col("_off") + F.sum("_w").over(local))
+              .withColumn("_lo", F.col("_hi") - F.col("_w")))
+    hit = (ranked.where(inside("_k1", "_lo", "_hi") | inside("_k2", "_lo", "_hi"))
            .groupBy(*group)
-           .agg(F.max(F.when(holds("_k1"), F.col(value))).alias("_v1"),
-                F.max(F.when(holds("_k2"), F.col(value))).alias("_v2"),
+           .agg(F.max(F.when(inside("_k1", "_lo", "_hi"), F.col(value))).alias("_v1"),
+                F.max(F.when(inside("_k2", "_lo", "_hi"), F.col(value))).alias("_v2"),
                 F.first("_frac").alias("_frac")))
     interp = F.col("_v1") + (F.col("_v2") - F.col("_v1")) * F.col("_frac")
     vtype = dict(df.dtypes)[value]

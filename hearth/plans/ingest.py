@@ -17,7 +17,9 @@ reported by ``operators.joins.fanout_counts`` instead of being written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth import schemas as S
@@ -55,7 +57,7 @@ def clean_city_sales(raw: DataFrame, min_price: float = MIN_PRICE) -> DataFrame:
         C.clean_int("residential_units").alias("residential_units"),
         price.alias("sale_price"),
         date.alias("sale_date"),
-        X.price_per_sqft(price.cast(S.MONEY), gross).alias("price_per_sqft"))
+        X.price_per_sqft(price.try_cast(S.MONEY), gross).alias("price_per_sqft"))
     return keep_valid(typed, F.col("sale_price").isNotNull()
                       & (F.col("sale_price") > min_price)
                       & F.col("property_type").isNotNull() & F.col("zip_code").isNotNull()
@@ -75,6 +77,56 @@ def city_rejects(raw: DataFrame, min_price: float = MIN_PRICE) -> DataFrame:
     })
 
 
+def reject_reasons(feed: str, min_price: float = MIN_PRICE) -> dict[str, Column]:
+    """Why a raw row of ``feed`` does not reach its table; a row may have
+    several reasons. A sale without an address has no natural key, so no
+    property: it is counted here and not written."""
+    if feed == "city_sales":
+        price = C.clean_price("sale_price")
+        return {"price_missing": price.isNull(),
+                "price_not_above_min": price <= min_price,
+                "type_unmapped": C.building_type("building_class_category").isNull(),
+                "zip_invalid": C.clean_zip("zip_code").isNull(),
+                "date_invalid": C.parse_date("sale_date").isNull(),
+                "address_missing": F.col("address").isNull()}
+    if feed == "state_sales":
+        price = C.parse_number("saleamount")
+        return {"price_missing": price.isNull(),
+                "price_not_above_min": price <= min_price,
+                "type_unmapped": C.state_use_type("propertytype").isNull(),
+                "date_invalid": C.parse_date("daterecorded").isNull(),
+                "address_missing": F.col("address").isNull(),
+                "town_missing": F.col("town").isNull()}
+    if feed == "violations":
+        return {"id_missing": F.col("violationid").isNull(),
+                "date_invalid": C.parse_date("inspectiondate").isNull()}
+    return {}
+
+
+# Keys of the feeds whose rows are loaded without one, too; reported only.
+NOTED_KEYS = {"requests_311": "unique_key", "home_values": "RegionName", "school_metrics": "dbn"}
+
+
+def reject_report(feeds: dict[str, DataFrame]) -> DataFrame:
+    """V10 for a whole load: (feed, reason, rows), one pass per feed. The
+    reasons ``read``, ``accepted`` and ``rejected`` count rows, so that
+    accepted + rejected = read; the others count rows per reason. A feed with
+    a ``_corrupt`` column also reports its malformed records."""
+    parts = []
+    for feed, raw in feeds.items():
+        why = {k: F.coalesce(c, F.lit(False)) for k, c in reject_reasons(feed).items()}
+        if "_corrupt" in raw.columns:
+            why["malformed"] = F.col("_corrupt").isNotNull()
+        bad = reduce(lambda a, b: a | b, why.values(), F.lit(False))
+        counts = {"read": F.lit(True), "accepted": ~bad, "rejected": bad, **why}
+        if feed in NOTED_KEYS:
+            counts["key_missing"] = F.col(NOTED_KEYS[feed]).isNull()
+        row = raw.agg(*[F.count_if(c).alias(k) for k, c in counts.items()])
+        stack = ", ".join(f"'{k}', `{k}`" for k in counts)
+        parts.append(row.selectExpr(f"'{feed}' as feed", f"stack({len(counts)}, {stack}) as (reason, rows)"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def neighborhoods(city: DataFrame, borough: DataFrame) -> DataFrame:
     """One row per zip: first neighbourhood/borough seen in file order."""
     first = keep_first(city.select("zip_code", "neighborhood", "borough_name", "_ord"),
@@ -122,7 +174,7 @@ def city_properties(city: DataFrame, borough: DataFrame) -> DataFrame:
 def city_sales(city: DataFrame, props: DataFrame) -> DataFrame:
     """Sales with property ids (dedup mode); NULL assessed, so flag FALSE."""
     s = J.resolve_keys(city, props, ["address", "zip_code"])
-    price = F.col("sale_price").cast(S.MONEY)
+    price = F.col("sale_price").try_cast(S.MONEY)
     assessed = F.lit(None).cast(S.MONEY)
     return s.select("_ord", "property_id",
                     price.alias("sale_price"), "sale_date", "price_per_sqft",
@@ -130,16 +182,17 @@ def city_sales(city: DataFrame, props: DataFrame) -> DataFrame:
                     X.sold_below_assessment(price, assessed).alias("sold_below_assessment"))
 
 
-def number_sales(ny: DataFrame, ct: DataFrame | None = None) -> DataFrame:
+def number_sales(ny: DataFrame, ct: DataFrame | None = None, keep_feed: bool = False) -> DataFrame:
     """Transaction ids 1..n: city sales first, then state sales, each in file
-    order (the order the reference inserts them)."""
+    order (the order the reference inserts them). ``keep_feed`` keeps
+    ``_feed``: 0 for city, 1 for state."""
     cols = [f.name for f in S.SALES_TRANSACTION.fields if f.name != "transaction_id"]
     both = ny.select(F.lit(0).alias("_feed"), "_ord", *cols)
     if ct is not None:
         both = both.unionByName(ct.select(F.lit(1).alias("_feed"), "_ord", *cols,
                                           *[c for c in ct.columns if c == "sales_ratio"]),
                                 allowMissingColumns=True)
-    return dense_keys(both, ["_feed", "_ord"], key="transaction_id").drop("_feed", "_ord")
+    return dense_keys(both, ["_feed", "_ord"], key="transaction_id").drop("_ord", *([] if keep_feed else ["_feed"]))
 
 
 def price_history(sales: DataFrame) -> DataFrame:
@@ -168,7 +221,7 @@ def municipalities(state: DataFrame, code: str = "CT") -> DataFrame:
     """Distinct towns with dense ids by name; state defaults to ``code``."""
     towns = state.select(F.col("town").alias("town_name")).where(
         F.col("town_name").isNotNull()).distinct()
-    return (dense_keys(towns, ["town_name"], key="municipality_id", method="window")
+    return (dense_keys(towns, ["town_name"], key="municipality_id")
             .select(F.col("municipality_id").cast("int"), "town_name",
                     F.lit(code).alias("state")))
 
@@ -194,7 +247,7 @@ def state_properties(state: DataFrame, towns: DataFrame, ct_borough_id: int = 6)
 
 def state_sales(state: DataFrame, props: DataFrame) -> DataFrame:
     s = J.resolve_keys(state, props, ["address", "town"])
-    price = F.col("sale_price").cast(S.MONEY)
+    price = F.col("sale_price").try_cast(S.MONEY)
     assessed = F.col("assessed_value").try_cast(S.MONEY)
     return s.select("_ord", "property_id",
                     price.alias("sale_price"), "sale_date",
@@ -326,23 +379,24 @@ def build_star(spark: SparkSession, feeds: dict[str, DataFrame], home_min: str =
     ct_props = props.where(F.col("region") == "CT")
     ny_sales = city_sales(city, ny_props)
     ct_sales = state_sales(st, ct_props)
-    sales = number_sales(ny_sales, ct_sales)
+    # Three tables read the numbered sales: rank them once.
+    sales = stage(number_sales(ny_sales, ct_sales, keep_feed=True), "sales")
     sales_cols = [f.name for f in S.SALES_TRANSACTION.fields]
-    sch, _ = split_schools(schools(feeds["school_metrics"]), district)
+    sch, quarantined = split_schools(schools(feeds["school_metrics"]), district)
     return {
         "borough": borough,
         "neighborhood": nbhd,
         "municipality": towns,
         "property": props.select(*[f.name for f in S.PROPERTY.fields]),
         "sales_transaction": sales.select(*sales_cols),
-        "price_history": price_history(sales.join(ny_props.select("property_id"),
-                                                  "property_id", "left_semi")),
-        "assessment_history": assessment_history(
-            sales.join(ct_props.select("property_id"), "property_id", "left_semi")),
+        "price_history": price_history(sales.where(F.col("_feed") == 0)),
+        "assessment_history": assessment_history(sales.where(F.col("_feed") == 1)),
         "housing_violation": housing_violations(feeds["violations"], borough),
         "service_request_311": service_requests(feeds["requests_311"], borough),
         "neighborhood_market_stat": market_stats(home_values(
             feeds["home_values"], nbhd, prefix=home_prefix, minimum=home_min)),
         "school_district": district,
         "school": sch,
+        "school_quarantine": quarantined,
+        "rejected_rows": reject_report(feeds),
     }

@@ -7,7 +7,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, SparkSession
 
 from hearth import schemas as S
-from hearth.operators.blocks import release_staged
+from hearth.operators.blocks import staging_scope
 from hearth.plans import ingest as I
 from hearth.plans import score as E
 from hearth.sinks import new_run, switch_to, write_run
@@ -28,7 +28,8 @@ def read_feeds(spark: SparkSession, data_dir: str) -> dict[str, DataFrame]:
     """All six raw feeds from one landing folder (every matching file)."""
     out = {}
     for feed, (glob, cols, norm) in SOURCES.items():
-        out[feed] = files.read_csv(spark, data_dir, columns=cols, glob=glob, normalize=norm)
+        out[feed] = files.read_csv(spark, data_dir, columns=cols, glob=glob, normalize=norm,
+                                   multiline=True, corrupt="_corrupt")
     return out
 
 
@@ -40,14 +41,14 @@ def load(spark: SparkSession, feeds: dict[str, DataFrame], root: str,
     cleaning runs twice. Returns the published run folder.
     """
     run_dir = new_run(root)
-    # property is read per region by the state-feed reports: partition on it
-    write_run(run_dir, I.build_star(spark, feeds, home_min=home_min),
-              partition_by={"property": ["region"]})
-    star = files.read_star(spark, run_dir)
-    write_run(run_dir, {"neighborhood_quality_score": E.quality_score(star, as_of=as_of)},
-              partition_by={"neighborhood_quality_score": ["score_month"]})
+    with staging_scope(spark):  # the published tables do not read the scratch
+        # property is read per region by the state-feed reports: partition on it
+        write_run(run_dir, I.build_star(spark, feeds, home_min=home_min),
+                  partition_by={"property": ["region"]})
+        star = files.read_star(spark, run_dir)
+        write_run(run_dir, {"neighborhood_quality_score": E.quality_score(star, as_of=as_of)},
+                  partition_by={"neighborhood_quality_score": ["score_month"]})
     switch_to(spark, run_dir)
-    release_staged(spark)  # the published tables no longer read the scratch
     return run_dir
 
 

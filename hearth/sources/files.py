@@ -14,68 +14,111 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearth.functions.clean import MISSING_TOKENS, normalize_header, null_tokens
 from hearth.operators.dedup import with_ordinal
 
 
-def _header(spark: SparkSession, path: str, glob: str | None) -> list[str]:
-    """Column names from the header line (one small read of the first line)."""
-    r = spark.read.option("header", "true").option("inferSchema", "false")
+def _files_by_header(spark: SparkSession, path: str, glob: str | None) -> dict[tuple[str, ...], list[str]]:
+    """The matching files, grouped by their header line.
+
+    Only the first record of each file is read; a landing folder holds a
+    handful of exports, so the list of their names is small.
+    """
+    r = spark.read.format("binaryFile")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    return r.csv(path).columns
+    out: dict[tuple[str, ...], list[str]] = {}
+    for (name,) in r.load(path).select("path").distinct().orderBy("path").collect():
+        header = tuple(spark.read.option("header", "true").option("inferSchema", "false")
+                       .option("escape", '"').csv(name).columns)
+        out.setdefault(header, []).append(name)
+    return out
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
              glob: str | None = None, normalize: bool = False,
-             multiline: bool = False, missing: list[str] | None = MISSING_TOKENS,
-             ordinal: str | None = "_ord", source_file: bool = False) -> DataFrame:
+             multiline: bool = True, missing: list[str] | None = MISSING_TOKENS,
+             ordinal: str | None = "_ord", source_file: bool = False,
+             corrupt: str | None = None) -> DataFrame:
     """Read CSV files with header, all columns as STRING.
 
-    ``columns`` selects (and orders) the columns to keep after header
-    normalisation; missing ones are added as NULL strings. ``ordinal`` adds
-    the ingest position used by keep-first dedup.
+    Every file is read by its own header, so files of one glob may order
+    their columns differently; a column that a file lacks is NULL for its
+    rows. ``columns`` selects (and orders) the columns to keep after header
+    normalisation. ``ordinal`` adds the ingest position used by keep-first
+    dedup. Quoted line breaks belong to the record (``multiline``, one task
+    per file; switch it off for files known to have none, which then split).
+    ``corrupt`` names a column that keeps the text of a malformed record (too
+    few or too many fields), which is NULL for good ones; Spark wants another
+    column of the file read along with it.
     """
-    from pyspark.sql import types as T
-    names = _header(spark, path, glob)
-    schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    r = (spark.read.schema(schema).option("header", "true")
-         .option("multiLine", str(multiline).lower()).option("escape", '"')
-         .option("mode", "PERMISSIVE"))
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    df = r.csv(path)
-    if ordinal:
-        df = with_ordinal(df, ordinal)
-    if source_file:
-        df = df.withColumn("_source_file", F.col("_metadata.file_path"))
-    if normalize:
-        df = df.toDF(*[normalize_header(c) if c in names else c for c in df.columns])
-    keep_extra = [c for c in (ordinal, "_source_file" if source_file else None) if c]
+    parts = []
+    for names, paths in _files_by_header(spark, path, glob).items():
+        fields = [T.StructField(n, T.StringType(), True) for n in names]
+        if corrupt:
+            fields.append(T.StructField(corrupt, T.StringType(), True))
+        r = (spark.read.schema(T.StructType(fields)).option("header", "true")
+             .option("multiLine", str(multiline).lower()).option("escape", '"')
+             .option("mode", "PERMISSIVE"))
+        if corrupt:
+            r = r.option("columnNameOfCorruptRecord", corrupt)
+        df = r.csv(paths)
+        extra = [c for c in (ordinal, "_source_file" if source_file else None, corrupt) if c]
+        if ordinal:
+            df = with_ordinal(df, ordinal)
+        if source_file:
+            df = df.withColumn("_source_file", F.col("_metadata.file_path"))
+        if normalize:
+            df = df.toDF(*[normalize_header(c) if c in names else c for c in df.columns])
+        parts.append(_selected(df, columns, extra, missing))
+    if not parts:
+        raise FileNotFoundError(f"no file matches {glob or '*'} in {path}")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def _selected(df: DataFrame, columns: list[str] | None, extra: list[str],
+              missing: list[str] | None) -> DataFrame:
     if columns is not None:
         have = set(df.columns)
         df = df.select(*[F.col(c) if c in have else F.lit(None).cast("string").alias(c)
-                         for c in columns], *keep_extra)
+                         for c in columns], *extra)
     if missing:
-        df = df.select(*[null_tokens(c, missing).alias(c) if c not in keep_extra else F.col(c)
+        df = df.select(*[null_tokens(c, missing).alias(c) if c not in extra else F.col(c)
                          for c in df.columns])
     return df
 
 
-def read_json(spark: SparkSession, path: str, columns: list[str],
-              ordinal: str | None = "_ord") -> DataFrame:
-    """Landed JSON documents (one per line or an array per file), fields as STRING.
-
-    For open-data exports fetched outside Spark; no network access here.
-    """
-    from pyspark.sql import types as T
+def json_records(lines: DataFrame, columns: list[str], value: str = "value") -> DataFrame:
+    """Records of JSON text lines: one object per line, bare or as the open-data
+    portals export an array (``[{..}`` / ``,{..}`` / ``{..},`` / ``]``), so a
+    large export still splits by line. Lines without an object are dropped;
+    other columns of ``lines`` are kept."""
     schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
-    df = spark.read.schema(schema).option("multiLine", "false").json(path)
-    return with_ordinal(df, ordinal) if ordinal else df
+    body = F.regexp_replace(F.regexp_replace(F.col(value), r"^\s*\[?\s*,?\s*(?=\{)", ""),
+                            r"(?<=\})\s*,?\s*\]?\s*$", "")
+    keep = [c for c in lines.columns if c != value]
+    return (lines.withColumn("_body", body).where(F.col("_body").startswith("{"))
+            .select(*keep, F.from_json("_body", schema).alias("_rec"))
+            .select(*[F.col("_rec")[c].alias(c) for c in columns], *keep))
+
+
+def read_json(spark: SparkSession, path: str, columns: list[str],
+              ordinal: str | None = "_ord", document: bool = False) -> DataFrame:
+    """Landed JSON exports, fields as STRING: one object per line, alone or in
+    an array laid out by line. ``document`` reads files whose objects span
+    several lines (one task per file)."""
+    if document:
+        schema = T.StructType([T.StructField(c, T.StringType(), True) for c in columns])
+        df = spark.read.schema(schema).option("multiLine", "true").json(path)
+        return with_ordinal(df, ordinal) if ordinal else df
+    lines = spark.read.text(path)
+    return json_records(with_ordinal(lines, ordinal) if ordinal else lines, columns)
 
 
 def read_star(spark: SparkSession, root: str, tables: list[str] | None = None) -> "StarTables":

@@ -70,6 +70,47 @@ def test_landed_json(spark):
     assert df.where("boro is not null").count() == 0
 
 
+def test_csv_quoted_breaks_and_headers_per_file(spark):
+    tmp = tempfile.mkdtemp(prefix="hearth-csv2-")
+    _write(tmp, "hpd_a.csv", 'violationid,zip,novdescription\n1,10001,"line one\nline two"\n2,10002,x\n')
+    _write(tmp, "hpd_b.csv", 'zip,violationid\n10003,3\n10004,4,5\n')
+    df = files.read_csv(spark, tmp, columns=["violationid", "zip", "novdescription"], glob="hpd*.csv",
+                        corrupt="_corrupt")
+    rows = {r.violationid: r for r in df.collect()}
+    assert set(rows) == {"1", "2", "3", "4"}
+    assert rows["1"].novdescription == "line one\nline two" and rows["3"].zip == "10003"
+    assert rows["3"].novdescription is None and rows["3"]._corrupt is None
+    assert [r.violationid for r in rows.values() if r._corrupt is not None] == ["4"]
+
+
+def test_json_array_layouts(spark):
+    tmp = tempfile.mkdtemp(prefix="hearth-json2-")
+    _write(tmp, "a.json", '[{"id":"1","z":"a]"}\n,{"id":"2","z":"b,"}\n,{"id":"3"}]\n')
+    _write(tmp, "b.json", '[\n{"id":"4"},\n{"id":"5"}\n]\n')
+    got = files.read_json(spark, tmp, ["id", "z"])
+    assert sorted((r.id, r.z) for r in got.collect()) == [
+        ("1", "a]"), ("2", "b,"), ("3", None), ("4", None), ("5", None)]
+    doc = _write(tmp, "c.txt", '[{"id":\n"6"}, {"id": "7"}]')
+    assert sorted(r.id for r in files.read_json(spark, doc, ["id"], document=True).collect()) == ["6", "7"]
+
+
+def test_scopes_own_their_staged_folders(spark):
+    from hearth.operators.blocks import stage, staging_scope
+    with staging_scope(spark) as outer:
+        kept = stage(spark.range(5), "a")
+        with staging_scope(spark) as inner:
+            stage(spark.range(3), "b")
+        assert len(inner) == 1 and not os.path.exists(inner[0])
+        assert kept.count() == 5
+    assert not os.path.exists(outer[0])
+    try:
+        with staging_scope(spark) as failed:
+            stage(spark.range(3), "c")
+            raise ValueError
+    except ValueError:
+        assert not os.path.exists(failed[0])
+
+
 def test_publish_star_is_all_or_nothing(spark):
     root = tempfile.mkdtemp(prefix="hearth-star-")
     b = literal.boroughs(spark)

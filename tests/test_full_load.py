@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -84,6 +85,8 @@ def test_load_from_landed_files(spark, star_small):
         _land_csv(spark, df, land, names[feed])
     feeds = read_feeds(spark, land)
     root = tempfile.mkdtemp(prefix="hearth-root-")
+    from hearth.session import checkpoint_dir
+    before = set(os.listdir(checkpoint_dir(spark)))
     run = load(spark, feeds, root, as_of="2024-06-15", home_min="2000")
     assert current_run(spark, root) == run
     star = files.read_star(spark, run)
@@ -97,8 +100,15 @@ def test_load_from_landed_files(spark, star_small):
     assert ny == city
     assert star.neighborhood_market_stat.select("stat_id").distinct().count() == \
         star.neighborhood_market_stat.count()
-    from hearth.operators import blocks
-    assert blocks._STAGED == []   # scratch released after the publish
+    # no scratch is left, every feed's rows are accounted for
+    from hearth.session import checkpoint_dir
+    left = [f for f in os.listdir(checkpoint_dir(spark)) if f.startswith(("city_sales-", "state_sales-", "sales-"))]
+    assert not set(left) - before
+    rejected = {(r.feed, r.reason): r.rows for r in star.rejected_rows.collect()}
+    for feed in ("city_sales", "state_sales", "violations"):
+        assert rejected[feed, "read"] == rejected[feed, "accepted"] + rejected[feed, "rejected"]
+        assert rejected[feed, "read"] == feeds[feed].count() and rejected[feed, "malformed"] == 0
+    assert star.school_quarantine.columns == star.school.columns
 
 
 def test_region_partition_is_pruned(spark, star_small):
