@@ -464,10 +464,15 @@ def _dq_queries() -> dict[str, str]:
     rows.append(_row("lineitem", "duplicate_key", "l_orderkey,l_linenumber",
                      "SELECT COUNT(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem "
                      "GROUP BY ALL HAVING COUNT(*) > 1)"))
+    rows.append(_row("orders", "duplicate_unique", "o_custkey,o_orderdate",
+                     "SELECT COUNT(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey, o_orderdate "
+                     "HAVING COUNT(*) > 1)"))
     q["dq_pk"] = _star_ctes() + "\nUNION ALL\n".join(rows)
 
     rows = [_row(t, "not_null", c, f"SELECT COUNT(*) FROM {_DQ_VIEWS[t]} WHERE {c} IS NULL")
             for t in STAR_TABLES for c in S.NOT_NULL.get(t, [])]
+    rows.append(_row("orders", "not_null", "has_line",
+                     "SELECT COUNT(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"))
     q["dq_not_null"] = _star_ctes() + "\nUNION ALL\n".join(rows)
 
     rows = []
@@ -494,6 +499,7 @@ def _dq_queries() -> dict[str, str]:
             cnt = (f"SELECT COUNT(*) FROM {_DQ_VIEWS[t]} WHERE length({_col(t, c)}) > {n}"
                    if c in _PRESENT[t] else "SELECT 0")
             rows.append(_row(t, f"length>{n}", c, cnt))
+    rows.append(_row("part", "length>9", "p_type", "SELECT COUNT(*) FROM part WHERE len(p_type) >= 10"))
     q["dq_length"] = _star_ctes() + "\nUNION ALL\n".join(rows)
 
     specs = {"sale_price": (15, 2), "assessed_value": (15, 2), "sales_ratio": (8, 4)}
@@ -524,6 +530,54 @@ FROM ph GROUP BY property_id, price_c, sale_date HAVING COUNT(*) > 1"""
         f"SELECT '{r}' AS reason, CAST(COUNT(*) FILTER (WHERE {c}) AS BIGINT) AS rows FROM raw_city"
         for r, c in reasons.items())
 
+    use_types = ("'Single Family', 'Two Family', 'Three Family', 'Condo', 'Apartment', 'Townhouse'")
+    why = {
+        "city_sales": ("raw_city", {**reasons, "price_not_above_min": f"{price} <= 50000",
+                                    "address_missing": "address IS NULL"}),
+        "state_sales": ("raw_state", {
+            "price_missing": f"{pdouble('saleamount')} IS NULL",
+            "price_not_above_min": f"{pdouble('saleamount')} <= 50000",
+            "type_unmapped": f"coalesce(propertytype NOT IN ({use_types}), true)",
+            "date_invalid": f"{pdate('daterecorded')} IS NULL",
+            "address_missing": "address IS NULL", "town_missing": "town IS NULL"}),
+        "violations": ("raw_viol", {"id_missing": "violationid IS NULL",
+                                    "date_invalid": f"{pdate('inspectiondate')} IS NULL"}),
+    }
+    parts = []
+    for feed, (view, rs) in why.items():
+        bad = " OR ".join(f"coalesce({c}, false)" for c in rs.values())
+        for name, cond in {"read": "true", "accepted": f"NOT ({bad})", "rejected": bad, **rs}.items():
+            parts.append(f"SELECT '{feed}' AS feed, '{name}' AS reason, "
+                         f"CAST(COUNT(*) FILTER (WHERE {cond}) AS BIGINT) AS rows FROM {view}")
+    q["dq_reject_report"] = W(RAW["raw_city"], RAW["raw_state"], RAW["raw_viol"]) + "\nUNION ALL\n".join(parts)
+
+    q["dq_duplicate_days"] = with_views("ph") + """
+SELECT property_id, sale_date, COUNT(*) AS rows FROM ph
+GROUP BY property_id, sale_date HAVING COUNT(*) > 1"""
+
+    q["dq_defaults_partial"] = """
+SELECT CAST(n_nationkey AS INTEGER) AS municipality_id, n_name AS town_name,
+       CASE WHEN n_nationkey % 2 = 0 AND n_regionkey <> 4 THEN 'NY' ELSE 'CT' END AS state
+FROM nation"""
+
+    big, dense = "_ord % 97 = 0", "_ord % 89 = 0 AND _ord % 97 <> 0"
+    sqft = "TRY_CAST(replace(gross_square_feet, ',', '') AS DOUBLE)"
+    q["dq_overflow"] = W(RAW["raw_city"], f"""odd AS (
+  SELECT _ord, CASE WHEN {big} THEN 1e20 WHEN {dense} THEN 2e8 ELSE {price} END AS p,
+         CASE WHEN _ord % 89 = 0 THEN 1 ELSE trunc({sqft}) END AS a, building_class_category, zip_code, sale_date
+  FROM raw_city)""") + f"""
+SELECT 'city_sales' AS table_name, 'numeric(15,2)' AS check_name, 'sale_price' AS column_name,
+       COUNT(*) FILTER (WHERE p >= 1e13) AS violations FROM odd
+UNION ALL
+SELECT 'city_sales', 'numeric(10,2)', 'price_per_sqft',
+       COUNT(*) FILTER (WHERE abs(p / a) >= 1e8 AND a <> 0) FROM odd
+UNION ALL
+SELECT 'city_sales', 'overflow_is_null', 'price_per_sqft',
+       COUNT(*) FILTER (WHERE a = 1 AND p >= 1e8 AND p > 50000 AND {ptype} IS NOT NULL
+                        AND {czip('zip_code')} IS NOT NULL AND {pdate('sale_date')} IS NOT NULL) FROM odd"""
+
+    q["json_array_records"] = "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, props FROM events"
+
     q["dq_defaults"] = W(*STATE) + """
 SELECT DISTINCT town AS town_name, 'CT' AS state FROM state"""
 

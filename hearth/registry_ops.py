@@ -235,11 +235,15 @@ STAR_TABLES = ["borough", "neighborhood", "municipality", "property", "sales_tra
 def dq_pk(t: TestStar) -> DataFrame:
     li = Q._key_counts(t.raw("lineitem"), "lineitem", ["l_orderkey", "l_linenumber"],
                        "duplicate_key", False)
-    return Q.primary_key_report(t, STAR_TABLES).unionByName(li)
+    days = Q._key_counts(t.raw("orders"), "orders", ["o_custkey", "o_orderdate"], "duplicate_unique", False)
+    return Q.primary_key_report(t, STAR_TABLES).unionByName(li).unionByName(days)
 
 
 def dq_not_null(t: TestStar) -> DataFrame:
-    return Q.not_null_report(t, STAR_TABLES)
+    lines = t.raw("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.lit(1).alias("has_line")).distinct()
+    orders = t.raw("orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    return Q.not_null_report(t, STAR_TABLES).unionByName(Q._counts_one_pass(
+        orders, "orders", [("not_null", "has_line", F.col("has_line").isNull())]))
 
 
 def dq_fk(t: TestStar) -> DataFrame:
@@ -250,7 +254,8 @@ def dq_fk(t: TestStar) -> DataFrame:
 
 
 def dq_length(t: TestStar) -> DataFrame:
-    return Q.length_report(t, STAR_TABLES)
+    return Q.length_report(t, STAR_TABLES).unionByName(Q._counts_one_pass(
+        t.raw("part"), "part", [("length>9", "p_type", F.length("p_type") > 9)]))
 
 
 def dq_decimal(t: TestStar) -> DataFrame:
@@ -276,6 +281,59 @@ def dq_defaults(t: TestStar) -> DataFrame:
     return Q.apply_defaults(towns, S.DEFAULTS["municipality"])
 
 
+def dq_duplicate_days(t: TestStar) -> DataFrame:
+    """V8 on rows that do violate it: two sales of a property on one day."""
+    return Q.duplicate_keys(t.price_history, ["property_id", "sale_date"])
+
+
+def dq_defaults_partial(t: TestStar) -> DataFrame:
+    """V7 where some rows carry the value and some do not."""
+    towns = t.municipality.select("municipality_id", "town_name",
+                                  F.when(F.col("municipality_id") % 2 == 0, F.col("state")).alias("state"))
+    return Q.apply_defaults(towns, S.DEFAULTS["municipality"])
+
+
+def _overflowing(t: TestStar) -> DataFrame:
+    """The city feed with prices beyond NUMERIC(15,2) and areas that make the
+    price per square foot overflow NUMERIC(10,2)."""
+    big, dense = F.col("_ord") % 97 == 0, F.col("_ord") % 89 == 0
+    return (rawfeeds.city_sales(t)
+            .withColumn("sale_price", F.when(big, "1e20").when(dense, "$200,000,000").otherwise(F.col("sale_price")))
+            .withColumn("gross_square_feet", F.when(dense, "1").otherwise(F.col("gross_square_feet"))))
+
+
+def dq_overflow(t: TestStar) -> DataFrame:
+    """V6 over rows that overflow: how many values do not fit, and that the
+    cleaner passes over them with NULL instead of failing."""
+    raw = _overflowing(t)
+    typed = raw.select(C.clean_price("sale_price").alias("sale_price"),
+                       (C.clean_price("sale_price") / F.nullif(C.clean_int("gross_square_feet"), F.lit(0)))
+                       .alias("price_per_sqft"))
+    bad = [Q._count(Q.decimal_overflow(typed, {c: spec}), "city_sales", "numeric({},{})".format(*spec), c)
+           for c, spec in (("sale_price", (15, 2)), ("price_per_sqft", (10, 2)))]
+    clean = I.clean_city_sales(raw)
+    nulls = Q._count(clean.where(F.col("price_per_sqft").isNull() & (F.col("gross_sqft") == 1)),
+                     "city_sales", "overflow_is_null", "price_per_sqft")
+    return bad[0].unionByName(bad[1]).unionByName(nulls)
+
+
+def dq_reject_report(t: TestStar) -> DataFrame:
+    return I.reject_report({"city_sales": rawfeeds.city_sales(t), "state_sales": rawfeeds.state_sales(t),
+                            "violations": rawfeeds.violations(t)})
+
+
+def json_array_records(t: TestStar) -> DataFrame:
+    """Events as an open-data array export (one object per line), read back."""
+    from hearth.sources.files import json_records
+    e = t.raw("events")
+    body = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("kind"),
+                              F.col("props").alias("props")))
+    lines = e.select(F.concat(F.when(F.col("event_id") % 7 == 0, "[").otherwise(","), body,
+                              F.when(F.col("event_id") % 11 == 0, "]").otherwise("")).alias("value"))
+    marks = e.where(F.col("event_id") % 13 == 0).select(F.lit("]").alias("value"))
+    return json_records(lines.unionByName(marks), ["id", "kind", "props"])
+
+
 def dq_rejects(t: TestStar) -> DataFrame:
     return I.city_rejects(rawfeeds.city_sales(t))
 
@@ -324,4 +382,9 @@ OPS = {
     "dq_defaults": dq_defaults,
     "dq_rejects": dq_rejects,
     "dq_outliers": dq_outliers,
+    "dq_duplicate_days": dq_duplicate_days,
+    "dq_defaults_partial": dq_defaults_partial,
+    "dq_overflow": dq_overflow,
+    "dq_reject_report": dq_reject_report,
+    "json_array_records": json_array_records,
 }
