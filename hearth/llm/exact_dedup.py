@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm.staging import is_empty, stage, table, text_of
+from hearth.llm.staging import is_empty, merged, stage, table, text_of
 
 SPACE = " \t\n\x0b\x0c\r"
 HEAD = 32
@@ -43,10 +43,12 @@ def radix_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                       norm.alias("_norm"))
             .withColumn("_len", F.octet_length("_norm"))
             .withColumn("_head", F.substring("_norm", 1, HEAD)))
-    shared = (base.groupBy("_len", "_head").agg(F.count(F.lit(1)).alias("_n"))
-              .filter("_n > 1").select("_len", "_head", F.lit(True).alias("_open")))
+    # Staged, so that both sides of the join are plain scans: only then can the
+    # adaptive join split a hot key.
+    shared = stage(base.groupBy("_len", "_head").agg(F.count(F.lit(1)).alias("_n"))
+                   .filter("_n > 1").select("_len", "_head", F.lit(True).alias("_open")), "shared")
     rows = stage(
-        base.join(shared, ["_len", "_head"], "left").select(
+        merged(base, shared, ["_len", "_head"], "left").select(
             F.monotonically_increasing_id().alias("_uid"), "_id", "_chars",
             F.sha2("_norm", 256).alias("_sha"), F.when(F.col("_open"), F.col("_len")).alias("_len"),
             F.when(F.col("_open"), F.col("_head")).alias("_head"),
@@ -57,11 +59,11 @@ def radix_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_rows, keys, width = rows.filter("_rest is not null"), ["_len", "_head"], WIDTH
     while not is_empty(open_rows):
         digit = open_rows.withColumn("_digit", F.substring("_rest", 1, width))
-        groups = digit.groupBy(*keys, "_digit").agg(
-            F.min("_uid").alias("_to"), F.count(F.lit(1)).alias("_n"))
+        groups = stage(digit.groupBy(*keys, "_digit").agg(
+            F.min("_uid").alias("_to"), F.count(F.lit(1)).alias("_n")), "groups")
         over = (F.col("_n") == 1) | (F.length("_rest") <= width)
         split = stage(
-            digit.join(groups, [*keys, "_digit"]).select(
+            merged(digit, groups, [*keys, "_digit"]).select(
                 *keep, F.col("_to").alias("_gid"),
                 F.when(~over, F.expr(f"substring(_rest, {width + 1})")).alias("_rest")),
             "radix")
@@ -76,11 +78,11 @@ def radix_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with its group and whether it is the row kept."""
     rows = radix_groups(df, id_col, text_col)
-    best = rows.groupBy("_gid").agg(
+    best = stage(rows.groupBy("_gid").agg(
         F.count(F.lit(1)).alias("group_size"),
         F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"),
-                       F.col("_id").alias("i"), F.col("_uid").alias("u"))).alias("_best"))
-    return rows.join(best, "_gid").select(
+                       F.col("_id").alias("i"), F.col("_uid").alias("u"))).alias("_best")), "best")
+    return merged(rows, best, "_gid").select(
         F.col("_id").alias(id_col), F.col("_best.i").alias("keep_id"), "group_size",
         (F.col("_uid") == F.col("_best.u")).alias("kept"), F.col("_sha").alias("text_sha256"))
 
