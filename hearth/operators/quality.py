@@ -153,19 +153,3 @@ def length_report(star, tables: list[str]) -> DataFrame:
         if checks:
             parts.append(_counts_one_pass(df, t, checks))
     return _union(parts)
-
-
-def decimal_report(star, tables: list[str]) -> DataFrame:
-    parts = []
-    for t in tables:
-        df = getattr(star, t)
-        checks = []
-        for f in S.STAR[t].fields:
-            if f.name in df.columns and hasattr(f.dataType, "precision"):
-                p, s = f.dataType.precision, f.dataType.scale
-                c = F.col(f.name)
-                checks.append((f"numeric({p},{s})", f.name,
-                               c.isNotNull() & c.try_cast(f"decimal({p},{s})").isNull()))
-        if checks:
-            parts.append(_counts_one_pass(df, t, checks))
-    return _union(parts)

@@ -53,9 +53,3 @@ def first_metrics(long: DataFrame, entity: str, metric: str, value: str, order:
             .select(entity, *[F.col("_p")[c].alias(c) for c in carry],
                     F.col("_p")["_v"].alias(primary_alias),
                     F.col("_s").alias(secondary_alias)))
-
-
-def pivot_values(long: DataFrame, ids: list[str], key: str, value: str, keys: list[str],
-                 agg: Callable = F.first) -> DataFrame:
-    """Long -> wide with a given key list (no distinct-values pass)."""
-    return long.groupBy(*ids).pivot(key, keys).agg(agg(value))

@@ -551,6 +551,11 @@ FROM ph GROUP BY property_id, price_c, sale_date HAVING COUNT(*) > 1"""
                          f"CAST(COUNT(*) FILTER (WHERE {cond}) AS BIGINT) AS rows FROM {view}")
     q["dq_reject_report"] = W(RAW["raw_city"], RAW["raw_state"], RAW["raw_viol"]) + "\nUNION ALL\n".join(parts)
 
+    q["dq_unique_month"] = with_views("ms") + "\nUNION ALL\n".join(
+        _row("neighborhood_market_stat", "duplicate_unique", key,
+             f"SELECT COUNT(*) FROM (SELECT {key} FROM ms GROUP BY ALL HAVING COUNT(*) > 1)")
+        for key in ("zip_code,stat_month", "zip_code"))
+
     q["dq_duplicate_days"] = with_views("ph") + """
 SELECT property_id, sale_date, COUNT(*) AS rows FROM ph
 GROUP BY property_id, sale_date HAVING COUNT(*) > 1"""

@@ -280,7 +280,7 @@ def _geo(c: str):
 def _borough_id(df: DataFrame, col: str, borough: DataFrame) -> DataFrame:
     key = F.upper(C.strip_ws(F.col(col)))
     b = borough.select(F.col("borough_name").alias("_bn"), F.col("borough_id").alias("_bid"))
-    return df.join(F.broadcast(b), key == F.col("_bn"), "left")
+    return df.join(b, key == F.col("_bn"), "left")
 
 
 def housing_violations(raw: DataFrame, borough: DataFrame) -> DataFrame:
@@ -356,7 +356,7 @@ def schools(metrics: DataFrame) -> DataFrame:
 def split_schools(sch: DataFrame, districts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, quarantined): a district outside the dimension is quarantined."""
     d = districts.select(F.col("district_id").alias("_d"))
-    known = sch.join(F.broadcast(d), sch.district_id == F.col("_d"), "left")
+    known = sch.join(d, sch.district_id == F.col("_d"), "left")
     ok = F.col("district_id").isNull() | F.col("_d").isNotNull()
     return (known.where(ok).drop("_d"), known.where(~ok).drop("_d"))
 

@@ -281,6 +281,14 @@ def dq_defaults(t: TestStar) -> DataFrame:
     return Q.apply_defaults(towns, S.DEFAULTS["municipality"])
 
 
+def dq_unique_month(t: TestStar) -> DataFrame:
+    """(zip, month) is a key of the market statistics: the first and last
+    value of a series are only defined if it is."""
+    stat = t.neighborhood_market_stat
+    return (Q._key_counts(stat, "neighborhood_market_stat", ["zip_code", "stat_month"], "duplicate_unique", False)
+            .unionByName(Q._key_counts(stat, "neighborhood_market_stat", ["zip_code"], "duplicate_unique", False)))
+
+
 def dq_duplicate_days(t: TestStar) -> DataFrame:
     """V8 on rows that do violate it: two sales of a property on one day."""
     return Q.duplicate_keys(t.price_history, ["property_id", "sale_date"])
@@ -382,6 +390,7 @@ OPS = {
     "dq_defaults": dq_defaults,
     "dq_rejects": dq_rejects,
     "dq_outliers": dq_outliers,
+    "dq_unique_month": dq_unique_month,
     "dq_duplicate_days": dq_duplicate_days,
     "dq_defaults_partial": dq_defaults_partial,
     "dq_overflow": dq_overflow,

@@ -26,6 +26,8 @@ def _st(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
+# Table and column names and types of the star, which must equal
+# the reference's.
 BOROUGH = _st(("borough_id", I), ("borough_name", S), ("state", S))
 NEIGHBORHOOD = _st(("zip_code", S), ("neighborhood_name", S), ("borough_id", I))
 MUNICIPALITY = _st(("municipality_id", I), ("town_name", S), ("state", S))
@@ -88,7 +90,8 @@ STAR = {
     "neighborhood_quality_score": NEIGHBORHOOD_QUALITY_SCORE,
 }
 
-# Declared keys of the star (DDL constraints re-aimed as data-quality jobs).
+# Declared keys, NOT NULL columns and references of the star
+# (DDL constraints re-aimed as data-quality jobs).
 PRIMARY_KEYS = {
     "borough": ["borough_id"],
     "neighborhood": ["zip_code"],
@@ -153,14 +156,14 @@ MAX_LENGTH = {
     "property_school": {"dbn": 10},
     "neighborhood_quality_score": {"zip_code": 10},
 }
-# Column defaults of the DDL.
+# Column defaults of the DDL.
 DEFAULTS = {
     "municipality": {"state": "CT"},
     "sales_transaction": {"sold_below_assessment": False},
     "neighborhood_quality_score": {"violation_count": 0, "complaint_count": 0},
 }
 
-# Raw feeds: the columns each ingest job consumes, all read as STRING.
+# Raw feeds, the columns each ingest job consumes, all read as STRING.
 RAW_CITY_SALES = [
     "borough", "neighborhood", "building_class_category", "address", "zip_code",
     "residential_units", "land_square_feet", "gross_square_feet", "year_built",
