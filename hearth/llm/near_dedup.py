@@ -17,11 +17,13 @@ similarity is ``THRESHOLD`` or more; classes are the connected components.
    with one leader, which is linear in the bucket's size.
 4. A pair that was not compared so can only matter where a bucket still holds
    several classes. There the members outside the bucket's largest class are
-   compared, in blocks of ``BLOCK``, with all members of other classes by
-   ``FINE`` further samples, and pairs that agree within three standard
-   deviations of the threshold are verified too. Nothing is capped, and a
-   bucket whose members already form one class costs nothing more.
-5. Verification computes the weighted Jaccard similarity from both texts.
+   compared with all members of the other classes, in blocks of
+   ``BLOCK_CHARS`` characters whose texts meet in one row. Nothing is capped,
+   only links are sent on, and a bucket whose members already form one class
+   costs nothing more.
+5. Every link is verified by the weighted Jaccard similarity of both texts. A
+   pair that a leader is compared with is passed over only if its samples agree
+   in less than ``SURE`` below the threshold.
 
 Result: one row per input row: ``doc_id, class_id`` (the id that stays),
 ``class_size, kept``. Cases: a null text counts as empty; all texts without
@@ -46,9 +48,8 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 BUCKETS = 1 << 16
-BLOCK = 256
+BLOCK_CHARS = 1 << 20
 SURE = 0.13  # three standard deviations of the share of equal samples
-FINE = 1024
 STEP = 0.125  # weights are rounded to this in their logarithm
 _DRAWS = 1 << 15
 
@@ -231,62 +232,63 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: floa
     return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
 
 
-def _fine(texts: DataFrame, idf: np.ndarray) -> DataFrame:
-    """``uid, sig``: ``FINE`` samples of 16 bits of each text."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hearth.llm.textvec import groups
-        sampler = Sampler(FINE, seed=8)
-        for batch in batches:
-            for first, group in groups(batch.column("text").to_pylist()):
-                _, text, value, count = shingles(group)
-                sig = sampler.samples(text, value, _levels(value, count, idf), len(group)).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("uid").slice(first, len(group)),
-                     pa.array([row.tobytes() for row in sig], pa.binary())], names=["uid", "sig"])
-
-    return texts.select("uid", "text").mapInArrow(run, "uid long, sig binary")
+def similar(few: list[str], every: list[str], idf: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """For each text of ``few``, the places in ``every`` that reach the threshold."""
+    _, text, value, count = shingles([*few, *every])
+    weight = np.exp(_levels(value, count, idf) * STEP)
+    total = np.bincount(text, weights=weight, minlength=len(few) + len(every))
+    first = np.searchsorted(text, np.arange(len(few) + 1))
+    rest = np.arange(first[-1], len(text))
+    rest = rest[np.argsort(value[rest], kind="stable")]
+    values, owner, other = value[rest], text[rest] - len(few), weight[rest]
+    for i in range(len(few)):
+        own = slice(first[i], first[i + 1])
+        lo = np.searchsorted(values, value[own])
+        n = np.searchsorted(values, value[own], side="right") - lo
+        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        low = np.bincount(owner[at], weights=np.minimum(other[at], np.repeat(weight[own], n)),
+                          minlength=len(every))
+        yield np.flatnonzero(low >= threshold * np.maximum(total[i] + total[len(few):] - low, 1e-12))
 
 
 def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Pairs of different classes in one bucket whose samples agree closely
-    enough: members outside the bucket's largest class against all others."""
+    """Links between classes that share a bucket: members outside the bucket's
+    largest class against all others. One link per member and class is enough,
+    as only the components count."""
     own = stage(members.join(classes, "uid", "left").withColumn("cls", F.coalesce("cls", "uid")), "own")
     per = own.groupBy("key", "cls").agg(F.count(F.lit(1)).alias("n"))
     open_keys = stage(per.groupBy("key").agg(F.max_by("cls", F.struct("n", "cls")).alias("main"),
                                              F.sum("n").alias("size"), F.max("n").alias("most"))
-                      .filter("size > most and size > 2"), "open")
-    rows = stage(own.join(open_keys, "key"), "rest")
-    sigs = stage(_fine(texts.join(rows.select("uid").distinct(), "uid", "left_semi"), idf), "fine")
-    rows = rows.join(sigs, "uid")
-    least = int(np.ceil((threshold - 3 * np.sqrt(threshold * (1 - threshold) / FINE)) * FINE))
-    blocks = F.ceil(F.col("size") / BLOCK)
-    member = F.struct("uid", "cls", "sig")
+                      .filter("size > most and size > 2").select("key", "main"), "open")
+    rows = stage(merged(own.join(open_keys, "key"), texts, "uid"), "rest")
+    chars = F.length("text")
+    sizes = stage(rows.groupBy("key").agg(
+        F.ceil(F.sum(chars) / BLOCK_CHARS).alias("all_blocks"),
+        F.ceil(F.sum(F.when(F.col("cls") != F.col("main"), chars)) / BLOCK_CHARS).alias("few_blocks")), "sizes")
+    rows = rows.join(sizes, "key")
 
-    def blocked(df: DataFrame, count, name: str) -> DataFrame:
-        return df.groupBy("key", F.pmod(F.xxhash64("uid"), count).alias(f"{name}_block")).agg(
-            F.collect_list(member).alias(name))
+    def blocked(df: DataFrame, blocks: str, name: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("uid"), F.greatest(F.col(blocks), F.lit(1))).alias("block")
+        return df.groupBy("key", block).agg(F.collect_list(F.struct("uid", "cls", "text")).alias(name)).drop("block")
 
-    all_of = blocked(rows, blocks, "every")
-    few = blocked(rows.filter("cls <> main"), F.ceil((F.col("size") - F.col("most")) / BLOCK), "few")
+    few, all_of = blocked(rows.filter("cls <> main"), "few_blocks", "few"), blocked(rows, "all_blocks", "every")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(col, i):
             v = col[i].values
-            sig = np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint16).reshape(-1, FINE)
-            return v.field("uid").to_numpy(), v.field("cls").to_numpy(), sig
+            return v.field("uid").to_numpy(), v.field("cls").to_numpy(), v.field("text").to_pylist()
 
         for batch in batches:
-            a_out, b_out = [], []
+            out = []
             for i in range(batch.num_rows):
-                fu, fc, fs = parts(batch.column("few"), i)
-                eu, ec, es = parts(batch.column("every"), i)
-                for u, c, s in zip(fu, fc, fs, strict=True):
-                    hit = ((es == s).sum(axis=1) >= least) & (ec != c)
-                    a_out.append(np.minimum(eu[hit], u))
-                    b_out.append(np.maximum(eu[hit], u))
-            a = np.concatenate(a_out) if a_out else np.zeros(0, np.int64)
-            b = np.concatenate(b_out) if b_out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                fu, fc, ft = parts(batch.column("few"), i)
+                eu, ec, et = parts(batch.column("every"), i)
+                for u, c, hit in zip(fu, fc, similar(ft, et, idf, threshold), strict=True):
+                    hit = hit[ec[hit] != c]
+                    for e in eu[hit[np.unique(ec[hit], return_index=True)[1]]]:
+                        out.append((min(u, e), max(u, e)))
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return few.join(all_of, "key").select("few", "every").mapInArrow(run, "a long, b long").distinct()
 
@@ -332,11 +334,9 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = stage(fetched.select("uid", "text").dropDuplicates(["uid"]), "texts")
     links = _verify(pairs, texts, idf, threshold)
     classes = components(links)
-    more = stage(_rest(members.select("key", "uid"), classes, texts, idf, threshold)
-                 .join(pairs, ["a", "b"], "left_anti"), "more")
+    more = stage(_rest(members.select("key", "uid"), classes, texts, idf, threshold), "more")
     if not is_empty(more):
-        links = links.union(_verify(more, texts, idf, threshold))
-        classes = components(links)
+        classes = components(links.union(more))
     return (named.join(stage(classes.select(F.col("uid").alias("rep"), "cls"), "classes"), "rep", "left")
             .select("uid", "id", "t1", "t2", F.coalesce("cls", "rep").alias("cls")))
 
