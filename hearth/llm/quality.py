@@ -105,20 +105,32 @@ class Model:
         self.heat = float(heat[int(np.argmin(loss))])
 
     def _index(self, texts: list[str]) -> None:
+        """The vocabulary and its vectors, group by group: memory does not
+        grow with the sample beyond its vocabulary."""
         from hearth.llm.textvec import groups
-        parts = [tokens(group)[:2] for _, group in groups(texts)]
-        every, n = np.unique(np.concatenate([v for v, _ in parts]), return_counts=True)
+        every, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for _, group in groups(texts):
+            seen, count = np.unique(tokens(group)[0], return_counts=True)
+            every, at = np.unique(np.concatenate([every, seen]), return_inverse=True)
+            n = np.bincount(at, weights=np.concatenate([n, count]), minlength=len(every)).astype(np.int64)
         often = np.argsort(-n, kind="stable")[:VOCABULARY]
         self.vocabulary = np.sort(every[often[n[often] >= MIN_COUNT]])
         own = index_vectors(self.vocabulary)
         around = np.zeros_like(own)
-        for value, text in parts:
+        size = max(1, len(self.vocabulary))
+        for _, group in groups(texts):
+            value, text, _ = tokens(group)
             row = self._rows(value)
             for d in range(1, REACH + 1):
                 a, b = row[:-d], row[d:]
                 near = (text[:-d] == text[d:]) & (a >= 0) & (b >= 0)
-                np.add.at(around, a[near], own[b[near]])
-                np.add.at(around, b[near], own[a[near]])
+                pair, times = np.unique(np.concatenate([a[near] * size + b[near], b[near] * size + a[near]]),
+                                        return_counts=True)
+                if len(pair):
+                    left = pair // size
+                    head = np.flatnonzero(np.append(True, left[1:] != left[:-1]))
+                    around[left[head]] += np.add.reduceat(
+                        own[pair % size] * times[:, None].astype(np.float32), head, axis=0)
         around /= np.linalg.norm(around, axis=1, keepdims=True) + 1e-9
         self.vectors = np.concatenate([around, own], axis=1)
 

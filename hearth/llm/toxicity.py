@@ -120,18 +120,18 @@ class Model:
 
     def _train(self, texts: list[str], y: np.ndarray, weight: np.ndarray) -> None:
         from hearth.llm.textvec import groups
-        feats, begins, owners, n_feat = [], [], [], 0
+        telling = self._telling(texts, y, weight)
+        feats, places, owners, n = [], [], [], 0
         for first, group in groups(texts):
-            f, begin, owner, _, _ = instances(group)
-            feats.append(f)
-            begins.append(begin + n_feat)
+            feat, begin, owner, _, _ = instances(group)
+            place = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(feat)))) + n
+            kept = telling[feat]
+            feats.append(feat[kept])
+            places.append(place[kept])
             owners.append(owner + first)
-            n_feat += len(f)
-        feat, begin, owner = np.concatenate(feats), np.concatenate(begins), np.concatenate(owners)
-        sentence = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(feat))))
-        kept = self._telling(owner[sentence], feat, y, weight)[feat]
-        uniq, feat = np.unique(feat[kept], return_inverse=True)
-        bag = _Bag(feat, sentence[kept], owner, len(begin), y, weight / weight.sum())
+            n += len(begin)
+        uniq, feat = np.unique(np.concatenate(feats), return_inverse=True)
+        bag = _Bag(feat, np.concatenate(places), np.concatenate(owners), n, y, weight / weight.sum())
         w, b = bag.descend(np.zeros(len(uniq)), -5.0, EPOCHS, shrink=SHRINK)
         # The penalty picks the features; their weights are fitted again without it.
         pick = np.abs(w) > 1e-4
@@ -140,15 +140,22 @@ class Model:
         self.w[uniq], self.b = w, np.float32(b)
 
     @staticmethod
-    def _telling(doc: np.ndarray, feat: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def _telling(texts: list[str], y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """The features found in at least two toxic documents and in a larger
-        share of them than of the others."""
-        pair = np.unique(doc * FEATURES + feat)
-        doc, feat = pair // FEATURES, pair % FEATURES
-        toxic = y[doc] == 1
-        count = np.bincount(feat[toxic], minlength=FEATURES)
-        yes = np.bincount(feat[toxic], weights=weight[doc[toxic]], minlength=FEATURES) / weight[y == 1].sum()
-        no = np.bincount(feat[~toxic], weights=weight[doc[~toxic]], minlength=FEATURES) / weight[y == 0].sum()
+        share of them than of the others; counted group by group."""
+        from hearth.llm.textvec import groups
+        count, share = np.zeros(FEATURES), np.zeros((2, FEATURES))
+        for first, group in groups(texts):
+            feat, begin, owner, _, _ = instances(group)
+            doc = np.repeat(owner, np.diff(np.append(begin, len(feat)))) + first
+            pair = np.unique(doc * FEATURES + feat)
+            doc, feat = pair // FEATURES, pair % FEATURES
+            for k in (0, 1):
+                here = y[doc] == k
+                share[k] += np.bincount(feat[here], weights=weight[doc[here]], minlength=FEATURES)
+                if k:
+                    count += np.bincount(feat[here], minlength=FEATURES)
+        yes, no = share[1] / weight[y == 1].sum(), share[0] / weight[y == 0].sum()
         return (count >= 2) & (yes > LIFT * no)
 
     def judge(self, texts: list[str]):
