@@ -57,10 +57,11 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
          "th": {"tr", "table"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|breadcrumbs?|header|masthead|footer|side-?bar|aside|ads?|advert\w*|"
+    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|breadcrumbs?|masthead|footer|side-?bar|aside|ads?|advert\w*|"
     r"banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|disqus|"
     r"replies|respond|discussion|share|sharing|social|related|recommended|newsletter|subscribe|sign-?up|login|"
     r"widget|toolbar|pagination|pager|tags)(?:[\s_-]|\d|$)", re.IGNORECASE)
+HEADER = re.compile(r"(?:^|[\s_-])header(?:[\s_-]|\d|$)", re.IGNORECASE)
 KEEPS = frozenset("html body article main".split())
 
 
@@ -142,7 +143,10 @@ class _Tree(HTMLParser):
         if (attrs.get("role") or "").lower() in ROLES or "display:none" in (attrs.get("style") or "").replace(" ", ""):
             return True
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        return len(names) > 1 and tag not in INLINE and bool(NAMED.search(names))
+        if len(names) < 2 or tag in INLINE:
+            return False
+        # An article's own header holds its title.
+        return bool(NAMED.search(names) or HEADER.search(names) and not self._within({"article", "main"}))
 
 
 def parse(html: str) -> Node:

@@ -20,6 +20,8 @@ CASES = [
      f"Head\n\n{LONG.strip()}"),
     (f"<div class='cookie-notice'>{LONG}</div><main><p>{LONG}</p><ul><li>a<li>b</ul></main>",
      f"{LONG.strip()}\n\na\n\nb"),
+    (f"<div class='site-header'>{LONG}</div><article><div class='entry-header'><h1>H</h1></div><p>{LONG}</p></article>",
+     f"H\n\n{LONG.strip()}"),
     ("<script>var a='<p>no</p>';</script><style>p{}</style><!-- no -->", ""),
     ("<div>" * 3000 + "deep", "deep"),
     ("just text < 3 & more", "just text < 3 & more"),
