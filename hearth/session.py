@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -61,7 +62,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if d:
         return d
     master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local"):
+    if not re.match(r"local(\[|$)", master):  # local-cluster is a cluster, too
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by the cluster "
                            "(intermediate tables are written there)")
     if _LOCAL_SCRATCH is None:

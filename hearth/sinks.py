@@ -15,6 +15,7 @@ import datetime as _dt
 import os
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,11 +96,12 @@ def _write_pointer(spark: SparkSession, root: str, run: str) -> None:
     try:
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         fc = jvm.org.apache.hadoop.fs.FileContext.getFileContext(tmp.toUri(), conf)
-        opts = jvm.java.lang.reflect.Array.newInstance(
-            jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        opts = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
         opts[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         fc.rename(tmp, dst, opts)
-    except Exception:
+    except Py4JJavaError as e:
+        if not e.java_exception.getClass().getSimpleName().startswith("Unsupported"):
+            raise  # the old pointer stays in place
         fs.delete(dst, False)
         if not fs.rename(tmp, dst):
             raise OSError(f"could not publish {run} under {root}")
