@@ -185,14 +185,16 @@ class CrossParser:
         return phrases * self.bits, n
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score, and bits per letter in that language."""
+        """Language, score, and bits per letter in that language, with two
+        phrases free, as a short text is mostly its two ends."""
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         bits, letters = self.costs(texts)
         best = bits.argmin(axis=1)
         odds = np.exp2(-np.clip((bits - bits.min(axis=1, keepdims=True)) / TEMPER, 0, 60))
         score = np.where(letters > 0, 1 / odds.sum(axis=1), 0.0)
-        per_letter = bits.min(axis=1) / np.maximum(1, letters)
+        row = np.arange(len(texts))
+        per_letter = np.maximum(0, bits[row, best] - 2 * self.bits[best]) / np.maximum(1, letters)
         return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score, per_letter
 
 
