@@ -42,7 +42,7 @@ WINDOW = 250
 MAX_LETTERS = 128  # of one language's sample, by frequency: bounds the tables
 SEGMENT = 256
 TEMPER = 8.0
-MAX_BITS = 8.0  # of phrases of two letters; texts of a learned language need about 3
+MAX_BITS = 10.0  # texts of a learned language need about 3, of an unknown script about 14
 UNKNOWN = "und"
 
 
