@@ -17,8 +17,8 @@ whatever the corpus. It is drawn over the whole table: a window of
 ``WINDOW`` characters from documents chosen by a hash of the id, from as many
 documents as needed. Each worker builds the tables from it once.
 
-Result: ``doc_id, lang_pred, score``; the score is the share of the winner in
-``2^-(bits / TEMPER)``, from 0 to 1. Cases: a null text, an empty one or one
+Result: ``lang_pred, score, bits`` per row; the score is the share of the
+winner in ``2^-(bits / TEMPER)``, from 0 to 1; ``bits`` is per letter. Cases: a null text, an empty one or one
 without letters is ``und`` with score 0, as is every text when no labelled
 text exists; ties go to the alphabetically first language; letters that the
 sample lacks end a phrase in every language; a repeated row is predicted

@@ -2,8 +2,9 @@
 
 A document is the weighted set of its five-word shingles (lower-case words;
 one shingle of all words where there are fewer): term frequency times inverse
-document frequency, rounded to steps of an eighth in the logarithm. Two documents are linked when their weighted Jaccard
-similarity is ``THRESHOLD`` or more; classes are the connected components.
+document frequency, rounded to steps of an eighth in the logarithm. Two
+documents are linked when their weighted Jaccard similarity is ``THRESHOLD``
+or more; classes are the connected components.
 
 1. Document frequencies over the whole corpus: each task counts the distinct
    shingles of its documents in ``BUCKETS`` hash buckets, and the counts are
@@ -22,8 +23,9 @@ similarity is ``THRESHOLD`` or more; classes are the connected components.
    only links are sent on, and a bucket whose members already form one class
    costs nothing more.
 5. Every link is verified by the weighted Jaccard similarity of both texts. A
-   pair that a leader is compared with is passed over only if its samples agree
-   in less than ``SURE`` below the threshold.
+   member's pair with its leader is passed over if their samples agree in less
+   than ``THRESHOLD - SURE`` of all: at a similarity of exactly 0.8 that happens
+   with probability 0.1 %, and less above.
 
 Result: one row per input row: ``doc_id, class_id`` (the id that stays),
 ``class_size, kept``. Cases: a null text counts as empty; all texts without

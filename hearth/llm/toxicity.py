@@ -7,8 +7,8 @@ gives each sentence a probability, and noisy-or combines them: a document is
 toxic unless every sentence is not. The weights are trained on the likelihood
 of the document labels, so the sentences at fault are found without sentence
 labels; features that toxic documents do not have more often are left out, and
-an L1 penalty picks among the others. The worst sentence of each
-document is reported with its place.
+an L1 penalty picks among the others. The worst sentence of each document is
+reported with its place.
 
 Fitting uses a bounded sample: at most ``ROWS_PER_CLASS`` labelled rows of
 each class and ``CHARS`` characters of each, weighted back to the labels'
