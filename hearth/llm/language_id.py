@@ -4,7 +4,9 @@ For each language a suffix automaton is built over a bounded sample of its
 labelled text. A document is parsed greedily against each automaton: the next
 phrase is the longest match with the sample that starts here. The fewer
 phrases a language needs, each priced at log2 of the sample size, the better
-its text explains the document; the cheapest language wins.
+its text explains the document; the cheapest language wins. A sample of fewer
+than ``LEAST_SAMPLE`` characters is priced as one of that size: its phrases are
+mostly single letters, and a price below that of a letter would win every text.
 
 The greedy parse is a finite automaton: follow the transition if there is one,
 else count a phrase and go on from the root. Its transitions are one table, so
@@ -18,7 +20,9 @@ whatever the corpus. It is drawn over the whole table: a window of
 documents as needed. Each worker builds the tables from it once.
 
 Result: ``lang_pred, score, bits`` per row; the score is the share of the
-winner in ``2^-(bits / TEMPER)``, from 0 to 1; ``bits`` is per letter. Cases: a null text, an empty one or one
+winner in ``2^-(bits / TEMPER)``, from 0 to 1; ``bits`` is per letter, with
+the winner's phrases at the price of a full sample, so that it means the same
+whatever the size of the winner's sample. Cases: a null text, an empty one or one
 without letters is ``und`` with score 0, as is every text when no labelled
 text exists; ties go to the alphabetically first language; letters that the
 sample lacks end a phrase in every language; a repeated row is predicted
@@ -39,6 +43,7 @@ from hearth.llm.staging import table, text_of
 
 CHARS_PER_LANGUAGE = 30_000
 WINDOW = 250
+LEAST_SAMPLE = 250  # characters that a phrase is priced for at least
 MAX_LETTERS = 128  # of one language's sample, by frequency: bounds the tables
 SEGMENT = 256
 TEMPER = 8.0
@@ -144,7 +149,8 @@ class CrossParser:
             self.roots.append(at)
             at += len(auto)
         self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.bits = np.array([np.log2(max(2, len(t))) for t in texts])
+        self.bits = np.array([np.log2(max(LEAST_SAMPLE, len(t))) for t in texts])
+        self.full = np.log2(max([CHARS_PER_LANGUAGE, *map(len, texts)]))
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per language for each text (phrases times log2 of the sample
@@ -185,8 +191,9 @@ class CrossParser:
         return phrases * self.bits, n
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score, and bits per letter in that language, with two
-        phrases free, as a short text is mostly its two ends."""
+        """Language, score, and bits per letter in that language at the price
+        of a full sample, with two phrases free, as a short text is mostly its
+        two ends."""
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         bits, letters = self.costs(texts)
@@ -194,7 +201,8 @@ class CrossParser:
         odds = np.exp2(-np.clip((bits - bits.min(axis=1, keepdims=True)) / TEMPER, 0, 60))
         score = np.where(letters > 0, 1 / odds.sum(axis=1), 0.0)
         row = np.arange(len(texts))
-        per_letter = np.maximum(0, bits[row, best] - 2 * self.bits[best]) / np.maximum(1, letters)
+        phrases = bits[row, best] / self.bits[best]
+        per_letter = np.maximum(0, phrases - 2) * self.full / np.maximum(1, letters)
         return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score, per_letter
 
 

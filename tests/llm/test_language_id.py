@@ -75,3 +75,27 @@ def test_held_out_accuracy(spark):
     truth = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
     rows = op1_language_id(spark, d).join(truth, "doc_id").filter("held_out").collect()
     assert len(rows) > 200 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.98
+
+
+def test_tiny_sample_neither_wins_all_nor_is_lost(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()
+    labelled = [r for r in rows if r.lang and r.text]
+    samples = {}
+    for r in labelled[::2]:
+        samples.setdefault(r.lang, []).append(r.text[:250])
+    samples = {k: v[:120] for k, v in samples.items()}
+    held = labelled[1::2][:200]
+    texts = [r.text[:200] for r in held]
+    for word in ("ok", "hola", "adios", "hola amigo", "god morgen"):
+        langs = CrossParser(samples | {"xx": [word]}).predict(texts)[0]
+        assert langs.count("xx") <= 1, word
+    for k in samples:  # one window is enough to learn a language
+        langs = CrossParser(samples | {k: samples[k][:1]}).predict(texts)[0]
+        assert np.mean([a == r.lang for a, r in zip(langs, held, strict=True)]) > 0.95, k
+
+
+def test_tiny_sample_does_not_open_the_rejection(spark):
+    odd = spark.createDataFrame([(1, "Это совсем другой язык и алфавит, который здесь никто не знает")],
+                                "doc_id long, text string")
+    assert keep_identified(odd, {"xx": ["ok"]}).count() == 0
+    assert keep_identified(odd, {"xx": ["hola amigo"], "en": ["a short line of text"]}).count() == 0
