@@ -3,7 +3,12 @@
 A page is parsed into a tree. Nodes that are never article text are cut off
 first: scripts, styles, forms, menus, headers and footers of the page, asides,
 and containers named as such by role, class or id (adverts, notices, comments,
-sharing, ...). For each other node the composite density relates its
+sharing, ...). A class counts by its whole name, its first part, or its last
+part after a place (``left-sidebar``), and not as a state (``has-sidebar``,
+``comments-open``). A form or a named container stays if it holds ``main`` or
+all articles of the page; if its name is only in part such a name, also if it
+holds most of the unlinked text and more than four times that of the articles
+outside; else, if it holds nearly all text, the rest is short and no article. For each other node the composite density relates its
 characters to its tags and weighs down linked text:
 
     C/T * log_b((C / LC) * (T / LT)),   b = (C / nLC) * LC + (LCp / Cp) * C + e
@@ -56,20 +61,30 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
          "th": {"tr", "table"}, "option": {"select"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menu|breadcrumbs?|masthead|footer|side-?bar|aside|ads?|advert\w*|"
-    r"banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|disqus|"
+_NAME = (
+    r"(?:nav(?:bar|igation)?|menu|breadcrumbs?|masthead|footer|side[_-]?bar|aside|ads?|advert[a-z]*|"
+    r"banner|promo[a-z]*|sponsor[a-z]*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|disqus|"
     r"replies|respond|discussion|share|sharing|social|related|recommended|newsletter|subscribe|sign-?up|login|"
-    r"widget|toolbar|pagination|pager|tags)(?:[\s_-]|\d|$)", re.IGNORECASE)
-HEADER = re.compile(r"(?:^|[\s_-])header(?:[\s_-]|\d|$)", re.IGNORECASE)
+    r"widget|toolbar|pagination|pager|tags)\d*")
+_PLACE = r"(?:site|page|main|primary|secondary|left|right|top|bottom|global|mobile|post|article|entry|blog)"
+# Of a class or id: wholly a name; partly one; a state of the page or its layout.
+NAMED = re.compile(rf"(?:{_PLACE}[_-]+)?{_NAME}(?:[_-]+(?:{_NAME}|\d+))*", re.IGNORECASE)
+PARTLY = re.compile(rf"(?:{_PLACE}[_-]+)?{_NAME}(?:[_-].*)?|(?:.*[_-])?header\d*(?:[_-].*)?", re.IGNORECASE)
+STATE = re.compile(
+    r"(?:has|have|no|not|is|with|without)[_-].*|"
+    r".*[_-](?:open|opened|closed?|enabled|disabled|on|off|active|inactive|none|hidden|visible)", re.IGNORECASE)
+HEADER = re.compile(r"(?:.*[_-])?header\d*(?:[_-].*)?", re.IGNORECASE)
+REST = 200  # characters; a rest of the page that is shorter may be no article
 KEEPS = frozenset("html body article main".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "cut", "off", "chars", "tags", "linked", "links", "density", "total", "best")
+    __slots__ = ("tag", "parent", "parts", "cut", "doubt", "off", "chars", "tags", "linked", "links", "density",
+                 "total", "best")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, doubt: str = ""):
         self.tag, self.parent, self.cut = tag, parent, cut
+        self.doubt = doubt  # "whole" or "part": cut unless its content speaks against it
         self.off = cut or (parent is not None and parent.off)  # it or a node above is cut off
         self.parts: list[Node | str] = []
 
@@ -113,7 +128,7 @@ class _Tree(HTMLParser):
             if tag == "br":
                 self.here.parts.append(" ")
             return
-        node = Node(tag, self.here, cut)
+        node = Node(tag, self.here, cut, "" if cut else self._doubt(tag, dict(attrs)))
         self.here.parts.append(node)
         if tag not in VOID:
             self.here = node
@@ -136,23 +151,81 @@ class _Tree(HTMLParser):
     def _is_cut(self, tag: str, attrs: dict) -> bool:
         if tag in KEEPS:
             return False
-        if tag in NEVER or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+        if tag in NEVER and tag != "form" or "hidden" in attrs or attrs.get("aria-hidden") == "true":
             return True
         if tag == "header":
             return not self._within({"article", "main"})
-        if (attrs.get("role") or "").lower() in ROLES or "display:none" in (attrs.get("style") or "").replace(" ", ""):
-            return True
+        return ((attrs.get("role") or "").lower() in ROLES
+                or "display:none" in (attrs.get("style") or "").replace(" ", ""))
+
+    def _doubt(self, tag: str, attrs: dict) -> str:
+        if tag in KEEPS:
+            return ""
+        if tag == "form":
+            return "whole"
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        if len(names) < 2 or tag in INLINE:
-            return False
+        if len(names) < 2 or tag in INLINE or tag == "header":
+            return ""
+        names = [n for n in names.split() if not STATE.fullmatch(n)]
+        if any(NAMED.fullmatch(n) for n in names):
+            return "whole"
         # An article's own header holds its title.
-        return bool(NAMED.search(names) or HEADER.search(names) and not self._within({"article", "main"}))
+        names = [n for n in names if PARTLY.fullmatch(n)]
+        inside = names and self._within({"article", "main"})
+        return "part" if any(not (inside and HEADER.fullmatch(n)) for n in names) else ""
+
+
+def settle(root: Node) -> None:
+    """Cut the doubtful nodes whose content does not speak against it."""
+    order = _nodes(root)
+    if not any(n.doubt for n in order):
+        return
+    text: dict[int, int] = {}  # unlinked characters
+    sure: dict[int, int] = {}  # of them, outside nodes that are wholly named
+    holds: dict[int, set[str]] = {}
+    for n in reversed(order):
+        kids = [c for c in _children(n) if c.tag != "a"]
+        own = sum(len("".join(p.split())) for p in n.parts if isinstance(p, str))
+        text[id(n)] = own + sum(text[id(c)] for c in kids)
+        sure[id(n)] = own + sum(sure[id(c)] for c in kids if c.doubt != "whole")
+        holds[id(n)] = {t for c in _children(n) for t in (c.tag, *holds[id(c)]) if t in ("article", "main")}
+    body = next((n for n in order if n.tag == "body"), root)
+    everything, likely = text[id(body)], sure[id(body)]
+
+    def outside() -> list[Node]:
+        """The outermost article and main elements outside doubtful nodes."""
+        out, todo = [], [root]
+        while todo:
+            n = todo.pop()
+            if n.tag in ("article", "main"):
+                out.append(n)
+            else:
+                todo += [c for c in _children(n) if not c.doubt]
+        return out
+
+    for n in order:
+        if "main" in holds[id(n)]:
+            n.doubt = ""
+    articles = sum(sure[id(n)] for n in outside())
+    for n in order:
+        mine, rest = text[id(n)], everything - text[id(n)]
+        if n.doubt and (n.doubt == "part" and 2 * sure[id(n)] > likely and sure[id(n)] > 4 * articles
+                        or mine > 9 * rest and rest < REST and not articles):
+            n.doubt = ""
+    while not outside():
+        held = [n for n in order if n.doubt and "article" in holds[id(n)]]
+        if not held:
+            break
+        min(held, key=lambda n: n.doubt == "whole" and n.tag != "form").doubt = ""
+    for n in order:
+        n.cut = n.cut or bool(n.doubt)
 
 
 def parse(html: str) -> Node:
     tree = _Tree()
     tree.feed(re.sub(r"<[a-zA-Z/!?][^>]*\Z", "", html))  # a tag that the page breaks off in
     tree.close()
+    settle(tree.root)
     return tree.root
 
 

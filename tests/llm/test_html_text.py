@@ -52,3 +52,35 @@ def test_table_with_edges(spark):
         want = CASES[r.page_id if r.page_id is not None else 0][1]
         assert r.text == want and r.n_chars == len(want)
     assert extract(df.filter(F.lit(False))).count() == 0
+
+
+WRAPPERS = ["layout has-sidebar", "no-sidebar", "content-with-sidebar", "single-post content has-related",
+            "post comments-open", "page menu-closed", "elementor-widget elementor-widget-text", "story social-policy"]
+OTHERS = f"<div id='comments'><p>{LONG * 9}</p></div><div class='sidebar'>{LONG * 9}</div><footer>{LONG}</footer>"
+BODY = f"<h1>T</h1><p>{LONG}</p><p><b>{LONG}</b></p>"
+WANT = f"T\n\n{LONG.strip()}\n\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("inner", ["div", "article"])
+def test_layout_and_state_classes_keep_the_article(name, inner):
+    assert main_text(f"<body><div class='{name}'><{inner}>{BODY}</{inner}>{OTHERS}</div></body>") == WANT
+    assert main_text(f"<body><div class='{name}'><{inner}>{BODY}</{inner}></div>{OTHERS}</body>") == WANT
+
+
+def test_widgets_of_one_paragraph_each():
+    parts = "".join(f"<div class='elementor-widget elementor-widget-text'><p>{LONG}</p></div>" for _ in range(4))
+    assert main_text(f"<body>{parts}{OTHERS}</body>") == "\n\n".join([LONG.strip()] * 4)
+
+
+@pytest.mark.parametrize("inner", ["div", "article", "main"])
+def test_form_around_the_page(inner):
+    page = f"<body><form id='aspnetForm'><{inner}>{BODY}</{inner}><footer>{LONG}</footer></form></body>"
+    assert main_text(page) == WANT
+
+
+def test_articles_in_comments_and_related_boxes_still_go():
+    boxes = "".join(f"<div class='{c}'><article><p>{LONG * 3}</p></article></div>"
+                    for c in ("comments", "related-posts", "left-sidebar", "site-footer", "cookie-notice"))
+    assert main_text(f"<body><article>{BODY}</article>{boxes}</body>") == WANT
+    assert main_text(f"<body><div class='widget'><main>{BODY}</main></div>{boxes}</body>") == WANT
