@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
 import numpy as np
 
 from hearth.llm.decontaminate import (
+    MASKS,
     MIN_IDENTITY,
     MIN_OVERLAP,
     best_run,
@@ -84,3 +86,36 @@ def test_drop_and_edges(spark, edge, empty):
     assert find_overlaps(empty, items).count() == 0
     none = items.limit(0)
     assert find_overlaps(edge, none).count() == 0 and drop_contaminated(edge, none).count() == edge.count()
+
+
+def test_equals_brute_force_at_several_rates(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(f"w{k}x{j}" for j in range(n)))
+             for k, n in enumerate([6, 7, 8, 9, 10, 11, 12, 12, 13, 13, 14, 15, 16, 18, 20, 25, 30, 50])]
+    docs = []
+    for rate in (0.05, 0.1, 0.15, 0.2):
+        for _, t in items * 25:
+            w = [x if rng.random() >= rate else f"other{rng.randint(0, 10 ** 9)}" for x in t.split()]
+            docs.append((len(docs), " ".join(["before", "it", *w, "after", "it"])))
+    at = {t.split()[0].split("x")[0]: (i, t) for i, t in items}
+    docs.append((10_000, at["w7"][1].replace("w7x8 ", "changed ")))
+    got = find_overlaps(spark.createDataFrame(docs, "doc_id long, text string").repartition(4),
+                        spark.createDataFrame(items, "item_id long, text string"))
+    pairs = {(r.doc_id, r.item_id) for r in got.collect()}
+    want = set()
+    for d, t in docs:
+        k = re.search(r"w(\d+)x", t)
+        want |= brute([(d, t)], [items[int(k.group(1))]]) if k else set()
+    assert pairs == want and (10_000, 7) in pairs and len(want) > 1000
+
+
+def test_every_accepted_pattern_of_short_runs_hits_a_mask():
+    masks = [int(m, 2) for m in MASKS]
+    for n in range(MIN_OVERLAP, 18):
+        for k in range(n // 5 + 1):
+            for off in itertools.combinations(range(1, n - 1), k):
+                equal = np.ones(n, bool)
+                equal[list(off)] = False
+                if best_run(equal)[1] == n:
+                    x = int("".join("01"[int(e)] for e in equal), 2)
+                    assert any((x >> s) & m == m for m in masks for s in range(n - m.bit_length() + 1)), off
