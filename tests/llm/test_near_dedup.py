@@ -102,3 +102,16 @@ def test_components_of_chain_star_and_ring(spark):
     rng.shuffle(links)
     got = {r.uid: r.cls for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == union_find({x for e in links for x in e}, links)
+
+
+def test_the_pair_of_a_bucket_of_two_is_always_verified(spark, monkeypatch):
+    from hearth.llm import near_dedup as module
+    rows = []
+    for i in range(30):
+        w = [f"d{i}w{j}" for j in range(300)]
+        rows.append((2 * i, " ".join(w)))
+        rows.append((2 * i + 1, " ".join([*w[:280], *(f"e{i}w{j}" for j in range(12))])))
+    monkeypatch.setattr(module, "SURE", module.THRESHOLD - 1.01)  # no pair has so many equal samples
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in module.near_dedup(df).collect()}
+    assert got == {i: i - i % 2 for i in range(60)}
