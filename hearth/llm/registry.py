@@ -11,12 +11,15 @@ from hearth.llm import (
     exact_dedup,
     html_text,
     language_id,
+    lexical,
     line_dedup,
     near_dedup,
     packing,
     quality,
     secret_scan,
+    substring_dedup,
     toxicity,
+    variants,
 )
 from hearth.llm.staging import library_on_workers
 
@@ -33,11 +36,17 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+    "op12_lexical_search": lexical.op12_lexical_search,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
     "op5_secret_scan": secret_scan.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_substring_dedup": substring_dedup.ORACLE,
+    "op12_lexical_search": lexical.ORACLE,
+    "op13_spelling_variants": variants.ORACLE,
 }
 
 
