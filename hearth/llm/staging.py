@@ -35,6 +35,15 @@ def unstage(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free(*tables: DataFrame) -> None:
+    """Delete staged tables that no plan needs any more, and let Spark's
+    cleaner see that the shuffles behind them are unused: it learns so from
+    the driver's garbage collection, which on its own may come much later."""
+    for df in tables:
+        unstage(df)
+    tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
 def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """A join of two tables that both grow with the data: sorted and merged at
     every size, so a plan tried on little data is the plan at scale. A skewed

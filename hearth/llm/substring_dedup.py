@@ -11,11 +11,14 @@ smaller id is removed; words are cut at white space and compared unchanged.
    ones with the smallest id are removed outright.
 3. Join. Anchors found at one place only are dropped: that is nearly all.
 4. Extend. Around every remaining seed the match is extended to the left and
-   to the right, over all ways to reach ``LENGTH`` words with this seed as the
-   anchor. Occurrences whose extensions agree are one group by a hash of 128
-   bits; the first document of a group is the source of the others. So each
-   occurrence meets one partner, never all of them: a passage held by a third
-   of the documents costs one row per holder and word.
+   to the right as far as the seed is the anchor: its stretch. Occurrences with
+   equal stretches are one group, and the first document of a group is the
+   source of the others, so each occurrence meets one partner, never all of
+   them. Where the occurrences of a seed have different stretches, as at the
+   ends of a passage, the occurrences without a source are extended in single
+   steps: over all windows in which the seed is the anchor. The first document
+   that holds a window never has an earlier source for its stretch, so no
+   window misses it.
 5. Maximal repeats. In each document the extended matches that continue one
    another in the same source, word by word, are one repeat ``(start, stop,
    source, source_start)``, which cannot be extended any further; the words
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from hearth.llm.staging import merged, stage, table, text_of
+from hearth.llm.staging import free, merged, stage, table, text_of
 
 LENGTH = 13
 SEED = 7
@@ -121,9 +124,9 @@ def _anchors(docs: DataFrame, length: int, seed: int) -> DataFrame:
         run, f"id {kind}, th long, q1 long, q2 long, seeds array<long>")
 
 
-def _extended(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """Around the places of each document's ``seeds``: every extension to the
-    full length, as its ``start`` and 128-bit hash."""
+def _stretches(docs: DataFrame, length: int, seed: int) -> DataFrame:
+    """For each place of the documents' ``seeds``: where its windows begin
+    (``start`` and on), their hashes, and one hash of the whole stretch."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,59 +138,95 @@ def _extended(docs: DataFrame, length: int, seed: int) -> DataFrame:
                 wanted = batch.column("seeds").slice(first, len(group))
                 wanted = np.unique(wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
                 # That a text also answers to a seed of its neighbours changes no result.
-                start = start[np.isin(hashes[at], wanted)]
-                text = np.searchsorted(t.first, start, side="right") - 1
+                here = np.isin(hashes[at], wanted)
+                start, at = start[here], at[here]
+                if not len(start):
+                    continue
+                head = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+                size = np.diff(np.append(head, len(at)))
+                step = (np.arange(len(at)) - np.repeat(head, size)).astype(np.uint64)
+                window = shingle_hashes(mix(t.hash ^ _SALT), list(range(length)))[start]
+                whole = mix(np.add.reduceat(mix(window + step * _SALT), head) + size.astype(np.uint64))
+                text = np.searchsorted(t.first, start[head], side="right") - 1
                 row = pa.array(first + text)
-                words = list(range(length))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").take(row), batch.column("th").take(row),
-                     pa.array((start - t.first[text]).astype(np.int32)),
-                     *[pa.array(shingle_hashes(h, words)[start].view(np.int64) if len(start) else np.zeros(0, np.int64))
-                       for h in (t.hash, mix(t.hash ^ _SALT))]], names=["id", "th", "start", "c1", "c2"])
+                     pa.array(hashes[at[head]].view(np.int64)), pa.array(whole.view(np.int64)),
+                     pa.array((start[head] - t.first[text]).astype(np.int32)),
+                     _lists(np.append(head, len(at)), window.view(np.int64))],
+                    names=["id", "th", "seed", "whole", "start", "windows"])
 
     return docs.select("id", "th", "text", "seeds").mapInArrow(
-        run, f"id {kind}, th long, start int, c1 long, c2 long")
+        run, f"id {kind}, th long, seed long, whole long, start int, windows array<long>")
+
+
+def _first_holders(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Per key the first place that has it, ``source``, and whether documents after that have it, too."""
+    return rows.groupBy(*key).agg(F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("most")).select(
+        *key, "source", (F.col("source.id") < F.col("most")).alias("again"))
 
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                  seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """``id, th, hits``: per document (id and text hash) the extended matches
-    ``(start, source, source_start)``; and ``id, th`` of the whole copies."""
+    ``(start, size, source, source_start)``, ``size`` windows each; and ``id,
+    th`` of the whole copies."""
     text = text_of(text_col)
     docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).filter(
         F.col("id").isNotNull())
     prints = stage(_anchors(docs, length, seed), "anchors")
     same = prints.groupBy("q1", "q2").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    copies = stage(merged(prints.select("id", "th", "q1", "q2"), stage(same, "classes"), ["q1", "q2"])
+    classes = stage(same, "classes")
+    copies = stage(merged(prints.select("id", "th", "q1", "q2"), classes, ["q1", "q2"])
                    .filter("id > least").select("id", "th").distinct(), "copies")
     each = prints.select("id", "th", F.explode("seeds").alias("seed"))
     shared = stage(each.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed"), "shared")
     met = stage(merged(each, shared, "seed"), "seeds")
+    free(prints, classes, shared)
     seeds = met.groupBy("id", "th").agg(F.collect_set("seed").alias("seeds"))
     seeds = stage(merged(seeds, copies, ["id", "th"], "left_anti"), "seeded")
+    free(met)
     near = docs.join(seeds.withColumnsRenamed({"id": "sid", "th": "sth"}),
                      (F.col("id") == F.col("sid")) & (F.col("th") == F.col("sth")))
-    windows = stage(_extended(near, length, seed), "extended")
-    firsts = stage(windows.groupBy("c1", "c2").agg(
-        F.min(F.struct("id", "start")).alias("source"), F.max("id").alias("most"))
-        .filter(F.col("source.id") < F.col("most")).select("c1", "c2", "source"), "sources")
-    hits = stage(merged(windows, firsts, ["c1", "c2"]).filter(F.col("id") > F.col("source.id")).select(
-        "id", "th", "start", F.col("source.id").alias("source"), F.col("source.start").alias("source_start")), "hits")
+    stretches = stage(_stretches(near, length, seed), "stretches")
+    free(seeds)
+
+    holders = stage(_first_holders(stretches, ["seed", "whole"]), "holders")
+    several = stage(holders.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "seed", F.lit(True).alias("mixed")), "several")
+    holders = stage(merged(holders, several, "seed", "left").filter(F.col("again") | F.col("mixed"))
+                    .select("seed", "whole", "source", F.coalesce("mixed", F.lit(False)).alias("mixed")), "known")
+    later = F.col("id") > F.col("source.id")
+    judged = stage(merged(stretches, holders, ["seed", "whole"]).filter(later | F.col("mixed")).select(
+        "id", "th", "seed", "start", F.when(later, F.col("source")).alias("source"), F.size("windows").alias("size"),
+        F.when(~later, F.col("windows")).alias("windows")), "judged")
+    free(stretches, holders, several)
+    found = ["id", "th", "start", "size", F.col("source.id").alias("source"), F.col("source.start").alias("source_start")]
+    hits = judged.filter("source is not null").select(*found)
+    single = judged.filter("source is null").select("id", "th", "seed", "start", F.posexplode("windows").alias("i", "window"))
+    single = stage(single.select("id", "th", "seed", "window", (F.col("start") + F.col("i")).alias("start"),
+                                 F.lit(1).alias("size")), "single")
+    firsts = stage(_first_holders(single, ["seed", "window"]).filter("again"), "sources")
+    ends = merged(single, firsts, ["seed", "window"]).filter(later).select(*found)
+    hits = stage(hits.unionByName(ends), "hits")
+    free(judged, single, firsts)
     return hits.groupBy("id", "th").agg(
-        F.collect_set(F.struct("start", "source", "source_start")).alias("hits")), copies
+        F.collect_set(F.struct("start", "size", "source", "source_start")).alias("hits")), copies
 
 
-def maximal(start: np.ndarray, source: np.ndarray, source_start: np.ndarray, length: int) -> list[tuple]:
+def maximal(start: np.ndarray, size: np.ndarray, source: np.ndarray, source_start: np.ndarray,
+            length: int) -> list[tuple]:
     """The repeats ``(start, stop, source, source_start)`` that the matches of
-    ``length`` words make up: those that continue one another in one source.
+    ``size`` windows make up: those that continue one another in one source.
     ``source`` are numbers that stand for the ids."""
     order = np.lexsort((start, source_start - start, source))
     start, source, shift = start[order], source[order], (source_start - start)[order]
+    stop = start + size[order] - 1 + length
     new = np.ones(len(start), bool)
-    new[1:] = ((source[1:] != source[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > start[:-1] + length))
+    new[1:] = (source[1:] != source[:-1]) | (shift[1:] != shift[:-1]) | (start[1:] > stop[:-1])
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(start)) - 1
-    return sorted(zip(start[head].tolist(), (start[tail] + length).tolist(), source[head].tolist(),
+    return sorted(zip(start[head].tolist(), stop[tail].tolist(), source[head].tolist(),
                       (start[head] + shift[head]).tolist(), strict=True))
 
 
@@ -227,7 +266,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         h = mine.values
                         ids = h.field("source").dictionary_encode()
                         for lo, hi, k, at in maximal(
-                                h.field("start").to_numpy().astype(np.int64), ids.indices.to_numpy(),
+                                h.field("start").to_numpy().astype(np.int64),
+                                h.field("size").to_numpy().astype(np.int64), ids.indices.to_numpy(),
                                 h.field("source_start").to_numpy().astype(np.int64), length):
                             drop[lo:hi] = True
                             repeats.append((lo, hi, ids.dictionary[k], at))

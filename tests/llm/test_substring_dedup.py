@@ -81,7 +81,8 @@ def test_maximal_merges_one_diagonal_only():
     start = np.array([0, 1, 2, 30, 3, 40])
     source = np.array([7, 7, 7, 7, 8, 7])
     at = np.array([5, 6, 7, 35, 0, 99])
-    assert maximal(start, source, at, 13) == [(0, 15, 7, 5), (3, 16, 8, 0), (30, 43, 7, 35), (40, 53, 7, 99)]
+    size = np.array([1, 1, 1, 3, 1, 1])
+    assert maximal(start, size, source, at, 13) == [(0, 15, 7, 5), (3, 16, 8, 0), (30, 45, 7, 35), (40, 53, 7, 99)]
 
 
 def test_edges(edge):
