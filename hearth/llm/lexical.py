@@ -52,15 +52,15 @@ from hearth.llm.staging import stage, table, text_of
 TOP = 10
 SCALE = 1_000_000_000
 SLOPE = 90  # of 100: how much of a document's m follows its length
-BLOCK_CELLS = 1 << 20
+BLOCK_CELLS = 1 << 19
 CHUNK_CHARS = 16_000_000
 BATCH = 256  # ranges opened at a time
 
 # Of a quadrant's shape (a bit per child): whether child q is there, and how
 # many children come before it.
 _HAS = np.array([[m >> q & 1 for q in range(4)] for m in range(16)], bool)
-_BEFORE = np.array([[bin(m & ((1 << q) - 1)).count("1") for q in range(4)] for m in range(16)], np.int64)
-_CHILDREN = np.array([bin(m).count("1") for m in range(16)], np.int64)
+_BEFORE = np.array([[bin(m & ((1 << q) - 1)).count("1") for q in range(4)] for m in range(16)], np.int32)
+_CHILDREN = np.array([bin(m).count("1") for m in range(16)], np.int32)
 
 
 def _term_mask(cps: np.ndarray) -> np.ndarray:
@@ -145,6 +145,7 @@ class Treap:
             shape.append(np.bitwise_or.reduceat(bits, head).astype(np.uint8))
             top.append(np.maximum.reduceat(top[-1], head))
             place = above[head]
+            del above, bits, head
         return cls(terms, row.astype(np.int32), df.astype(np.int32), values, shape[::-1], top[::-1])
 
     def packed(self) -> bytes:
@@ -179,25 +180,26 @@ class Searcher:
         self.t, self.tie, self.levels = treap, tie, len(treap.shape)
         # The quadrant -1 stands for an empty one: no children, maximum 0.
         self.shape = [np.append(s, np.uint8(0)) for s in treap.shape]
-        self.first = [np.append(0, np.cumsum(_CHILDREN[s])) for s in treap.shape]
-        self.most = [np.append(treap.values[c], 0) for c in treap.top]
+        self.first = [np.append(0, np.cumsum(_CHILDREN[s])).astype(np.int32) for s in treap.shape]
+        values = treap.values.astype(np.int32)  # impacts are below SCALE / 1000
+        self.most = [np.append(values[c], np.int32(0)) for c in treap.top]
 
     def _open(self, level: int, node: np.ndarray, bits: np.ndarray, right: int) -> np.ndarray:
         """The quadrants of one half of each range: (ranges, terms)."""
         q = 2 * bits + right
         shape = self.shape[level][node]
-        return np.where(_HAS[shape, q], self.first[level][node] + _BEFORE[shape, q], -1)
+        return np.where(_HAS[shape, q], self.first[level][node] + _BEFORE[shape, q], np.int32(-1))
 
     def best(self, hashes: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[int, int]]:
         """(score, document) of the k best with a score above 0."""
         at = np.minimum(np.searchsorted(self.t.terms, hashes), len(self.t.terms) - 1)
         here = (self.t.terms[at] == hashes) & (weights > 0)
-        rows, w = self.t.row[at[here]].astype(np.int64), weights[here]
+        rows, w = self.t.row[at[here]], weights[here]
         if not len(rows):
             return []
         # Per level the open ranges: their first bits, quadrants and bounds.
         pool: list[list] = [[] for _ in range(self.levels + 1)]
-        root = np.zeros((1, len(rows)), np.int64)
+        root = np.zeros((1, len(rows)), np.int32)
         pool[0].append((np.zeros(1, np.int64), root, self.most[0][root] @ w))
         found: list[tuple[int, int, int]] = []  # (-score, place among the ids, document)
         least = 1
