@@ -111,56 +111,76 @@ def parse_number(c: Column | str, to: str = "double") -> Column:
     return d if to == "double" else d.try_cast(to)
 
 
-# Date and time formats, tried in this order; one-letter fields take one or
-# two digits.
-DEFAULT_DATE_FORMATS = (
-    "yyyy-M-d", "yyyy-M-d H:mm:ss", "yyyy-M-d H:mm", "yyyy-M-d'T'H:mm:ss", "yyyy-M-d'T'H:mm:ss.SSS",
-    "yyyy-M-d'T'H:mm", "yyyy/M/d", "yyyyMMdd",
-    "M/d/yyyy", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "M/d/yyyy h:mm:ss a", "M/d/yyyy h:mm a",
-    "M/d/yy", "M-d-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d-MMM-yyyy", "d MMM yyyy",
+# The grammar of dates and times: a date in one of five orders of its fields,
+# a time, a fraction and an offset, each of the last three optional. All groups
+# of one pattern, so a text is scanned once, whatever its form.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+          "november", "december")
+_NAME = "(" + "|".join(f"{m[:3]}(?:{m[3:]})?" if m[3:] else m for m in MONTHS) + r")\.?"
+_NAME = _NAME.replace("sep(", "sept?(")
+_DAY_NAME = r"(?:(?:mon|tue(?:s)?|wed(?:nes)?|thu(?:rs)?|fri|sat(?:ur)?|sun)(?:day)?,?\s+)?"
+DATE_FORMS = (  # (pattern, order of its groups)
+    (r"(\d{4})([-/.])(\d{1,2})\2(\d{1,2})", "y-md"),
+    (r"(\d{4})(\d{2})(\d{2})", "ymd"),
+    (r"(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})", "m-dy"),
+    (rf"(\d{{1,2}})(?:st|nd|rd|th)?[- ]{_NAME}[- ,]\s*(\d{{4}}|\d{{2}})", "dNy"),
+    (rf"{_NAME}[- ](\d{{1,2}})(?:st|nd|rd|th)?[- ,]\s*(\d{{4}})", "Ndy"),
 )
-# Text shape of each field. A failed parse is costly (the parser raises
-# internally), so a format is only tried on text of its shape.
-_FIELD_SHAPES = {"yyyy": "[0-9]{4}", "yy": "[0-9]{2}", "MMMM": "[A-Z][a-z]{3,8}", "MMM": "[A-Z][a-z]{2}",
-                 "MM": "[0-9]{2}", "M": "[0-9]{1,2}", "dd": "[0-9]{2}", "d": "[0-9]{1,2}", "HH": "[0-9]{2}",
-                 "H": "[0-9]{1,2}", "hh": "[0-9]{2}", "h": "[0-9]{1,2}", "mm": "[0-9]{2}", "ss": "[0-9]{2}",
-                 "SSS": "[0-9]{3}", "a": "[AaPp][Mm]"}
-
-
-def format_shape(fmt: str) -> str:
-    """The regular expression of the texts that have the shape of ``fmt``."""
-    out, at = "", 0
-    while at < len(fmt):
-        if fmt[at] == "'":
-            end = fmt.index("'", at + 1)
-            out += re.escape(fmt[at + 1:end])
-            at = end + 1
-        elif fmt[at].isalpha():
-            run = re.match(r"(.)\1*", fmt[at:]).group(0)
-            out += _FIELD_SHAPES[run]
-            at += len(run)
-        else:
-            out += re.escape(fmt[at])
-            at += 1
-    return f"^{out}$"
-
-
-def parse_timestamp(c: Column | str, formats: Iterable[str] = DEFAULT_DATE_FORMATS) -> Column:
-    """First format that parses wins; no format parses -> NULL (TIMESTAMP_NTZ).
-
-    A trailing ``Z`` is dropped. Two-digit years are 1969 to 2068."""
-    s = F.regexp_replace(strip_ws(c), "(?<=[0-9])Z$", "")
-    tries = []
-    for f in formats:
-        t = F.try_to_timestamp(s, F.lit(f)).cast("timestamp_ntz")
-        if "yy" in f and "yyyy" not in f:
-            t = F.when(F.year(t) > 2068, t - F.expr("INTERVAL 100 YEAR")).otherwise(t)
-        tries.append(F.when(s.rlike(format_shape(f)), t))
-    return F.coalesce(*tries)
-
-
-def parse_date(c: Column | str, formats: Iterable[str] = DEFAULT_DATE_FORMATS) -> Column:
-    return parse_timestamp(c, formats).cast("date")
+_TIME = r"(?:(?:t|,?\s+)(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?\s*([ap])?(?:\.?m\.?)?"
+_OFFSET = r"(?:\s*(?:z|utc|gmt|(?:utc|gmt)?[+-]\d{2}(?::?\d{2})?))?)?"
+_MARK = "\x01"
+
+
+def _date_pattern() -> tuple[str, dict[str, list[int]]]:
+    """The pattern of all forms, and the groups that may hold each field."""
+    forms, fields, at = [], {f: [] for f in "ymdN"}, 0
+    for pattern, order in DATE_FORMS:
+        for k, f in enumerate(order):
+            if f != "-":
+                fields[f].append(at + k + 1)
+        forms.append(pattern.replace("\\2", f"\\{at + 2}"))
+        at += len(order)
+    fields |= {"time": [at + 1, at + 2, at + 3, at + 4, at + 5]}
+    return rf"^{_DAY_NAME}(?:{'|'.join(forms)}){_TIME}{_OFFSET}$", fields
+
+
+def parse_timestamp(c: Column | str) -> Column:
+    """Text -> TIMESTAMP_NTZ by the grammar above; anything else is NULL.
+
+    An offset is dropped: the time is kept as the feed wrote it. Fractions
+    beyond microseconds are cut; two-digit years are 1969 to 2068; of two
+    numbers with a separator the month comes first."""
+    pattern, fields = _date_pattern()
+    n = fields["time"][-1]
+    text = F.lower(strip_ws(c))
+    # One replacement writes all groups in order; those of other forms are empty.
+    groups = F.split(F.regexp_replace(F.when(~text.contains(_MARK), text), pattern,
+                                      _MARK + _MARK.join(f"${i}" for i in range(1, n + 1))), _MARK, -1)
+
+    def build(g: Column) -> Column:
+        # A text that is no date has no second element.
+        get = lambda i: F.nullif(F.get(g, F.lit(i)), F.lit(""))
+        field = lambda f: F.coalesce(*[get(i) for i in fields[f]])
+        hour, minute, second, fraction, half = (get(i) for i in fields["time"])
+        year = field("y").cast("int") + F.when(F.length(field("y")) == 4, 0).when(
+            field("y").cast("int") > 68, 1900).otherwise(2000)
+        month = F.coalesce(field("m").cast("int"), F.array_position(
+            F.array(*[F.lit(m[:3]) for m in MONTHS]), F.substring(field("N"), 1, 3)).cast("int"))
+        h = hour.cast("int")
+        clock = F.when(half.isNull(), h).when(h.between(1, 12), h % 12 + F.when(half == "p", 12).otherwise(0))
+        seconds = F.concat(F.coalesce(second, F.lit("0")), F.lit("."), F.rpad(
+            F.coalesce(fraction, F.lit("0")), 6, "0")).cast("decimal(8,6)")
+        ok = hour.isNull() | (clock.between(0, 23) & (F.coalesce(second, F.lit("0")).cast("int") < 60))
+        return F.when(ok, F.try_make_timestamp_ntz(
+            year, month, field("d").cast("int"), F.coalesce(clock, F.lit(0)),
+            F.coalesce(minute.cast("int"), F.lit(0)), seconds))
+
+    # The groups are taken once and named for the whole expression.
+    return F.transform(F.array(groups), build)[0]
+
+
+def parse_date(c: Column | str) -> Column:
+    return parse_timestamp(c).cast("date")
 
 
 def code_map(c: Column | str, mapping: Mapping[str, str]) -> Column:

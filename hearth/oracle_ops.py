@@ -583,6 +583,27 @@ SELECT 'city_sales', 'overflow_is_null', 'price_per_sqft',
 
     q["json_array_records"] = "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS kind, props FROM events"
 
+    q["csv_quoted_breaks"] = """
+SELECT event_id::VARCHAR AS id, event_type, props || chr(10) || '"' || event_type || '",' || chr(10) || chr(10) || event_id AS note
+FROM events"""
+    q["csv_headers"] = """
+SELECT o_orderkey::VARCHAR AS order_key, o_orderstatus AS order_status,
+       if(o_orderkey % 2 = 0, o_orderpriority, NULL) AS priority FROM orders"""
+    q["parse_date_forms"] = """
+SELECT o_orderkey, if(o_orderkey % 12 = 11, NULL, o_orderdate::DATE) AS d FROM orders"""
+    q["append_retried"] = "SELECT l_returnflag, count(*) AS rows FROM lineitem GROUP BY ALL"
+    q["keys_second_load"] = """
+SELECT row_number() OVER (ORDER BY supply, zip, address) AS property_id, address, zip
+FROM (SELECT c_name AS address, c_nationkey AS zip, 0 AS supply FROM customer
+      UNION ALL SELECT s_name, s_nationkey, 1 FROM supplier)"""
+    q["changes_applied"] = """
+SELECT o_orderkey AS transaction_id, cents / 100.0 AS sale_price, newest / 100.0 AS assessed_value_at_sale,
+       coalesce(cents < newest, false) AS sold_below_assessment
+FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents,
+             (SELECT max((l_shipdate, l_linenumber, round(l_extendedprice * 100)::BIGINT)) FROM lineitem
+              WHERE l_orderkey = o_orderkey)[3] AS newest
+      FROM orders)"""
+
     q["dq_defaults"] = W(*STATE) + """
 SELECT DISTINCT town AS town_name, 'CT' AS state FROM state"""
 

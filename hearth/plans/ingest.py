@@ -323,7 +323,7 @@ def home_values(wide: DataFrame, neighborhood: DataFrame, state: str = "NY",
     z = J.semi_known(z, neighborhood, "zip_code")
     long = melt(z, ["zip_code"], months, "stat_month", "median_home_value")
     return (long.select("zip_code",
-                        C.parse_date("stat_month", ["yyyy-MM-dd"]).alias("stat_month"),
+                        C.parse_date("stat_month").alias("stat_month"),
                         C.parse_number("median_home_value").try_cast(S.MONEY)
                         .alias("median_home_value"))
             .where(F.col("stat_month").isNotNull() & F.col("median_home_value").isNotNull()))

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from hearth.functions import expr as X
 from hearth.operators.dedup import Order, distinct_on
+from hearth.operators.blocks import stage
 from hearth.operators.quantile import percentile_cont
 
 DEC = "decimal(38,6)"
@@ -213,24 +214,23 @@ def price_by_type(star, with_per_sqft: bool = True, approx_median: bool = False)
     st = star.sales_transaction
     p = star.property.where(F.col("property_type").isNotNull()).select(
         "property_id", "property_type")
-    per_prop = (st.groupBy("property_id")
-                .agg(F.count(F.lit(1)).alias("n"),
-                     F.sum("sale_price").alias("s"), F.count("sale_price").alias("n_price"),
-                     F.sum("price_per_sqft").alias("sq"),
-                     F.count("price_per_sqft").alias("n_sq")))
-    g = (per_prop.join(p, "property_id")
-         .groupBy("property_type")
-         .agg(*[F.sum(c).alias(c) for c in ("n", "s", "n_price", "sq", "n_sq")]))
+    # The facts are joined once, down to one row per type and price; sums,
+    # counts and the median all come from that table.
+    prices = stage(st.select("property_id", "sale_price", "price_per_sqft").join(p, "property_id")
+                   .groupBy("property_type", "sale_price")
+                   .agg(F.count(F.lit(1)).alias("w"), F.sum("price_per_sqft").alias("sq"),
+                        F.count("price_per_sqft").alias("n_sq")), "type_prices")
+    priced = F.col("sale_price").isNotNull()
+    g = prices.groupBy("property_type").agg(
+        F.sum("w").alias("n"), F.sum(F.col("sale_price") * F.col("w").cast("decimal(12,0)")).alias("s"),
+        F.sum(F.when(priced, F.col("w")).otherwise(0)).alias("n_price"),
+        F.sum("sq").alias("sq"), F.sum("n_sq").alias("n_sq"))
     if approx_median:
         med = (st.select("property_id", "sale_price").join(p, "property_id")
                .groupBy("property_type")
                .agg(F.percentile_approx("sale_price", 0.5, 10000).alias("med")))
     else:
-        # The median needs values: (property, price) counts first, then types.
-        pc = (st.where(F.col("sale_price").isNotNull())
-              .groupBy("property_id", "sale_price").agg(F.count(F.lit(1)).alias("w"))
-              .join(p, "property_id"))
-        med = percentile_cont(pc, ["property_type"], "sale_price", 0.5, alias="med", weight="w")
+        med = percentile_cont(prices.where(priced), ["property_type"], "sale_price", 0.5, alias="med", weight="w")
     cols = [F.col("property_type"),
             F.col("n").cast("long").alias("num_sales"),
             F.round(_avg("s", "n_price")).cast("double").alias("avg_price"),

@@ -7,6 +7,8 @@ whose columns the DuckDB oracle reproduces.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -247,10 +249,8 @@ def dq_not_null(t: TestStar) -> DataFrame:
 
 
 def dq_fk(t: TestStar) -> DataFrame:
-    o = _OrphanStar(t)
-    zipfk = Q._count(Q.orphans(o.housing_violation, "zip_code", t.neighborhood, "zip_code"),
-                     "housing_violation", "fk->neighborhood", "zip_code")
-    return Q.foreign_key_report(o, STAR_TABLES).unionByName(zipfk)
+    zips = ("housing_violation", "zip_code", "neighborhood", "zip_code")
+    return Q.foreign_key_report(_OrphanStar(t), STAR_TABLES, [*S.FOREIGN_KEYS, zips])
 
 
 def dq_length(t: TestStar) -> DataFrame:
@@ -352,6 +352,83 @@ def dq_outliers(t: TestStar) -> DataFrame:
     return Q.outliers(g, ["property_id"], "low", "high", 20.0)
 
 
+# ---- landing files, batches, later loads -----------------------------------
+def csv_quoted_breaks(t: TestStar) -> DataFrame:
+    """S1: the events as a quoted CSV with line breaks, commas and quotes in a
+    column, written and read back by many tasks per file."""
+    from hearth.session import scratch_path
+    from hearth.sources.files import read_csv
+    e = t.raw("events").select(
+        F.col("event_id").cast("string").alias("id"), "event_type",
+        F.concat("props", F.lit('\n"'), "event_type", F.lit('",\n\n'), F.col("event_id").cast("string")).alias("note"))
+    path = scratch_path(t.spark, f"csv-{uuid.uuid4().hex}")
+    e.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    return read_csv(t.spark, path, glob="*.csv", ordinal=None, missing=None)
+
+
+def csv_headers(t: TestStar) -> DataFrame:
+    """S2, I1: files of one folder whose headers differ in order, case and
+    blanks; a column that some lack is NULL there."""
+    from hearth.session import scratch_path
+    from hearth.sources.files import read_csv
+    o = t.raw("orders")
+    key, status, prio = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    path = scratch_path(t.spark, f"csv-{uuid.uuid4().hex}")
+    w = lambda df: df.write.mode("append").option("header", True).csv(path)
+    w(o.where(key % 2 == 0).select(key.alias("Order Key"), status.alias("order-status"), prio.alias("Priority")))
+    w(o.where(key % 2 == 1).select(status.alias("ORDER STATUS"), key.alias(" order  key ")))
+    return read_csv(t.spark, path, columns=["order_key", "order_status", "priority"], glob="*.csv",
+                    normalize=True, multiline=False, ordinal=None)
+
+
+_DATE_TEXTS = ["yyyy-MM-dd'T'HH:mm:ss'+00:00'", "yyyy-MM-dd HH:mm:ss.SSS", "MM/dd/yyyy HH:mm:ss.SSS", "dd-MMM-yy",
+               "MMMM d yyyy", "d MMMM yyyy", "yyyy.MM.dd", "MMM d, yyyy", "yyyyMMdd", "M/d/yy",
+               "yyyy-MM-dd'T'HH:mm:ss'Z'", "'week of' yyyy"]
+
+
+def parse_date_forms(t: TestStar) -> DataFrame:
+    """P5: order dates written in twelve forms (the last is no date) and parsed."""
+    o, day = t.raw("orders"), F.col("o_orderdate")
+    text = F.element_at(F.array(*[F.date_format(day, f) for f in _DATE_TEXTS]),
+                        (F.col("o_orderkey") % len(_DATE_TEXTS)).cast("int") + 1)
+    return o.select("o_orderkey", C.parse_date(text).alias("d"))
+
+
+def append_retried(t: TestStar) -> DataFrame:
+    """K-1: the lines appended in two batches, the first of them twice."""
+    from hearth.session import scratch_path
+    from hearth.sinks import append_batch, read_batches
+    li = t.raw("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    path = scratch_path(t.spark, f"batches-{uuid.uuid4().hex}")
+    for batch in (0, 1, 0):
+        append_batch(li.where(F.col("l_orderkey") % 2 == batch), path, f"load/{batch}")
+    return read_batches(t.spark, path).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def keys_second_load(t: TestStar) -> DataFrame:
+    """K1: a second load that adds the suppliers' addresses to the customers'
+    keeps the ids of the first and numbers the new ones after them."""
+    from hearth.operators.changes import stable_keys
+    from hearth.operators.keys import dense_keys
+    c = t.raw("customer").select(F.col("c_name").alias("address"), F.col("c_nationkey").alias("zip"))
+    first = stage(dense_keys(c, ["zip", "address"], key="property_id"), "first_load")
+    s = t.raw("supplier").select(F.col("s_name").alias("address"), F.col("s_nationkey").alias("zip"))
+    return stable_keys(c.unionByName(s), first, ["zip", "address"], key="property_id")
+
+
+def changes_applied(t: TestStar) -> DataFrame:
+    """P22 on update: every line is a reassessment of its order's sale; the
+    newest one counts and the flag follows it."""
+    from hearth.functions import expr as X
+    from hearth.operators.changes import apply_changes
+    base = t.sales_transaction.select("transaction_id", "sale_price", "assessed_value_at_sale", "sold_below_assessment")
+    changes = t.raw("lineitem").select(
+        F.col("l_orderkey").alias("transaction_id"), "l_shipdate", "l_linenumber",
+        F.col("l_extendedprice").cast(S.MONEY).alias("assessed_value_at_sale"))
+    return apply_changes(base, changes, ["transaction_id"], ["l_shipdate", "l_linenumber"], {
+        "sold_below_assessment": X.sold_below_assessment("sale_price", "assessed_value_at_sale")})
+
+
 OPS = {
     "ingest_city_sales": ingest_city_sales,
     "ingest_state_sales": ingest_state_sales,
@@ -396,4 +473,10 @@ OPS = {
     "dq_overflow": dq_overflow,
     "dq_reject_report": dq_reject_report,
     "json_array_records": json_array_records,
+    "csv_quoted_breaks": csv_quoted_breaks,
+    "csv_headers": csv_headers,
+    "parse_date_forms": parse_date_forms,
+    "append_retried": append_retried,
+    "keys_second_load": keys_second_load,
+    "changes_applied": changes_applied,
 }

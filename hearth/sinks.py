@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+import urllib.parse
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -46,10 +47,76 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite",
 
 
 def append_table(df: DataFrame, path: str, **kw) -> int | None:
-    """Append rows to an existing table folder (columns matched by name)."""
+    """Append rows to an existing table folder (columns matched by name). A
+    retry appends them again; ``append_batch`` does not."""
     return write_table(df, path, mode="append", **kw)
 
 
+MANIFEST = "_batches"
+
+
+def append_batch(df: DataFrame, path: str, batch: str, **kw) -> int | None:
+    """Append ``df`` as the batch of that name, once: a batch that is already
+    in the table is left as it is, whoever appends it again.
+
+    The rows go to a folder of their own; then one small file ``_batches/<name>``
+    with that folder's name is created, which only one writer can do. Readers
+    (``read_batches``) go by these files, so a write that broke off, or that
+    came second, is never read. Returns the rows written, None for a batch that
+    was there.
+    """
+    spark = df.sparkSession
+    fs, _, jvm = _fs(spark, path)
+    mark = jvm.org.apache.hadoop.fs.Path(os.path.join(path, MANIFEST, urllib.parse.quote(batch, safe="")))
+    if fs.exists(mark):
+        return None
+    folder = f"batch-{uuid.uuid4().hex}"
+    rows = write_table(df, os.path.join(path, folder), **kw)
+    try:
+        stream = fs.create(mark, False)  # fails if it exists
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" not in e.java_exception.getClass().getSimpleName():
+            raise
+        fs.delete(jvm.org.apache.hadoop.fs.Path(os.path.join(path, folder)), True)
+        return None
+    stream.write(bytearray(folder.encode()))
+    stream.close()
+    return rows
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all batches of a table written by ``append_batch``."""
+    names = [r["value"] for r in spark.read.text(os.path.join(path, MANIFEST)).collect()]
+    return spark.read.option("mergeSchema", "true").parquet(*[os.path.join(path, n) for n in sorted(names)])
+
+
+def write_sized(df: DataFrame, path: str, target_bytes: int = 256 << 20, **kw) -> int | None:
+    """Write a table in files of about ``target_bytes`` as they are on disk.
+
+    What a row takes in Parquet is known once it is written, so the table is
+    written as its tasks come, measured, and written again only if its files
+    are too small or too large: then as many equal files as its bytes call for.
+    """
+    spark = df.sparkSession
+    rows = write_table(df, path, **kw)
+    fs, p, jvm = _fs(spark, path)
+    size = fs.getContentSummary(p)
+    wanted = max(1, -(-size.getLength() // target_bytes))
+    files = sum(1 for f in spark.read.parquet(path).inputFiles())
+    if wanted <= files * 2 and files <= wanted * 2:
+        return rows
+    again = f"{path.rstrip('/')}.sized-{uuid.uuid4().hex[:8]}"
+    table = spark.read.parquet(path)
+    # Fewer files need no shuffle; more do.
+    table = table.coalesce(wanted) if wanted < files else table.repartition(wanted)
+    kw.pop("count", None)
+    write_table(table, again, count=False, **kw)
+    fs.delete(p, True)
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(again), p):
+        raise OSError(f"could not replace {path}")
+    return rows
+
+
 def new_run(root: str) -> str:
     """A fresh, unpublished run folder under ``root``."""
     run = f"run-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
@@ -58,9 +125,11 @@ def new_run(root: str) -> str:
 
 def write_run(run_dir: str, tables: dict[str, DataFrame],
               partition_by: dict[str, list[str]] | None = None) -> dict[str, int | None]:
-    """Write tables into an unpublished run folder; returns row counts."""
-    return {name: write_table(df, os.path.join(run_dir, name),
-                              partition_by=(partition_by or {}).get(name))
+    """Write tables into an unpublished run folder, in files of a set size;
+    returns row counts. (A partitioned table has a file per task and value.)"""
+    parts = partition_by or {}
+    return {name: write_table(df, os.path.join(run_dir, name), partition_by=parts[name]) if name in parts
+            else write_sized(df, os.path.join(run_dir, name))
             for name, df in tables.items()}
 
 

@@ -21,24 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearth.functions.clean import MISSING_TOKENS, normalize_header, null_tokens
+from hearth.operators.blocks import stage
 from hearth.operators.dedup import with_ordinal
-
-
-def _files_by_header(spark: SparkSession, path: str, glob: str | None) -> dict[tuple[str, ...], list[str]]:
-    """The matching files, grouped by their header line.
-
-    Only the first record of each file is read; a landing folder holds a
-    handful of exports, so the list of their names is small.
-    """
-    r = spark.read.format("binaryFile")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    out: dict[tuple[str, ...], list[str]] = {}
-    for (name,) in r.load(path).select("path").distinct().orderBy("path").collect():
-        header = tuple(spark.read.option("header", "true").option("inferSchema", "false")
-                       .option("escape", '"').csv(name).columns)
-        out.setdefault(header, []).append(name)
-    return out
+from hearth.sources import csvsplit
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
@@ -50,38 +35,59 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None,
 
     Every file is read by its own header, so files of one glob may order
     their columns differently; a column that a file lacks is NULL for its
-    rows. ``columns`` selects (and orders) the columns to keep after header
+    rows. The headers are read by the tasks, in one job for all files.
+    ``columns`` selects (and orders) the columns to keep after header
     normalisation. ``ordinal`` adds the ingest position used by keep-first
-    dedup. Quoted line breaks belong to the record (``multiline``, one task
-    per file; switch it off for files known to have none, which then split).
+    dedup. Quoted line breaks belong to the record (``multiline``); files are
+    split between tasks in either case (``hearth.sources.csvsplit``), files
+    known to have no such breaks are spared the pass that cuts records.
     ``corrupt`` names a column that keeps the text of a malformed record (too
-    few or too many fields), which is NULL for good ones; Spark wants another
-    column of the file read along with it.
+    few or too many fields), which is NULL for good ones.
     """
+    headers, inside = csvsplit.inventory(spark, path, glob)
+    if not headers:
+        raise FileNotFoundError(f"no file matches {glob or '*'} in {path}")
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, names in headers.items():
+        groups.setdefault(tuple(names), []).append(file)
+    rows = None
+    if multiline:
+        rows = csvsplit.records(spark, path, glob, inside)
+        if len(groups) > 1:
+            rows = stage(rows, "csv_records")  # cut once for all headers
     parts = []
-    for names, paths in _files_by_header(spark, path, glob).items():
-        fields = [T.StructField(n, T.StringType(), True) for n in names]
-        if corrupt:
-            fields.append(T.StructField(corrupt, T.StringType(), True))
-        r = (spark.read.schema(T.StructType(fields)).option("header", "true")
-             .option("multiLine", str(multiline).lower()).option("escape", '"')
-             .option("mode", "PERMISSIVE"))
-        if corrupt:
-            r = r.option("columnNameOfCorruptRecord", corrupt)
-        df = r.csv(paths)
+    for names, files in groups.items():
+        if rows is not None:
+            mine = rows.filter(F.col("file").isin(files)) if len(groups) > 1 else rows
+            df = csvsplit.parsed(mine, list(names), corrupt)
+            if ordinal:
+                df = df.withColumn(ordinal, F.col("_at"))
+            if source_file:
+                df = df.withColumn("_source_file", F.col("_at.file"))
+            df = df.drop("_at")
+        else:
+            df = _plain_csv(spark, files, names, ordinal, source_file, corrupt)
         extra = [c for c in (ordinal, "_source_file" if source_file else None, corrupt) if c]
-        if ordinal:
-            df = with_ordinal(df, ordinal)
-        if source_file:
-            df = df.withColumn("_source_file", F.col("_metadata.file_path"))
         if normalize:
             df = df.toDF(*[normalize_header(c) if c in names else c for c in df.columns])
         parts.append(_selected(df, columns, extra, missing))
-    if not parts:
-        raise FileNotFoundError(f"no file matches {glob or '*'} in {path}")
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
 
 
+def _plain_csv(spark: SparkSession, files: list[str], names: tuple[str, ...], ordinal: str | None,
+               source_file: bool, corrupt: str | None) -> DataFrame:
+    """Spark's own reader, a record per line."""
+    fields = [T.StructField(n, T.StringType(), True) for n in (*names, corrupt) if n]
+    r = (spark.read.schema(T.StructType(fields)).option("header", "true").option("escape", '"')
+         .option("mode", "PERMISSIVE"))
+    if corrupt:
+        r = r.option("columnNameOfCorruptRecord", corrupt)
+    df = r.csv(files)
+    if ordinal:
+        df = with_ordinal(df, ordinal)
+    return df.withColumn("_source_file", F.col("_metadata.file_path")) if source_file else df
+
+
 def _selected(df: DataFrame, columns: list[str] | None, extra: list[str],
               missing: list[str] | None) -> DataFrame:
     if columns is not None:

@@ -73,6 +73,29 @@ def test_parse_date_formats(spark):
     assert ts == [dt.datetime(2024, 1, 5, 13, 14, 15)]
 
 
+JAN5 = dt.datetime(2025, 1, 5)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("2025-01-05T10:30:00+00:00", JAN5.replace(hour=10, minute=30)),
+    ("2025-01-05 10:30:00.123", JAN5.replace(hour=10, minute=30, microsecond=123000)),
+    ("01/05/2025 10:30:00.000", JAN5.replace(hour=10, minute=30)),
+    ("2025-01-05T10:30:00.123456789Z", JAN5.replace(hour=10, minute=30, microsecond=123456)),
+    ("2025-01-05T10:30-0500", JAN5.replace(hour=10, minute=30)),
+    ("2025-01-05 10:30:00 UTC", JAN5.replace(hour=10, minute=30)),
+    ("05-Jan-25", JAN5), ("January 5 2025", JAN5), ("January 5, 2025", JAN5), ("5 January 2025", JAN5),
+    ("Jan. 5, 2025", JAN5), ("JAN 5, 2025", JAN5), ("Sunday, January 5th, 2025", JAN5), ("2025.01.05", JAN5),
+    ("2025/1/5", JAN5), ("20250105", JAN5), ("1-5-2025", JAN5), ("1/5/25", JAN5), ("1.5.2025", JAN5),
+    ("1/5/70", dt.datetime(1970, 1, 5)), ("Sept 9, 2024", dt.datetime(2024, 9, 9)), ("1 may 2024", dt.datetime(2024, 5, 1)),
+    ("\t1/5/2025 12:00 AM ", JAN5), ("1/5/2025 12:07 p.m.", JAN5.replace(hour=12, minute=7)),
+    ("1/5/2025 1:07:09PM", JAN5.replace(hour=13, minute=7, second=9)),
+    ("2025-13-05", None), ("2025-02-30", None), ("2025-01/05", None), ("1/5/2025 13:00 PM", None),
+    ("2025-01-05 24:00", None), ("2025-01-05 10:61", None), ("2025-01-05 10:30:60", None), ("Janu 5 2025", None),
+    ("5", None), ("", None), ("1/5/2025 x", None), ("2025-01-05\x01", None), ("20251", None), ("12/5", None)])
+def test_date_grammar(spark, text, want):
+    assert _one(spark, [text], C.parse_timestamp) == [want]
+
+
 def test_code_maps(spark):
     assert _one(spark, ["01 ONE FAMILY", "28 X", " 4 odd", "99 NONE", None], C.building_type) == \
         ["HOUSE", "APARTMENT", None, None, None]
