@@ -17,7 +17,10 @@ Kinds of span, in this order:
 
 Offsets come from one extraction per kind: every match is taken together with
 the text since the previous match (``\\G`` pins it there, so a search is
-linear), and the lengths add up to code-point positions.
+linear), and the lengths add up to code-point positions. They are added up in
+chunks of ``CHUNK`` matches: first the chunks' totals, then within a chunk; so
+a text of 100,000 matches takes seconds. Which opaque strings overlap a base
+span is looked up by the same chunks' extents.
 
 Everything is DataFrame functions. Only the candidates leave the scan; they
 are counted with partial aggregation and joined back by a hash of the value,
@@ -47,6 +50,7 @@ HEX = r"[0-9a-f]{24,}"
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 KINDS = {"assign": (ASSIGN, 2, 6), "access": (ACCESS, 0, 20), "hex": (HEX, 0, 24)}
 MAX_OWNERS = 1
+CHUNK = 256
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -54,20 +58,47 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\G(?s:.*?)(?:" + pattern + ")"), F.lit(0))
 
 
-def _spans(pieces: Column, kind: str, rank: int, pattern: str, group: int, least: int) -> Column:
-    """Structs ``start, rank, kind, end, value`` of the matches long enough."""
-    ends = F.aggregate(pieces, F.array(F.lit(0)),
-                       lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+def _chunks(items: Column) -> Column:
+    """The numbers of an array's chunks; one for an empty array."""
+    return F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / CHUNK).cast("int") - 1, F.lit(0)))
+
+
+def _sum(lengths: Column) -> Column:
+    return F.aggregate(lengths, F.lit(0), lambda a, n: a + n)
+
+
+def _totals(lengths: Column) -> Column:
+    """Per chunk the sum of all lengths before it."""
+    return F.transform(_chunks(lengths), lambda c: _sum(F.slice(lengths, 1, c * CHUNK)))
+
+
+def _spans(kind: str, rank: int, pieces: Column, lengths: Column, before: Column, pattern: str, group: int,
+           least: int) -> Column:
+    """Structs ``start, rank, kind, end, value`` of the matches long enough,
+    from columns that hold the pieces, their lengths and the chunks' totals."""
+    def end(i: Column) -> Column:
+        c = F.floor(i / CHUNK).cast("int")
+        return F.element_at(before, c + 1) + _sum(F.slice(lengths, c * CHUNK + 1, i - c * CHUNK + 1))
 
     def span(p: Column, i: Column) -> Column:
         return F.struct(
-            (F.element_at(ends, i + 2) - F.length(F.regexp_extract(p, pattern, 0))).alias("start"),
+            (end(i) - F.length(F.regexp_extract(p, pattern, 0))).alias("start"),
             F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-            F.element_at(ends, i + 2).alias("end"), F.regexp_extract(p, pattern, group).alias("value"))
+            end(i).alias("end"), F.regexp_extract(p, pattern, group).alias("value"))
 
     return F.filter(F.transform(pieces, span), lambda s: F.length(s["value"]) >= least)
 
 
+def _overlaps(s: Column, base: Column, extents: Column) -> Column:
+    """Whether a span overlaps one of ``base``; ``extents``: its chunks' least start and largest end."""
+    def in_chunk(c: Column) -> Column:
+        e = F.element_at(extents, c + 1)
+        return (e["lo"] < s["end"]) & (s["start"] < e["hi"]) & F.exists(
+            F.slice(base, c * CHUNK + 1, CHUNK), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
+    return F.exists(_chunks(base), in_chunk)
+
+
 def _said(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(
         ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -80,28 +111,32 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     start, end and kind, and how many are live or copied."""
     rows = df.select(F.col(id_col).alias("_id"), F.col(owner_col).cast("string").alias("_owner"),
                      F.col(repo_col).cast("string").alias("_repo"), text_of(text_col).alias("_text"))
-    pieces = rows.select(
-        "_id", "_owner", "_repo",
-        *[_matches(F.col("_text"), p).alias(f"_{k}_pieces") for k, (p, _, _) in KINDS.items()],
-        _matches(F.col("_text"), OPAQUE).alias("_opaque_pieces"))
-    found = pieces.select(
-        "_id", "_owner", "_repo",
-        *[_spans(F.col(f"_{k}_pieces"), k, r, *KINDS[k]).alias(f"_{k}") for r, k in enumerate(KINDS)],
-        _spans(F.col("_opaque_pieces"), "owned", len(KINDS), OPAQUE, 0, 24).alias("_bare"))
-    base = F.concat(*[F.col(f"_{k}") for k in KINDS])
+    # Each step is a select of its own: what the next one's lambdas read is a
+    # column by then and not worked out anew for every match.
+    kinds = {**KINDS, "owned": (OPAQUE, 0, 24)}
+    own = ["_id", "_owner", "_repo"]
+    cols = lambda name: [F.col(f"_{k}_{name}") for k in kinds]
+    pieces = rows.select(*own, *[_matches(F.col("_text"), p).alias(f"_{k}_pieces") for k, (p, _, _) in kinds.items()])
+    pieces = pieces.select("*", *[F.transform(F.col(f"_{k}_pieces"), lambda p: F.length(p)).alias(f"_{k}_lengths")
+                                  for k in kinds])
+    pieces = pieces.select("*", *[_totals(c).alias(f"_{k}_before") for k, c in zip(kinds, cols("lengths"), strict=True)])
+    found = pieces.select(*own, *[_spans(k, r, F.col(f"_{k}_pieces"), F.col(f"_{k}_lengths"), F.col(f"_{k}_before"),
+                                         *kinds[k]).alias(f"_{k}") for r, k in enumerate(kinds)])
+    found = found.select(*own, *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
+                         F.concat(*[F.col(f"_{k}") for k in KINDS]).alias("_base"), F.col("_owned").alias("_bare"))
+    found = found.select("*", F.transform(_chunks(F.col("_base")), lambda c: F.struct(
+        F.array_min(F.transform(F.slice("_base", c * CHUNK + 1, CHUNK), lambda s: s["start"])).alias("lo"),
+        F.array_max(F.transform(F.slice("_base", c * CHUNK + 1, CHUNK), lambda s: s["end"])).alias("hi"))).alias("_extents"))
     opaque = F.filter("_bare", lambda s: s["value"].rlike("[a-z]") & s["value"].rlike("[A-Z]")
                       & s["value"].rlike("[0-9]")
-                      & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+                      & ~F.coalesce(_overlaps(s, F.col("_base"), F.col("_extents")), F.lit(False)))
     hashed = lambda a: F.transform(a, lambda s: F.struct(
         s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"),
         s["end"].alias("end"), F.sha2(s["value"], 256).alias("hash")))
     docs = stage(
-        found.select("_id", "_owner", "_repo", *[F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in KINDS],
-                     base.alias("_base"), "_bare")
-        .withColumn("_bare", opaque)
-        .select(F.monotonically_increasing_id().alias("_uid"), "_id", "_owner", "_repo",
-                *[f"n_{k}" for k in KINDS], hashed(F.col("_base")).alias("_base"),
-                hashed(F.col("_bare")).alias("_bare")),
+        found.withColumn("_bare", opaque)
+        .select(F.monotonically_increasing_id().alias("_uid"), *own, *[f"n_{k}" for k in KINDS],
+                hashed(F.col("_base")).alias("_base"), hashed(F.col("_bare")).alias("_bare")),
         "secrets")
     cands = docs.select("_uid", "_owner", "_repo", F.explode(F.concat("_base", "_bare")).alias("_s"))
     held = cands.groupBy(F.col("_s.hash").alias("_hash")).agg(

@@ -63,3 +63,16 @@ def test_edges(edge, empty):
 def test_no_python_in_the_plan(edge):
     plan = scan_secrets(edge)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_a_text_full_of_matches(spark):
+    import time
+    n = 100_000
+    parts = [f"token={i:08x}Ab{i:014d}Zz {'0123456789abcdef' * 2} " for i in range(n // 2)]
+    df = spark.createDataFrame([(1, "".join(parts), "s")], "doc_id long, text string, source string")
+    start = time.time()
+    r = scan_secrets(df).select("n_assign", "n_hex", F.col("base")[0].alias("a"), F.element_at("base", -1).alias("b")).first()
+    assert (r.n_assign, r.n_hex) == (n // 2, n // 2)
+    size = len(parts[0])
+    assert (r.a.start, r.a.end) == (0, 32) and r.b.end == size * (n // 2) - 1
+    assert time.time() - start < 60
