@@ -84,3 +84,86 @@ def test_articles_in_comments_and_related_boxes_still_go():
                     for c in ("comments", "related-posts", "left-sidebar", "site-footer", "cookie-notice"))
     assert main_text(f"<body><article>{BODY}</article>{boxes}</body>") == WANT
     assert main_text(f"<body><div class='widget'><main>{BODY}</main></div>{boxes}</body>") == WANT
+
+
+def test_sections_of_an_article_stay():
+    for name in ("related-work", "discussion", "section-header", "recommended"):
+        page = f"<body><article><h1>T</h1><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div></article>{OTHERS}</body>"
+        assert main_text(page) == WANT
+    page = f"<body><article>{BODY}<div class='comments'><p>{LONG * 6}</p></div></article></body>"
+    assert main_text(page) == WANT
+
+
+def test_density_decides_without_names():
+    rest = ("<div><p>Ann, <a href=x>reply</a></p><p>ok</p><p>Bob, <a href=x>reply</a></p><p>no</p></div>"
+            "<div>(c) 2024 <a href=y>Some Press</a> <a href=z>Terms</a></div>")
+    assert main_text(f"<body><div>{BODY}<p>{LONG}</p></div>{rest}</body>") == WANT + f"\n\n{LONG.strip()}"
+
+
+def test_density_changes_the_table(spark):
+    """Without the density step, most pages of the table would keep more."""
+    from hearth.llm.html_text import parse, text_blocks
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    differ = sum("\n\n".join(text_blocks([parse(r.html)])) != main_text(r.html) for r in rows)
+    assert differ > 0.8 * len(rows)
+
+
+def brute_density(n, body):
+    """The formula over a plain recursive count."""
+    import math
+
+    def texts(m, linked):
+        for p in m.parts:
+            if isinstance(p, str):
+                yield len("".join(p.split())), linked
+            elif not p.cut:
+                yield from texts(p, linked or p.tag == "a")
+
+    def tags(m):
+        return [x for c in m.parts if not isinstance(c, str) and not c.cut for x in (c.tag, *tags(c))]
+
+    def chars(m):
+        t = list(texts(m, False))
+        return sum(c for c, _ in t), sum(c for c, k in t if k)
+
+    (c, lc), (cb, lcb) = chars(n), chars(body)
+    t, lt = max(1, len(tags(n))), max(1, tags(n).count("a"))
+    if not c:
+        return 0.0
+    base = c / max(1, c - lc) * lc + lcb / max(1, cb) * c + math.e
+    return c / t * math.log(c / max(1, lc) * t / lt) / math.log(base)
+
+
+def test_densities_equal_brute_force():
+    import random
+
+    from hearth.llm.html_text import _nodes, measure, parse
+    rng = random.Random(4)
+
+    def part(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return "word " * rng.randint(0, 30)
+        tag = rng.choice(["div", "p", "a", "section", "b", "ul", "li", "nav", "div class=ad"])
+        return f"<{tag}>{''.join(part(depth - 1) for _ in range(rng.randint(0, 4)))}</{tag.split()[0]}>"
+
+    for _ in range(60):
+        root = parse(f"<body>{''.join(part(4) for _ in range(4))}</body>")
+        body = next(n for n in _nodes(root) if n.tag == "body")
+        measure(body)
+        for n in _nodes(body):
+            assert n.density == pytest.approx(brute_density(n, body))
+            kids = [c for c in n.parts if not isinstance(c, str) and not c.cut]
+            assert n.total == pytest.approx(sum(c.density * c.weight for c in kids) if kids else n.density * n.weight)
+        best = max(n.total for n in _nodes(body))
+        assert body.best.total == best
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 330_000 + ">", "<a " * 330_000, "<div>" * 150_000 + "x", "<p><button>" + "<div>" * 150_000,
+    "<p>" * 250_000, "<ul>" + "<li>x" * 150_000, "</div>" * 150_000, "<b><i>" * 150_000, "<" * 1_000_000,
+    "<form>" * 100_000, "<div class=ad><article>" * 40_000, "&amp" * 200_000, "<!--" * 200_000])
+def test_broken_pages_of_a_megabyte(page):
+    import time
+    start = time.process_time()
+    main_text(page)
+    assert time.process_time() - start < 15  # seconds for nodes by the 100,000; minutes if it were quadratic
