@@ -9,14 +9,16 @@ from hearth.llm.staging import text_of
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: Column, rows_per_class: int,
-                    chars: int, id_col: str = "doc_id", text_col: str = "text"):
-    """At most ``2 * rows_per_class`` rows ``(text, label)``, the rows' class
-    weights, chosen by a hash of the id over all usable labels; of a text
-    longer than ``chars`` a window at a hashed place.
+                    chars_per_class: int, id_col: str = "doc_id", text_col: str = "text"):
+    """Whole texts of at most ``rows_per_class`` rows and ``chars_per_class``
+    characters of each label, ``(texts, labels, weights)``; the weights restore
+    the shares of the classes.
 
-    The chosen ids are a list of bounded length, so they are broadcast to the
-    documents and no text is shuffled. Labels other than 0 and 1, and null
-    ids, are not used.
+    Rows are taken in the order of a hash of the id over all usable labels,
+    until the next one would exceed a bound; no text is cut. Their ids are a
+    list of bounded length, which is broadcast to the documents twice: for the
+    lengths, and for the texts that are taken. Labels other than 0 and 1, and
+    null ids, are not used.
     """
     y = F.col(label_col).cast("int")
     known = labels.filter(y.isin(0, 1) & F.col(id_col).isNotNull() & usable).select(
@@ -28,18 +30,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable:
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * rows_per_class / n))])
     chosen = known.filter(order < share[F.col("_y")] * (1 << 30)).limit(4 * rows_per_class)
     text = text_of(text_col)
-    room = F.greatest(F.length(text) - chars, F.lit(0)) + 1
-    window = F.substring(text, (F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit(3)), room) + 1).cast("int"),
-                         F.lit(chars))
-    got = (docs.select(F.col(id_col).alias("_id"), F.col(text_col)).join(F.broadcast(chosen), "_id")
-           .select(window.alias("t"), "_y", order.alias("o"))
-           .limit(4 * rows_per_class).collect())
-    texts, ys, taken = [], [], {0: 0, 1: 0}
-    for r in sorted(got, key=lambda r: (r["o"], r["_y"], r["t"])):
-        if taken[r["_y"]] < rows_per_class:
-            taken[r["_y"]] += 1
-            texts.append(r["t"])
-            ys.append(r["_y"])
-    weight = {k: counts[k] / max(1, taken[k]) for k in counts}
+    found = (docs.select(F.col(id_col).alias("_id"), text.alias("t")).join(F.broadcast(chosen), "_id")
+             .withColumn("o", order))
+    sizes = found.select("_y", "o", F.length("t").alias("n"), F.xxhash64("t").alias("h")).limit(4 * rows_per_class)
+    last: dict[int, tuple] = {}  # of each class the last row that is taken
+    rows, chars, full = {0: 0, 1: 0}, {0: 0, 1: 0}, set()
+    for r in sorted(sizes.collect(), key=lambda r: (r["o"], r["_y"], r["h"])):
+        k = r["_y"]
+        rows[k], chars[k] = rows[k] + 1, chars[k] + r["n"]
+        if rows[k] > rows_per_class or chars[k] > chars_per_class:
+            full.add(k)
+        if k not in full:
+            last[k] = (r["o"], r["h"])
+    taken = F.lit(False)
+    for k, (o, h) in last.items():
+        taken |= (F.col("_y") == k) & ((F.col("o") < o) | ((F.col("o") == o) & (F.xxhash64("t") <= h)))
+    got = found.filter(taken).select("t", "_y", "o", F.xxhash64("t").alias("h")).limit(2 * rows_per_class).collect()
+    got.sort(key=lambda r: (r["o"], r["_y"], r["h"]))
+    texts, ys = [r["t"] for r in got], [r["_y"] for r in got]
+    weight = {k: counts[k] / max(1, ys.count(k)) for k in counts}
     mean = sum(weight[k] for k in ys) / max(1, len(ys))
     return texts, ys, [weight[k] / mean for k in ys]

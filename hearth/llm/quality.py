@@ -10,15 +10,16 @@ lengths and shares; a two-layer numpy network gives the probability, and a
 temperature fitted on rows kept out of training calibrates it.
 
 Fitting uses a bounded sample: at most ``ROWS_PER_CLASS`` labelled rows of
-each class and ``CHARS`` characters of each. Only the model is sent to the
-tasks: ``VOCABULARY`` types at most. Scoring reads every whole text in one
-pass without a shuffle.
+each class, as many as have ``CHARS_PER_CLASS`` characters together; their
+texts are whole. Only the model is sent to the tasks: ``VOCABULARY`` types at
+most. Scoring reads every whole text in one pass without a shuffle.
 
 Result: ``doc_id, score, predicted``. Cases: null and empty texts are scored
 as a document without tokens; without labelled rows every score is 0.5, with
 rows of one class that class; labels other than 0 and 1 are ignored; repeated
 rows are scored alike; an empty table gives an empty result; other columns are
-ignored, whatever their names.
+ignored, whatever their names; a very long text is scored group by group
+within its task; equal counts of types go by their hash.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from hearth.llm.staging import table, text_of
 
 DIM, NONZERO, REACH = 64, 6, 2
 VOCABULARY, MIN_COUNT = 30_000, 3
-ROWS_PER_CLASS, CHARS = 3000, 6000
+ROWS_PER_CLASS, CHARS_PER_CLASS = 3000, 12_000_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
 CUT = 0.7
 
@@ -197,7 +198,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, label_col: str = "quality") -> Model:
-    return Model(*labelled_sample(docs, labels, label_col, usable, ROWS_PER_CLASS, CHARS))
+    return Model(*labelled_sample(docs, labels, label_col, usable, ROWS_PER_CLASS, CHARS_PER_CLASS))
 
 
 def score_texts(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

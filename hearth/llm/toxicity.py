@@ -11,8 +11,8 @@ an L1 penalty picks among the others. The worst sentence of each document is
 reported with its place.
 
 Fitting uses a bounded sample: at most ``ROWS_PER_CLASS`` labelled rows of
-each class and ``CHARS`` characters of each, weighted back to the labels'
-shares. Only the weights (``FEATURES`` numbers) are sent to the tasks. Scoring
+each class, as many as have ``CHARS_PER_CLASS`` characters together, whole
+texts, weighted back to the labels' shares. Only the weights (``FEATURES`` numbers) are sent to the tasks. Scoring
 reads every whole text in one pass without a shuffle.
 
 Result: ``doc_id, score, worst_score, worst_start, worst_end`` (code points).
@@ -20,7 +20,8 @@ Cases: null and empty texts have no sentence and score 0, as has every text
 when no labelled rows exist; with rows of one class that class is scored for
 texts with a sentence; labels other than 0 and 1 are ignored; the first of
 equally bad sentences is reported; repeated rows are scored alike; an empty
-table gives an empty result; other columns are ignored, whatever their names.
+table gives an empty result; a very long text is one group's arrays in its
+task; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from hearth.llm.language_id import held_out_by
 from hearth.llm.staging import table, text_of
 
 FEATURES = 1 << 17
-ROWS_PER_CLASS, CHARS = 4000, 6000
+ROWS_PER_CLASS, CHARS_PER_CLASS = 4000, 12_000_000
 LONGEST = 40
 EPOCHS, REFIT, RATE, SHRINK, DECAY, LIFT = 150, 100, 0.1, 3e-4, 1e-5, 1.5
 CUT = 0.7
@@ -175,7 +176,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, label_col: str = "toxic") -> Model:
-    return Model(*labelled_sample(docs, labels, label_col, usable, ROWS_PER_CLASS, CHARS))
+    return Model(*labelled_sample(docs, labels, label_col, usable, ROWS_PER_CLASS, CHARS_PER_CLASS))
 
 
 def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
