@@ -73,3 +73,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path under the shared checkpoint folder for a written intermediate."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def library_on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this library from where the driver has it,
+    for sessions that were started elsewhere and did not ship it."""
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if home not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([*filter(None, paths), home])

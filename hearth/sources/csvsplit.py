@@ -29,10 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_PLACE = "file string, start long"
+from hearth.session import library_on_workers
+
 
 
 def _lines(spark: SparkSession, path: str, glob: str | None) -> DataFrame:
+    library_on_workers(spark)
     r = spark.read.option("lineSep", "\n")
     if glob:
         r = r.option("pathGlobFilter", glob)
@@ -139,7 +141,7 @@ def records(spark: SparkSession, path: str, glob: str | None, inside: set) -> Da
             close(_HEAD if kind == _HEAD else _TAIL)
         yield flush()
 
-    parts = _lines(spark, path, glob).mapInArrow(run, f"{_PLACE}, pos long, record string, piece int")
+    parts = _lines(spark, path, glob).mapInArrow(run, "file string, start long, pos long, record string, piece int")
     if not inside:
         return parts.select("file", "start", "pos", "record")
     # A tail begins a record; the heads after it, up to the next tail, go on with it.
