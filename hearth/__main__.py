@@ -35,6 +35,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--data", required=True)
     p.add_argument("--out", required=True)
     p.add_argument("--as-of")
+    p.add_argument("--buckets", type=int, help="also write the tables of property_id co-located")
+    p.add_argument("--sketches", help="append sketches of this load's sales to that table")
     p = sub.add_parser("report")
     p.add_argument("name", choices=sorted(REPORTS))
     p.add_argument("--star", required=True)
@@ -48,10 +50,11 @@ def main(argv: list[str] | None = None) -> None:
     from hearth.sources.files import read_star
     if a.cmd == "load":
         from hearth.plans.load import run_from_files
-        print(run_from_files(spark, a.data, a.out, a.as_of))
+        print(run_from_files(spark, a.data, a.out, a.as_of, buckets=a.buckets, sketches=a.sketches))
     elif a.cmd == "report":
         from hearth.plans import reports as R
-        star = read_star(spark, current_run(spark, a.star))
+        from hearth.plans.colocate import run_star
+        star = run_star(spark, current_run(spark, a.star))
         kind, fn_name = REPORTS[a.name]
         fn = getattr(R, fn_name)
         arg = star.neighborhood_quality_score if kind == "score" else star

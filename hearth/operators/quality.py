@@ -99,33 +99,43 @@ def _counts_one_pass(df: DataFrame, table: str,
             .select(F.lit(table).alias("table_name"), "check_name", "column_name", "violations"))
 
 
-def _key_counts(df: DataFrame, table: str, key: list[str], check: str,
-                with_nulls: bool) -> DataFrame:
-    """Duplicate key values (and rows with a NULL key part) from one groupBy."""
-    any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
-    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    checks = [(check, ",".join(key), ~any_null & (F.col("_n") > 1))]
-    aggs = [F.count_if(checks[0][2]).cast("long").alias("dup")]
-    if with_nulls:
-        aggs.append(F.coalesce(F.sum(F.when(any_null, F.col("_n"))), F.lit(0))
-                    .cast("long").alias("nul"))
-    out = per_key.agg(*aggs)
-    cols = ",".join(key)
-    stack = f"'{check}', '{cols}', dup" + (f", 'null_key', '{cols}', nul" if with_nulls else "")
-    n = 2 if with_nulls else 1
-    return (out.selectExpr(f"stack({n}, {stack}) as (check_name, column_name, violations)")
+def key_report(df: DataFrame, table: str, keys: list[tuple[str, list[str], bool]]) -> DataFrame:
+    """Duplicate values of several keys of a table, ``(check, key, with_nulls)``,
+    and with ``with_nulls`` the rows with a NULL key part.
+
+    One scan and one shuffle for all keys: a row is expanded into one row per
+    key (grouping sets), and the expanded rows are counted in the map tasks
+    first, so a key value that a third of the rows hold is a row per task.
+    """
+    cols = list(dict.fromkeys(c for _, key, _ in keys for c in key))
+    sets = list(dict.fromkeys(tuple(key) for _, key, _ in keys))
+    rows = df.select(*cols)
+    counted = F.count(F.lit(1)).alias("_n")
+    per_key = (rows.groupBy(*cols).agg(counted, F.lit(0).cast("long").alias("_set")) if len(sets) == 1 else
+               rows.groupingSets([[F.col(c) for c in key] for key in sets], *cols)
+               .agg(counted, F.grouping_id().cast("long").alias("_set")))
+    aggs, said = [], []
+    for check, key, with_nulls in keys:
+        mine = F.col("_set") == (0 if len(sets) == 1 else
+                                 sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in key))
+        any_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+        aggs.append(F.count_if(mine & ~any_null & (F.col("_n") > 1)))
+        said.append((check, ",".join(key)))
+        if with_nulls:
+            aggs.append(F.coalesce(F.sum(F.when(mine & any_null, F.col("_n"))), F.lit(0)))
+            said.append(("null_key", ",".join(key)))
+    stack = ", ".join(f"'{check}', '{key}', c{i}" for i, (check, key) in enumerate(said))
+    return (per_key.agg(*[a.cast("long").alias(f"c{i}") for i, a in enumerate(aggs)])
+            .selectExpr(f"stack({len(said)}, {stack}) as (check_name, column_name, violations)")
             .select(F.lit(table).alias("table_name"), "check_name", "column_name", "violations"))
 
 
 def primary_key_report(star, tables: list[str]) -> DataFrame:
-    """Duplicate and NULL key values per table (PRIMARY KEY = unique + not null)."""
-    parts = []
-    for t in tables:
-        df = getattr(star, t)
-        parts.append(_key_counts(df, t, S.PRIMARY_KEYS[t], "duplicate_key", True))
-        for uk in S.UNIQUE_KEYS.get(t, []):
-            parts.append(_key_counts(df, t, uk, "duplicate_unique", False))
-    return _union(parts)
+    """Duplicate and NULL key values per table (PRIMARY KEY = unique + not null)
+    and duplicates of its other unique keys; each table is read once."""
+    return _union([key_report(getattr(star, t), t, [
+        ("duplicate_key", S.PRIMARY_KEYS[t], True),
+        *[("duplicate_unique", uk, False) for uk in S.UNIQUE_KEYS.get(t, [])]]) for t in tables])
 
 
 def not_null_report(star, tables: list[str]) -> DataFrame:

