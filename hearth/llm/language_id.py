@@ -14,8 +14,12 @@ all segments of a group of documents advance one letter per array operation,
 for all languages at once. Segments are ``SEGMENT`` letters; whole texts are
 parsed.
 
-Only the sample is broadcast: ``languages x chars_per_language`` characters,
-whatever the corpus. It is drawn over the whole table: a window of
+Each language's table has columns for the letters of its own sample, at most
+``MAX_LETTERS``, so the tables grow with the number of languages whatever their
+scripts. Only the sample is broadcast: at most ``CHARS_OF_ALL`` characters of
+the ``MAX_LANGUAGES`` languages with the most labelled rows (a column of free
+text would have any number), whatever the corpus. It is drawn over the whole
+table: a window of
 ``WINDOW`` characters from documents chosen by a hash of the id, from as many
 documents as needed. Each worker builds the tables from it once.
 
@@ -42,6 +46,8 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from hearth.llm.staging import table, text_of
 
 CHARS_PER_LANGUAGE = 30_000
+CHARS_OF_ALL = 1_200_000  # beyond 40 languages each has a smaller sample
+MAX_LANGUAGES = 200
 WINDOW = 250
 LEAST_SAMPLE = 250  # characters that a phrase is priced for at least
 MAX_LETTERS = 128  # of one language's sample, by frequency: bounds the tables
@@ -56,16 +62,20 @@ def held_out_by(id_col: str, modulus: int, rest: int) -> Column:
 
 
 def sample_text(df: DataFrame, id_col: str, text_col: str, lang_col: str,
-                chars_per_language: int = CHARS_PER_LANGUAGE) -> dict[str, list[str]]:
-    """Windows of labelled text per language, at most ``chars_per_language``
-    characters of each."""
+                chars_per_language: int = CHARS_PER_LANGUAGE,
+                max_languages: int = MAX_LANGUAGES) -> dict[str, list[str]]:
+    """Windows of labelled text of the ``max_languages`` most frequent languages
+    (ties in alphabetical order), at most ``chars_per_language`` characters of
+    each and ``CHARS_OF_ALL`` together."""
     lang = F.col(lang_col).cast("string")
     rows = df.filter(lang.isNotNull() & F.col(text_col).isNotNull()).select(
         lang.alias("lang"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
+    counts = {r["lang"]: r["n"] for r in per.limit(max_languages).collect()}
     if not counts:
         return {}
-    want = chars_per_language // WINDOW
+    chars_per_language = min(chars_per_language, CHARS_OF_ALL // len(counts))
+    want = max(1, chars_per_language // WINDOW)
     # Twice the wanted share, as hashes vary and short texts fill less.
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3.0 * want / n))])
     h = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20))
@@ -128,27 +138,33 @@ class CrossParser:
             letters.append([str(c) for c in seen[np.argsort(-n, kind="stable")][:max_letters]])
         alphabet = sorted({c for cs in letters for c in cs if c.isalpha()})
         # Column 0 pads, 1 is any letter outside the samples, 2 the blank.
-        column = {" ": 2} | {c: i + 3 for i, c in enumerate(alphabet)}
+        letter = {" ": 2} | {c: i + 3 for i, c in enumerate(alphabet)}
         self.columns = np.ones(0x110000, np.int32)
-        for c, i in column.items():
+        for c, i in letter.items():
             self.columns[ord(c)] = i
-        self.width = len(alphabet) + 3
+        # A language's table has columns for its own letters only: ``own`` says
+        # which column a letter of any language has in each (1 if none). A state
+        # is the place of its row in the joined tables.
+        self.own = np.ones((len(self.langs), len(alphabet) + 3), np.int32)
         tables, self.roots, at = [], [], 0
-        for t, own in zip(texts, letters, strict=True):
-            keep = set(own)
-            auto = suffix_automaton("".join(c if c in keep or c == " " else "\x00" for c in t))
-            step = np.full((len(auto), self.width), -1, np.int32)
+        for t, mine, to_own in zip(texts, letters, self.own, strict=True):
+            column = {" ": 2} | {c: i + 3 for i, c in enumerate(c for c in mine if c.isalpha())}
+            to_own[[letter[c] for c in column]] = list(column.values())
+            width = len(column) + 2
+            auto = suffix_automaton("".join(c if c in column else "\x00" for c in t))
+            step = np.full((len(auto), width), -1, np.int64)
             for s, edges in enumerate(auto):
                 for c, to in edges.items():
                     if c in column:
                         step[s, column[c]] = to
-            again = np.where(step[0] >= 0, step[0], 0) + (1 << 30)
-            step = np.where(step >= 0, step + at, again + at)
-            step[:, 0] = at
-            tables.append(step.astype(np.int32))
+            again = np.where(step[0] >= 0, step[0], 0) * width + at + (1 << 30)
+            step = np.where(step >= 0, step * width + at, again)
+            tables.append(step.astype(np.int32).ravel())
             self.roots.append(at)
-            at += len(auto)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            at += step.size
+            if at >= 1 << 30:
+                raise ValueError("the samples are too large: fewer characters per language are needed")
+        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.bits = np.array([np.log2(max(LEAST_SAMPLE, len(t))) for t in texts])
         self.full = np.log2(max([CHARS_PER_LANGUAGE, *map(len, texts)]))
 
@@ -182,7 +198,7 @@ class CrossParser:
         longest = stop - begin
         for t in range(int(longest[0]) if len(longest) else 0):
             live = int(np.searchsorted(-longest, -t, side="left"))
-            step = self.table[state[:, :live] * self.width + col[begin[:live] + t]]
+            step = self.table[state[:, :live] + self.own[:, col[begin[:live] + t]]]
             count[:, :live] += step >> 30
             state[:, :live] = step & ((1 << 30) - 1)
         phrases = np.zeros((len(texts), len(self.langs)))

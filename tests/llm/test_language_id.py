@@ -70,6 +70,32 @@ def test_rejects_only_what_no_language_explains(spark, edge):
     assert set(keep_identified(edge, samples).columns) == set(edge.columns)
 
 
+def test_tables_grow_with_the_languages_not_their_scripts():
+    rng = random.Random(5)
+
+    def script(k):
+        letters = [chr(0x4E00 + 200 * k + i) for i in range(100)]
+        return ["".join(rng.choice(letters) for _ in range(5)) + " " for _ in range(400)]
+    sizes = [CrossParser({str(k): script(k) for k in range(n)}).table.nbytes for n in (2, 4, 8)]
+    assert sizes[1] < 2.2 * sizes[0] and sizes[2] < 2.2 * sizes[1]
+    # 20 scripts of 100 letters at full samples: states per character as here
+    assert sizes[2] / 8 / 2000 * 30_000 * 20 < 1 << 30
+    mixed = {"a": ["abc cab bac"], "g": ["αβγ γαβ"], "x": ["abγ βca"]}
+    p = CrossParser(mixed)
+    for text in ("abc", "αβγ", "abγ", "cab αβ zzz"):
+        bits, _ = p.costs([text + " "])
+        for k, row in zip(p.langs, bits[0] / p.bits, strict=True):
+            assert round(row) == phrases(text + " ", " ".join(mixed[k])), (text, k)
+
+
+def test_a_column_of_many_labels_is_bounded(spark):
+    rows = [(i, "some labelled text here", f"l{i:04d}" if i % 3 else "en") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sample_text(df, "doc_id", "text", "lang", max_languages=5)
+    assert list(got) == ["en", "l0001", "l0002", "l0004", "l0005"]
+    assert sum(len(w) for ws in sample_text(df, "doc_id", "text", "lang").values() for w in ws) <= 1_200_000
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.01"
     truth = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang")
