@@ -12,8 +12,9 @@ shorter item) with ``MIN_IDENTITY`` of them equal.
 
 An item of fewer than ``MIN_OVERLAP`` words is looked up by its first and last
 three words, which are equal in every run that covers the item: a differing one
-costs two equal ones. An item of fewer than ``MIN_ITEM`` words is no evidence
-and never matches.
+costs two equal ones. An item of up to six words so matches only as a whole; one
+of fewer than ``MIN_ITEM`` words is no evidence (one or two words that occur in
+any text) and never matches.
 
 Documents are never shuffled: each task keeps, for the places that may be hits,
 the words around them. Up to ``MAX_FILTER`` test hashes a sorted array of them
@@ -44,7 +45,7 @@ from hearth.llm.staging import stage, table, text_of
 
 # The masks.
 MASKS = ("1101001000111", "111010001011", "1010000110111", "111011000101", "100000111111")
-MIN_ITEM = 6
+MIN_ITEM = 3
 MIN_OVERLAP = 13
 MIN_IDENTITY = 0.8
 MAX_FILTER = 4_000_000

@@ -9,6 +9,7 @@ import numpy as np
 from hearth.llm.decontaminate import (
     MASKS,
     MIN_IDENTITY,
+    MIN_ITEM,
     MIN_OVERLAP,
     best_run,
     drop_contaminated,
@@ -29,7 +30,7 @@ def brute(docs, items):
         d = np.array(words(dt), dtype=object)
         for ii, it in items:
             t = np.array(words(it), dtype=object)
-            if len(t) < 6:
+            if len(t) < MIN_ITEM:
                 continue
             for shift in range(-len(t) + 1, len(d)):
                 a, b = max(0, shift), min(len(d), shift + len(t))
@@ -52,6 +53,18 @@ def test_best_run():
         assert sum(np.where(e[s:s + n], 1, -2)) == max(gains)[0]
 
 
+def test_short_items_match_as_a_whole(spark):
+    items = spark.createDataFrame([(3, "one two three"), (4, "alpha beta gamma delta"), (5, "what is the melting point"),
+                                   (6, "six words are in this item"), (2, "two words"), (1, "word")],
+                                  "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, "he asked: What is the melting point of it?"), (2, "what is a melting point"), (3, "zero one two three four"),
+        (4, "alpha beta gamma, delta"), (5, "six words are in this item"), (6, "six words are in that item"),
+        (7, "two words and one word")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.overlap) for r in find_overlaps(docs, items).collect())
+    assert got == [(1, 5, 5), (3, 3, 3), (4, 4, 4), (5, 6, 6)]
+
+
 def test_equals_brute_force_with_substitutions(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{D}/benchmark.parquet").collect()][:12]
     items += [(900, "only four words here"), (901, "seven words are in this short item"), (902, None), (903, "")]
