@@ -3,8 +3,8 @@
 A run is a stretch of consecutive lines (blank lines are passed over). A line
 is deleted when it lies in a run of at least ``MIN_WORDS`` words that occurs
 identically at an earlier place; places are ordered by document id, then line.
-So of every repeated passage of that size the first occurrence stays, and
-shorter lines that merely recur are left alone.
+So of every repeated passage of that size the first occurrence stays, a single
+line of ``MIN_WORDS`` words included; shorter lines go only within such a run.
 
 Windows are the shortest stretches of ``MIN_WORDS`` words from each line on
 and up to each line. Every run of that size contains a whole window, so the
@@ -44,7 +44,7 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 from hearth.llm.staging import merged, stage, table, text_of
 
-MIN_WORDS = 20
+MIN_WORDS = 5
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 

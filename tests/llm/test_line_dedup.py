@@ -42,6 +42,16 @@ def test_equals_brute_force_on_random_lines(spark):
     assert got == brute(rows, 8)
 
 
+def test_no_line_of_five_words_is_left_twice(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(4)
+    out = drop_repeated_lines(df)
+    lines = [x.strip() for r in out.collect() for x in (r.text or "").split("\n")]
+    long = [x for x in lines if len(x.split()) >= MIN_WORDS]
+    assert len(long) == len(set(long))
+    before = {x.strip() for r in df.collect() for x in (r.text or "").split("\n") if x.strip()}
+    assert {x for x in lines if x} >= {x for x in before if len(x.split()) >= MIN_WORDS}  # none is lost
+
+
 def test_edges(edge, empty):
     out = drop_repeated_lines(edge)
     assert out.schema.simpleString() == edge.schema.simpleString() and out.count() == edge.count()
