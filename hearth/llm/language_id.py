@@ -152,18 +152,22 @@ class CrossParser:
             to_own[[letter[c] for c in column]] = list(column.values())
             width = len(column) + 2
             auto = suffix_automaton("".join(c if c in column else "\x00" for c in t))
-            step = np.full((len(auto), width), -1, np.int64)
+            if at + len(auto) * width >= 1 << 30:
+                raise ValueError("the samples are too large: fewer characters per language are needed")
+            step = np.full((len(auto), width), -1, np.int32)  # all places are below 2^30
             for s, edges in enumerate(auto):
                 for c, to in edges.items():
                     if c in column:
                         step[s, column[c]] = to
-            again = np.where(step[0] >= 0, step[0], 0) * width + at + (1 << 30)
-            step = np.where(step >= 0, step * width + at, again)
-            tables.append(step.astype(np.int32).ravel())
+            again = np.maximum(step[0], 0) * width + at + (1 << 30)
+            miss = step < 0
+            step *= width
+            step += at
+            np.copyto(step, again, where=miss)
+            del auto, miss
+            tables.append(step.ravel())
             self.roots.append(at)
             at += step.size
-            if at >= 1 << 30:
-                raise ValueError("the samples are too large: fewer characters per language are needed")
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.bits = np.array([np.log2(max(LEAST_SAMPLE, len(t))) for t in texts])
         self.full = np.log2(max([CHARS_PER_LANGUAGE, *map(len, texts)]))
