@@ -54,6 +54,7 @@ MAX_LETTERS = 128  # of one language's sample, by frequency: bounds the tables
 SEGMENT = 256
 TEMPER = 8.0
 MAX_BITS = 10.0  # texts of a learned language need about 3, of an unknown script about 14
+LONG_BITS, SLACK = 6.4, 360.0  # a text of n letters may need LONG_BITS + SLACK / n, at most MAX_BITS
 UNKNOWN = "und"
 
 
@@ -171,6 +172,7 @@ class CrossParser:
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
         self.bits = np.array([np.log2(max(LEAST_SAMPLE, len(t))) for t in texts])
         self.full = np.log2(max([CHARS_PER_LANGUAGE, *map(len, texts)]))
+        self.ample = np.array([len(t) >= CHARS_PER_LANGUAGE // 2 for t in texts])
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits per language for each text (phrases times log2 of the sample
@@ -210,12 +212,12 @@ class CrossParser:
             phrases[:, k] = np.bincount(owner[order], weights=count[k], minlength=len(texts))
         return phrases * self.bits, n
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score, and bits per letter in that language at the price
-        of a full sample, with two phrases free, as a short text is mostly its
-        two ends."""
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, bits per letter in that language at the price of a
+        full sample, with two phrases free, as a short text is mostly its two
+        ends, and the most bits that a text of that language may need."""
         if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), *np.zeros((3, len(texts)))
         bits, letters = self.costs(texts)
         best = bits.argmin(axis=1)
         odds = np.exp2(-np.clip((bits - bits.min(axis=1, keepdims=True)) / TEMPER, 0, 60))
@@ -223,7 +225,8 @@ class CrossParser:
         row = np.arange(len(texts))
         phrases = bits[row, best] / self.bits[best]
         per_letter = np.maximum(0, phrases - 2) * self.full / np.maximum(1, letters)
-        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score, per_letter
+        most = np.where(self.ample[best], np.minimum(MAX_BITS, LONG_BITS + SLACK / np.maximum(1, letters)), MAX_BITS)
+        return [self.langs[b] if n else UNKNOWN for b, n in zip(best, letters, strict=True)], score, per_letter, most
 
 
 _PARSERS: dict = {}
@@ -239,32 +242,33 @@ def _parser(samples: dict[str, list[str]]) -> CrossParser:
 
 
 def identify(df: DataFrame, samples: dict[str, list[str]], text_col: str = "text") -> DataFrame:
-    """``row, lang_pred, score, bits``: each row of ``df`` as a struct, with
-    its language, score and bits per letter."""
+    """``row, lang_pred, score, bits, most``: each row of ``df`` as a struct,
+    with its language, score, bits per letter and the most that it may need."""
     rows = df.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = (StructType([rows.schema["row"]]).add("lang_pred", StringType()).add("score", DoubleType())
-              .add("bits", DoubleType()))
+              .add("bits", DoubleType()).add("most", DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hearth.llm.textvec import groups
         parser = _parser(samples)
         for batch in batches:
             for first, group in groups(batch.column(1).to_pylist()):
-                langs, score, bits = parser.predict(group)
+                langs, score, bits, most = parser.predict(group)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, len(group)), pa.array(langs, pa.string()),
-                     pa.array(score, pa.float64()), pa.array(bits, pa.float64())],
-                    names=["row", "lang_pred", "score", "bits"])
+                     *[pa.array(x, pa.float64()) for x in (score, bits, most)]],
+                    names=["row", "lang_pred", "score", "bits", "most"])
 
     return rows.mapInArrow(run, schema)
 
 
-def keep_identified(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text",
-                    max_bits: float = MAX_BITS) -> DataFrame:
+def keep_identified(docs: DataFrame, samples: dict[str, list[str]], text_col: str = "text") -> DataFrame:
     """The rows, as they are, whose text some learned language explains: it has
-    letters and needs at most ``max_bits`` per letter."""
+    letters and needs at most ``MAX_BITS`` per letter, a long text less where
+    the language's sample is at least half full: text of another language in
+    the same script needs 7 and more, learned text hardly above 5."""
     return (identify(docs, samples, text_col)
-            .filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits") <= max_bits)).select("row.*"))
+            .filter((F.col("lang_pred") != UNKNOWN) & (F.col("bits") <= F.col("most"))).select("row.*"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,17 +2,20 @@
 
 A document is the weighted set of its five-word shingles (lower-case words;
 one shingle of all words where there are fewer): term frequency times inverse
-document frequency, rounded to steps of an eighth in the logarithm. Two
-documents are linked when their weighted Jaccard similarity is ``THRESHOLD``
-or more; classes are the connected components.
-
-1. Document frequencies over the whole corpus: each task counts the distinct
-   shingles of its documents in ``BUCKETS`` hash buckets, and the counts are
-   added up. The table has a fixed size and is sent to all tasks; a bucket's
-   count bounds the frequency of its shingles from above.
+document frequency. Two documents are linked when their weighted Jaccard
+similarity is ``THRESHOLD`` or more; classes are the connected components.
+
+1. Document frequencies over the whole corpus, exact: each task counts the
+   shingles of its documents and sends the sorted hashes on in slices of the
+   hash range, where the counts are added up. Shingles in at least two and in
+   1 / ``FREQUENT`` of all documents have a weight of their own (below 16,384
+   documents these are all that repeat); the rarer ones share that of the rarest
+   of these. So the table that goes to all tasks has at most ``FREQUENT`` entries
+   for each shingle of an average document, whatever the corpus.
 2. Improved consistent weighted sampling draws ``BANDS x ROWS`` samples per
    document; a pair of similarity s agrees in each with probability s. At 0.8
-   a pair misses every band with probability 3e-5.
+   a pair misses every band with probability 3e-5. For the sampling alone,
+   weights are rounded to steps of an eighth in the logarithm.
 3. Documents of equal word sequence are one class at once; only one of each
    goes on. In each bucket (band and its samples) every member is compared
    with one leader, which is linear in the bucket's size.
@@ -51,10 +54,12 @@ from hearth.llm.staging import is_empty, merged, stage, table, text_of
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
-BUCKETS = 1 << 16
+FREQUENT = 1 << 13  # shingles in at least this part of all documents have a weight of their own
+HELD = 1 << 20  # shingles that a task counts before it sends them on
+PART_BYTES = 16 << 20  # of text, for each task that adds up
 BLOCK_CHARS = 1 << 20
 SURE = 0.13  # three standard deviations of the share of equal samples
-STEP = 0.125  # weights are rounded to this in their logarithm
+STEP = 0.125  # sampled weights are rounded to this in their logarithm
 _DRAWS = 1 << 15
 
 
@@ -87,39 +92,86 @@ def shingles(texts: list[str], words: int = WORDS):
     return sequence, text[at], value[at], np.diff(np.append(at, len(text)))
 
 
-def bucket_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Documents per shingle bucket, and the number of documents."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hearth.llm.textvec import groups
-        total, n = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
-            for _, group in groups(batch.column(0).to_pylist()):
-                _, _, value, _ = shingles(group)
-                total += np.bincount((value & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-                n += len(group)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))],
-                                         names=["bucket", "n"])
+class Weights:
+    """TF-IDF weights: ``value`` are the hashes (ascending) and ``count`` the
+    document frequencies of the shingles in ``least`` and more of ``n``
+    documents; all others weigh as one in ``least - 1``."""
+
+    def __init__(self, value: np.ndarray, count: np.ndarray, n: int, least: int = 2):
+        self.value, self.own = value, np.log((n + 1) / (count + 1)) + 1
+        self.rare = np.log((n + 1) / least) + 1
+
+    def idf(self, value: np.ndarray) -> np.ndarray:
+        if not len(self.value):
+            return np.full(len(value), self.rare)
+        at = np.minimum(np.searchsorted(self.value, value), len(self.value) - 1)
+        return np.where(self.value[at] == value, self.own[at], self.rare)
 
-    rows = (docs.select("text").mapInArrow(run, "bucket long, n long")
-            .groupBy("bucket").agg(F.sum("n").alias("n")).collect())
-    out, n = np.zeros(BUCKETS, np.int64), 0
-    for r in rows:
-        if r["bucket"] < 0:
-            n = r["n"]
-        else:
-            out[r["bucket"]] = r["n"]
-    return out, n
+    def of(self, value: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return count * self.idf(value)
 
+    def levels(self, value: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The weights, as whole steps of ``STEP`` in their logarithm."""
+        return np.rint(np.log(self.of(value, count)) / STEP).astype(np.int64)
 
-def idf_of(counts: np.ndarray, n: int) -> np.ndarray:
-    return (np.log((n + 1) / (np.minimum(counts, n) + 1)) + 1).astype(np.float32)
 
+def document_frequencies(docs: DataFrame) -> Weights:
+    """Counts in how many rows of ``docs`` each shingle is, and returns the
+    weights. Tasks send sorted hashes with their counts as slices of the
+    hash range, of which each is added up in one piece."""
+    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = size["n"]
+    least = max(2, -(-n // FREQUENT))
+    parts = max((size["bytes"] or 0) // PART_BYTES,
+                int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slices = np.uint64(8 * parts)
 
-def _levels(value: np.ndarray, count: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """The weights, as whole steps of ``STEP`` in their logarithm."""
-    weight = count * idf[(value & np.uint64(BUCKETS - 1)).astype(np.int64)]
-    return np.rint(np.log(weight) / STEP).astype(np.int64)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hearth.llm.textvec import groups
+
+        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+            value = np.concatenate(held)
+            value.sort()
+            at = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            count = np.diff(np.append(at, len(value))).astype(np.int32)
+            value = value[at]
+            part = ((value >> np.uint64(32)) * slices >> np.uint64(32)).astype(np.int32)
+            head = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            ends = np.append(head, len(value)).astype(np.int32)
+            values, counts = (pa.Array.from_buffers(pa.binary(), len(head), [
+                None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]) for x in (value, count))
+            return pa.RecordBatch.from_arrays([pa.array(part[head]), values, counts],
+                                              names=["part", "shingles", "counts"])
+
+        held: list[np.ndarray] = []
+        for batch in batches:
+            for _, group in groups(batch.column(0).to_pylist()):
+                held.append(shingles(group)[2])
+                if sum(map(len, held)) >= HELD:
+                    yield counted(held)
+                    held = []
+        if sum(map(len, held)):
+            yield counted(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for batch in batches:
+            values.append(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64))
+            counts.append(np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int32))
+        value, count = np.concatenate(values), np.concatenate(counts).astype(np.int64)
+        order = np.argsort(value)
+        value, count = value[order], count[order]
+        at = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
+        count = np.add.reduceat(count, at) if len(at) else count
+        often = count >= least
+        yield pa.RecordBatch.from_arrays([pa.array(value[at][often].view(np.int64)), pa.array(count[often])],
+                                         names=["shingle", "n"])
+
+    rows = (docs.select("text").mapInArrow(cut, "part int, shingles binary, counts binary")
+            .repartition(parts, "part").mapInArrow(add, "shingle long, n long").toArrow())
+    value = rows.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(value)
+    return Weights(value[order], rows.column("n").to_numpy()[order], n, least)
 
 
 class Sampler:
@@ -168,7 +220,7 @@ class Sampler:
         return out
 
 
-def _signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFrame:
+def _signed(docs: DataFrame, weights: Weights, bands: int, rows: int) -> DataFrame:
     """Per row: its word-sequence hash ``s1, s2`` and its samples."""
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -178,7 +230,7 @@ def _signed(docs: DataFrame, idf: np.ndarray, bands: int, rows: int) -> DataFram
         for batch in batches:
             for first, group in groups(batch.column("text").to_pylist()):
                 seq, text, value, count = shingles(group)
-                sig = sampler.samples(text, value, _levels(value, count, idf), len(group))
+                sig = sampler.samples(text, value, weights.levels(value, count), len(group))
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c).slice(first, len(group)) for c in ("id", "t1", "t2")],
                      pa.array(seq[0].view(np.int64)), pa.array(seq[1].view(np.int64)),
@@ -205,11 +257,11 @@ def _agree(a: str, b: str, n: int) -> object:
     return F.aggregate(parts, F.lit(0), lambda x, y: x + y) / F.lit(float(n))
 
 
-def weighted_jaccard(xs: list[str], ys: list[str], idf: np.ndarray) -> np.ndarray:
+def weighted_jaccard(xs: list[str], ys: list[str], weights: Weights) -> np.ndarray:
     """The similarity of each pair of texts; 1 for two texts without words."""
     n = len(xs)
     _, text, value, count = shingles([*xs, *ys])
-    weight = np.exp(_levels(value, count, idf) * STEP)
+    weight = weights.of(value, count)
     pair = text % n
     order = np.lexsort((value, pair))
     pair, value, weight = pair[order], value[order], weight[order]
@@ -219,7 +271,7 @@ def weighted_jaccard(xs: list[str], ys: list[str], idf: np.ndarray) -> np.ndarra
     return np.where(total > 0, low / np.maximum(total - low, 1e-12), 1.0)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` whose texts reach the threshold."""
     left = stage(merged(pairs, texts.select(F.col("uid").alias("a"), F.col("text").alias("x")), "a"), "left")
     both = merged(left, texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
@@ -230,16 +282,16 @@ def _verify(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: floa
             xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             for first, group in groups([x + y for x, y in zip(xs, ys, strict=True)]):
                 last = first + len(group)
-                ok = weighted_jaccard(xs[first:last], ys[first:last], idf) >= threshold
+                ok = weighted_jaccard(xs[first:last], ys[first:last], weights) >= threshold
                 yield batch.select(["a", "b"]).slice(first, len(group)).filter(pa.array(ok))
 
     return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
 
 
-def similar(few: list[str], every: list[str], idf: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+def similar(few: list[str], every: list[str], weights: Weights, threshold: float) -> Iterator[np.ndarray]:
     """For each text of ``few``, the places in ``every`` that reach the threshold."""
     _, text, value, count = shingles([*few, *every])
-    weight = np.exp(_levels(value, count, idf) * STEP)
+    weight = weights.of(value, count)
     total = np.bincount(text, weights=weight, minlength=len(few) + len(every))
     first = np.searchsorted(text, np.arange(len(few) + 1))
     rest = np.arange(first[-1], len(text))
@@ -255,7 +307,7 @@ def similar(few: list[str], every: list[str], idf: np.ndarray, threshold: float)
         yield np.flatnonzero(low >= threshold * np.maximum(total[i] + total[len(few):] - low, 1e-12))
 
 
-def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """Links between classes that share a bucket: members outside the bucket's
     largest class against all others. One link per member and class is enough,
     as only the components count."""
@@ -287,7 +339,7 @@ def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, idf: np.ndar
             for i in range(batch.num_rows):
                 fu, fc, ft = parts(batch.column("few"), i)
                 eu, ec, et = parts(batch.column("every"), i)
-                for u, c, hit in zip(fu, fc, similar(ft, et, idf, threshold), strict=True):
+                for u, c, hit in zip(fu, fc, similar(ft, et, weights, threshold), strict=True):
                     hit = hit[ec[hit] != c]
                     for e in eu[hit[np.unique(ec[hit], return_index=True)[1]]]:
                         out.append((min(u, e), max(u, e)))
@@ -304,9 +356,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_of(text_col)
     docs = df.select(F.col(id_col).alias("id"), text.alias("text"),
                      F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
-    counts, n_docs = bucket_counts(docs)
-    idf = idf_of(counts, n_docs)
-    signed = stage(_signed(docs, idf, bands, rows).withColumn("uid", F.monotonically_increasing_id()), "signed")
+    weights = document_frequencies(docs)
+    signed = stage(_signed(docs, weights, bands, rows).withColumn("uid", F.monotonically_increasing_id()), "signed")
     firsts = stage(signed.groupBy("s1", "s2").agg(F.min("uid").alias("rep")), "firsts")
     named = stage(merged(signed.select("uid", "id", "t1", "t2", "s1", "s2"), firsts, ["s1", "s2"])
                   .select("uid", "id", "t1", "t2", "rep"), "named")
@@ -337,9 +388,9 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      F.col("id").eqNullSafe(F.col("wid")) & (F.col("t1") == F.col("w1"))
                      & (F.col("t2") == F.col("w2")))
     texts = stage(fetched.select("uid", "text").dropDuplicates(["uid"]), "texts")
-    links = _verify(pairs, texts, idf, threshold)
+    links = _verify(pairs, texts, weights, threshold)
     classes = components(links)
-    more = stage(_rest(members.select("key", "uid"), classes, texts, idf, threshold), "more")
+    more = stage(_rest(members.select("key", "uid"), classes, texts, weights, threshold), "more")
     if not is_empty(more):
         classes = components(links.union(more))
     return (named.join(stage(classes.select(F.col("uid").alias("rep"), "cls"), "classes"), "rep", "left")

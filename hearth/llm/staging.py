@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from hearth.session import scratch_path
 
+BATCH_ROWS = 1000
+
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
@@ -57,7 +59,11 @@ def is_empty(df: DataFrame) -> bool:
 
 def library_on_workers(spark: SparkSession) -> None:
     """Let Python workers import this library from where the driver has it,
-    for sessions that were started elsewhere and did not ship it."""
+    for sessions that were started elsewhere and did not ship it, and hand
+    them batches of at most ``BATCH_ROWS`` rows, as rows are whole texts."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
     home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if home not in paths:

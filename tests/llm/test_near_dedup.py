@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,10 +10,11 @@ from hearth.llm.components import components
 from hearth.llm.near_dedup import (
     THRESHOLD,
     Sampler,
-    bucket_counts,
+    Weights,
+    document_frequencies,
     drop_near_copies,
-    idf_of,
     near_dedup,
+    shingles,
     weighted_jaccard,
 )
 
@@ -42,6 +44,13 @@ def family(n, words, edits, seed):
     return out
 
 
+def exact(rows):
+    """Weights from the documents of each shingle, counted one by one."""
+    per = Counter(v for _, t in rows for v in shingles([t or ""])[2].tolist())
+    often = sorted(v for v, c in per.items() if c > 1)
+    return Weights(np.array(often, np.uint64), np.array([per[v] for v in often]), len(rows))
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
@@ -52,9 +61,7 @@ def corpus(spark):
 
 def test_classes_equal_brute_force(corpus):
     rows, df = corpus
-    counts, n = bucket_counts(df.fillna({"text": ""}))
-    assert n == len(rows)
-    idf = idf_of(counts, n)
+    idf = exact(rows)
     pairs = [(a, b) for a in range(len(rows)) for b in range(a)]
     links = []
     for k in range(0, len(pairs), 2000):
@@ -66,6 +73,25 @@ def test_classes_equal_brute_force(corpus):
     assert got == want
 
 
+def test_document_frequencies_are_exact(corpus, monkeypatch):
+    from hearth.llm import near_dedup as module
+    rows, df = corpus
+    want = exact(rows)
+    docs = df.fillna({"text": ""})
+    got = document_frequencies(docs)
+    assert (got.value == want.value).all() and np.allclose(got.own, want.own) and got.rare == want.rare
+    per = Counter(v for _, t in rows for v in shingles([t or ""])[2].tolist())
+    value = np.array(list(per), np.uint64)
+    true = np.log((len(rows) + 1) / (np.array(list(per.values())) + 1)) + 1
+    assert np.corrcoef(got.idf(value), true)[0, 1] > 0.999
+    monkeypatch.setattr(module, "FREQUENT", 40)  # a larger corpus: only those in 1 of 40 documents have their own
+    monkeypatch.setattr(module, "HELD", 1000)
+    few = document_frequencies(docs)
+    least = -(-len(rows) // 40)
+    assert set(few.value.tolist()) == {v for v, c in per.items() if c >= least} and len(few.value)
+    assert np.allclose(few.idf(value), np.log((len(rows) + 1) / (np.maximum(list(per.values()), least - 1) + 1)) + 1)
+
+
 def test_samples_agree_with_the_similarity():
     rng = np.random.default_rng(0)
     values = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
