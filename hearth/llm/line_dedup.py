@@ -20,6 +20,9 @@ both places: the winnowing guarantee, counted in words instead of lines.
    repeated run on both sides of the fingerprint, however far it goes.
 4. Each document takes its list of windows and drops their lines.
 
+``line_passages`` then takes the passages that begin or end inside lines from
+what is left, with matches extended word by word; the query applies both.
+
 A line that a third of the documents share is counted in the map tasks and is
 a skewed key in two joins of staged tables, which the adaptive join splits.
 
@@ -234,6 +237,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearth.llm.line_passages import drop_passages
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs).select("row.doc_id", "text", F.col("lines").alias("n_lines"),
-                                    F.col("removed").alias("n_removed"), F.col("cuts").alias("removed"))
+    lines = stage(dedup_lines(docs).select("row.doc_id", "text", F.col("lines").alias("n_lines"),
+                                           F.col("removed").alias("n_removed"), F.col("cuts").alias("removed")), "lines")
+    return drop_passages(lines).select("row.doc_id", "text", "row.n_lines", "row.n_removed", "row.removed",
+                                       "words_removed", "passages")
