@@ -125,11 +125,12 @@ def windows(lines: _Lines, min_words: int):
     ok = stop <= last
     start = np.searchsorted(total, total[1:] - min_words, side="right") - 1
     ok_back = (total[1:] >= min_words) & (start >= first)
-    pairs = np.unique(np.concatenate([
-        np.stack([here[ok], stop[ok]], axis=1), np.stack([start[ok_back], here[ok_back] + 1], axis=1)]), axis=0)
-    if not len(pairs):
+    key = np.concatenate([here[ok] * (n + 1) + stop[ok], start[ok_back] * (n + 1) + here[ok_back] + 1])
+    if not len(key):
         return (np.zeros(0, np.int64),) * 3
-    a, b = pairs[:, 0], pairs[:, 1]
+    key.sort()
+    key = key[np.append(True, key[1:] != key[:-1])]
+    a, b = key // (n + 1), key % (n + 1)
     return a, b, _lowest(lines.hash, a, b)
 
 

@@ -24,9 +24,8 @@ of pairs; a content that a third of the documents share is a skewed key in
 joins of staged tables. A match carries the two neighbouring sentences only
 from the scan to the join, where they become two numbers.
 
-Result: per input row its ``text`` without the passages, ``n_words``,
-``words_removed`` and the removed stretches of words (``passages``, ``from-to``,
-comma-joined). Cases: a null text stays null, an empty one empty; a very long
+Result: per input row its ``text`` without the passages, ``words_removed`` and
+the removed stretches of words (``passages``, ``from-to``, comma-joined). Cases: a null text stays null, an empty one empty; a very long
 text is one row's arrays in its task; rows that share id and text are one place
 and treated alike; rows without an id come first; a document all of whose words
 repeat becomes empty; an empty table gives an empty result; columns that are
@@ -47,7 +46,6 @@ from hearth.llm.line_dedup import _BASES, _rolling, windows
 from hearth.llm.staging import free, merged, stage, text_of
 
 MIN_WORDS = 13
-_ENDS = (33, 46, 63)  # ! . ?
 _MARKS = 1 << 20
 
 
@@ -63,11 +61,14 @@ class _Sentences:
         self.start, self.end = runs(solid, base)
         self.word = span_hashes(cps, self.start, self.end)
         self.of_text = np.searchsorted(self.start, base)  # first word of each text
-        stop = np.flatnonzero(~solid[1:] & np.isin(cps[:-1], _ENDS)) + 1 if len(cps) else np.zeros(0, np.int64)
-        cuts = np.concatenate([base[:-1], np.flatnonzero(cps == 10), stop])
         n = len(self.start)
-        first = np.unique(np.searchsorted(self.start, cuts))
-        first = first[first < n]
+        new = np.zeros(n + 1, bool)  # the words that begin a sentence
+        new[self.of_text] = True
+        new[np.searchsorted(self.start, np.flatnonzero(cps == 10))] = True
+        if n:
+            last = cps[self.end - 1]
+            new[1:] |= (last == 33) | (last == 46) | (last == 63)
+        first = np.flatnonzero(new[:n])
         self.first = np.append(first, n)
         self.words = np.diff(self.first)
         self.text = np.searchsorted(self.of_text, first, side="right") - 1
@@ -212,33 +213,31 @@ def without(text: str, hits: list[tuple[int, int]]) -> tuple[str, int, list[tupl
 def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_words: int = MIN_WORDS) -> DataFrame:
     """``row`` (the input row as a struct), its ``text`` without the repeated
-    passages, ``n_words``, ``words_removed`` and ``passages``."""
+    passages, ``words_removed`` and ``passages``."""
     found = stage(repeated_passages(df, id_col, text_col, min_words), "passages").select(
         F.col("id").alias("hid"), F.col("th").alias("hth"), "hits")
     docs = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"),
                      F.xxhash64(text_of(text_col)).alias("th"))
     rows = (merged(docs, found, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
             .select("row", F.col("row").getField(text_col).cast("string").alias("text"), "hits"))
-    schema = StructType([rows.schema["row"], rows.schema["text"]]).add("n_words", LongType()).add(
-        "words_removed", LongType()).add("passages", StringType())
+    schema = StructType([rows.schema["row"], rows.schema["text"]]).add("words_removed", LongType()).add(
+        "passages", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, count, removed, said = [], [], [], []
+            n, texts = batch.num_rows, batch.column("text")
             hits = batch.column("hits")
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                count.append(len(t.split()) if t else 0)
-                n, cuts = 0, []
-                if hits[i].is_valid:
-                    of = hits[i].values
-                    t, n, cuts = without(t, list(zip(of.field("start").to_pylist(), of.field("stop").to_pylist(),
-                                                     strict=True)))
-                texts.append(t)
-                removed.append(n)
-                said.append(",".join(f"{a}-{b}" for a, b in cuts))
+            removed, said = np.zeros(n, np.int64), [""] * n
+            found = np.flatnonzero(hits.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            if found:
+                texts = texts.to_pylist()
+            for i in found:
+                of = hits[i].values
+                texts[i], removed[i], cuts = without(texts[i], list(zip(
+                    of.field("start").to_pylist(), of.field("stop").to_pylist(), strict=True)))
+                said[i] = ",".join(f"{a}-{b}" for a, b in cuts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(texts, pa.string()), pa.array(count, pa.int64()),
-                 pa.array(removed, pa.int64()), pa.array(said, pa.string())],
-                names=["row", "text", "n_words", "words_removed", "passages"])
+                [batch.column("row"), texts if not found else pa.array(texts, pa.string()), pa.array(removed),
+                 pa.array(said, pa.string())], names=["row", "text", "words_removed", "passages"])
 
     return rows.mapInArrow(run, schema)
