@@ -183,15 +183,16 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_words: int = MIN_WORDS) -> DataFrame:
-    """``row`` (the input row as a struct), its ``text`` without the repeated
+    """``row`` (the other columns as a struct), the ``text`` without the repeated
     runs, ``lines``, ``removed`` and ``cuts`` (the removed stretches
     ``from-to``, comma-joined)."""
     found = stage(repeated_runs(df, id_col, text_col, min_words), "cuts").select(
         F.col("id").alias("cid"), F.col("th").alias("cth"), "cuts")
-    docs = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"),
-                     F.xxhash64(text_of(text_col)).alias("th"))
+    docs = df.select(F.struct(*[F.col(c) for c in df.columns if c != text_col]).alias("row"),
+                     F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"),
+                     F.col(text_col).cast("string").alias("text"))
     rows = (merged(docs, found, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
-            .select("row", F.col("row").getField(text_col).cast("string").alias("text"), "cuts"))
+            .select("row", "text", "cuts"))
     schema = StructType([rows.schema["row"], rows.schema["text"]]).add("lines", LongType()).add(
         "removed", LongType()).add("cuts", StringType())
 

@@ -212,14 +212,15 @@ def without(text: str, hits: list[tuple[int, int]]) -> tuple[str, int, list[tupl
 
 def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_words: int = MIN_WORDS) -> DataFrame:
-    """``row`` (the input row as a struct), its ``text`` without the repeated
+    """``row`` (the other columns as a struct), the ``text`` without the repeated
     passages, ``words_removed`` and ``passages``."""
     found = stage(repeated_passages(df, id_col, text_col, min_words), "passages").select(
         F.col("id").alias("hid"), F.col("th").alias("hth"), "hits")
-    docs = df.select(F.struct("*").alias("row"), F.col(id_col).alias("id"),
-                     F.xxhash64(text_of(text_col)).alias("th"))
+    docs = df.select(F.struct(*[F.col(c) for c in df.columns if c != text_col]).alias("row"),
+                     F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"),
+                     F.col(text_col).cast("string").alias("text"))
     rows = (merged(docs, found, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
-            .select("row", F.col("row").getField(text_col).cast("string").alias("text"), "hits"))
+            .select("row", "text", "hits"))
     schema = StructType([rows.schema["row"], rows.schema["text"]]).add("words_removed", LongType()).add(
         "passages", StringType())
 
