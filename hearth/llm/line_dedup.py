@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from hearth.llm.staging import merged, stage, table, text_of
+from hearth.llm.staging import hashed, merged, stage, table, text_of
 
 MIN_WORDS = 5
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
@@ -58,29 +58,22 @@ def lines_of(text: str) -> tuple[list[str], list[int]]:
 
 
 class _Lines:
-    """Hashes, word counts and positions of the lines of a group of texts."""
-
-    def __init__(self, texts: list[str]):
-        from hearth.llm.textvec import char_class, points, runs, span_hashes
-        base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        cps = points("".join(texts))
-        word = ~char_class(str.isspace)[cps]
-        w_start, _ = runs(word, base)
-        brk = np.flatnonzero(cps == 10)
-        start = np.union1d(base[:-1], brk + 1)
-        start = start[start < len(cps)] if len(cps) else start[:0]
-        end = np.append(start[1:], len(cps))
-        words = np.searchsorted(w_start, end) - np.searchsorted(w_start, start)
-        text = np.searchsorted(base, start, side="right") - 1
-        first = np.searchsorted(text, np.arange(len(texts)))
-        number = np.arange(len(start)) - first[text] if len(start) else np.zeros(0, np.int64)
-        full = words > 0
-        # A line's content runs from its first to its last character that is not white space.
-        solid = np.flatnonzero(word)
-        a = solid[np.searchsorted(solid, start[full])] if full.any() else np.zeros(0, np.int64)
-        b = solid[np.searchsorted(solid, end[full]) - 1] + 1 if full.any() else np.zeros(0, np.int64)
-        self.hash, self.words = span_hashes(cps, a, b), words[full]
-        self.text, self.number = text[full], number[full]
+    """Hashes, word counts and positions of the lines of a group of texts. The
+    counts are exact up to ``min_words``, which is all that windows ask."""
+
+    def __init__(self, texts: list[str], min_words: int):
+        from hearth.llm.textvec import text_hashes
+        body, words, text, number = [], [], [], []
+        for i, t in enumerate(texts):
+            for k, line in enumerate(t.split("\n")):
+                n = len(line.split(None, min_words))
+                if n:
+                    body.append(line.strip())
+                    words.append(n)
+                    text.append(i)
+                    number.append(k)
+        self.hash = text_hashes(body)
+        self.words, self.text, self.number = (np.array(x, np.int64) for x in (words, text, number))
 
 
 def _rolling(h: np.ndarray, start: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
@@ -141,7 +134,7 @@ def _fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
         from hearth.llm.textvec import groups
         for batch in batches:
             for first, group in groups(batch.column("text").to_pylist()):
-                lines = _Lines(group)
+                lines = _Lines(group, min_words)
                 a, b, low = windows(lines, min_words)
                 if not len(a):
                     continue
@@ -181,6 +174,21 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return later.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("cuts"))
 
 
+def filled(lists: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each list of ``(start, stop)`` that is not null or empty: where it
+    is, and its starts and stops."""
+    cut = lists.offsets.to_numpy()
+    start, stop = (lists.values.field(c).to_numpy() for c in ("start", "stop"))
+    for i in np.flatnonzero((cut[1:] > cut[:-1]) & lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
+        yield i, start[cut[i]:cut[i + 1]], stop[cut[i]:cut[i + 1]]
+
+
+def stretches(gone: np.ndarray) -> list[tuple[int, int]]:
+    """The runs of True, as (start, stop)."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).tolist()
+    return list(zip(edge[::2], edge[1::2], strict=True))
+
+
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 min_words: int = MIN_WORDS) -> DataFrame:
     """``row`` (the other columns as a struct), the ``text`` without the repeated
@@ -191,29 +199,26 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.struct(*[F.col(c) for c in df.columns if c != text_col]).alias("row"),
                      F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"),
                      F.col(text_col).cast("string").alias("text"))
-    rows = (merged(docs, found, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
+    rows = (hashed(docs, found, F.col("id").eqNullSafe(F.col("cid")) & (F.col("th") == F.col("cth")), "left")
             .select("row", "text", "cuts"))
     schema = StructType([rows.schema["row"], rows.schema["text"]]).add("lines", LongType()).add(
         "removed", LongType()).add("cuts", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, count, removed, said = [], [], [], []
-            cuts = batch.column("cuts")
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                lines = t.split("\n") if t else []
-                gone = np.zeros(len(lines), bool)
-                if cuts[i].is_valid:
-                    drop = np.zeros(len(lines) + 1, np.int64)
-                    np.add.at(drop, cuts[i].values.field("start").to_numpy(), 1)
-                    np.add.at(drop, cuts[i].values.field("stop").to_numpy(), -1)
-                    gone = np.cumsum(drop)[:-1] > 0
-                    t = "\n".join(x for x, g in zip(lines, gone, strict=True) if not g)
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                texts.append(t)
-                count.append(len(lines))
-                removed.append(int(gone.sum()))
-                said.append(",".join(f"{a}-{b}" for a, b in zip(edge[::2], edge[1::2], strict=True)))
+            texts = batch.column("text").to_pylist()
+            count, removed, said = [t.count("\n") + 1 if t else 0 for t in texts], [0] * len(texts), [""] * len(texts)
+            for i, starts, stops in filled(batch.column("cuts")):
+                lines = texts[i].split("\n")
+                drop = np.bincount(starts, minlength=len(lines) + 1) - np.bincount(stops, minlength=len(lines) + 1)
+                edges = stretches(np.cumsum(drop)[:-1] > 0)
+                kept, at = [], 0
+                for a, b in edges:
+                    kept += lines[at:a]
+                    removed[i] += b - a
+                    at = b
+                texts[i] = "\n".join(kept + lines[at:])
+                said[i] = ",".join(f"{a}-{b}" for a, b in edges)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), pa.array(texts, pa.string()), pa.array(count, pa.int64()),
                  pa.array(removed, pa.int64()), pa.array(said, pa.string())],

@@ -35,6 +35,7 @@ passed through keep their values.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,41 +43,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from hearth.llm.line_dedup import _BASES, _rolling, windows
-from hearth.llm.staging import free, merged, stage, text_of
+from hearth.llm.line_dedup import _BASES, _rolling, filled, stretches, windows
+from hearth.llm.staging import free, hashed, merged, stage, text_of
 
 MIN_WORDS = 13
 _MARKS = 1 << 20
+# What a text has where its words are not parted by one blank or line break each.
+_UNEVEN = ["  ", " \n", "\n ", *[chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]]
 
 
 class _Sentences:
-    """The words of a group of texts and their sentences, which are runs of
-    words: sentence ``i`` is ``first[i]:first[i + 1]``, in text ``text[i]``."""
+    """The sentences of a group of texts as runs of the group's words: sentence
+    ``i`` is ``first[i]:first[i + 1]``, in text ``text[i]``."""
 
     def __init__(self, texts: list[str]):
-        from hearth.llm.textvec import char_class, mix, points, runs, span_hashes
-        base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        cps = points("".join(texts))
-        solid = ~char_class(str.isspace)[cps]
-        self.start, self.end = runs(solid, base)
-        self.word = span_hashes(cps, self.start, self.end)
-        self.of_text = np.searchsorted(self.start, base)  # first word of each text
-        n = len(self.start)
-        new = np.zeros(n + 1, bool)  # the words that begin a sentence
-        new[self.of_text] = True
-        new[np.searchsorted(self.start, np.flatnonzero(cps == 10))] = True
-        if n:
-            last = cps[self.end - 1]
-            new[1:] |= (last == 33) | (last == 46) | (last == 63)
-        first = np.flatnonzero(new[:n])
-        self.first = np.append(first, n)
-        self.words = np.diff(self.first)
-        self.text = np.searchsorted(self.of_text, first, side="right") - 1
-        if n:
-            place = (np.arange(n) - np.repeat(first, self.words)).astype(np.uint64)
-            self.whole = mix(np.add.reduceat(mix(self.word + mix(place)), first) + self.words.astype(np.uint64))
-        else:
-            self.whole = np.zeros(0, np.uint64)
+        from hearth.llm.textvec import text_hashes
+        said, cut = [], [0]
+        for t in texts:
+            # Between words one blank, between sentences a line break.
+            t = t.strip(" ")
+            if any(x in t for x in _UNEVEN):
+                t = "\n".join([" ".join(line.split()) for line in t.split("\n")])
+            for mark in ".!?":
+                t = t.replace(mark + " ", mark + "\n")
+            said += filter(None, t.split("\n"))
+            cut.append(len(said))
+        self.words = np.array([x.count(" ") for x in said], np.int64) + 1
+        self.first = np.concatenate([[0], np.cumsum(self.words)])
+        self.text = np.repeat(np.arange(len(texts)), np.diff(cut))
+        self.of_text = self.first[cut]  # first word of each text
+        self.whole = text_hashes(said)
         # What windows() takes the smallest of: the longest sentence, then the smallest hash.
         short = np.uint64(0xFFFF) - np.minimum(self.words, 0xFFFF).astype(np.uint64)
         self.hash = short << np.uint64(48) | self.whole >> np.uint64(16)
@@ -120,7 +116,7 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hearth.llm.textvec import groups
+        from hearth.llm.textvec import groups, text_hashes
         for batch in batches:
             for first, group in groups(batch.column("text").to_pylist()):
                 s = _Sentences(group)
@@ -137,7 +133,8 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
                 before = np.where(lo > zero, s.first[np.maximum(a - 1, 0)], lo)
                 last = len(s.first) - 1
                 after = np.where(hi < s.of_text[text + 1], s.first[np.minimum(b + 1, last)], hi)
-                word = (s.word >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                word = text_hashes([w for t in group for w in t.split()])
+                word = (word >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 rows = pa.array(first + text)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").take(rows), batch.column("th").take(rows),
@@ -155,7 +152,10 @@ def _common(a: str, b: str) -> Column:
     n = F.least(F.size(a), F.size(b))
     same = F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y)
     at = F.array_position(same, False)
-    return F.when(at == 0, n).otherwise((at - 1).cast("int"))
+    # Nearly always all are equal or already the first ones differ.
+    return (F.when(F.col(a) == F.col(b), F.size(a)).when(n == 0, 0)
+            .when(F.get(F.col(a), F.lit(0)) != F.get(F.col(b), F.lit(0)), 0)
+            .when(at == 0, n).otherwise((at - 1).cast("int")))
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -188,26 +188,26 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return hits.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("hits"))
 
 
-def without(text: str, hits: list[tuple[int, int]]) -> tuple[str, int, list[tuple[int, int]]]:
-    """The text without the words of ``hits``, how many went, and where."""
+def without(text: str, start: np.ndarray, stop: np.ndarray) -> tuple[str, int, list[tuple[int, int]]]:
+    """The text without the words of the given stretches, how many went, and where."""
     lines = text.split("\n")
     words = [x.split() for x in lines]
     n = sum(map(len, words))
-    drop = np.zeros(n + 1, np.int64)
-    for a, b in hits:
-        drop[a] += 1
-        drop[b] -= 1
-    gone = np.cumsum(drop)[:-1] > 0
-    out, at = [], 0
+    gone = np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(stop, minlength=n + 1))[:-1] > 0
+    edges = stretches(gone)
+    out, at, k = [], 0, 0  # edges[k] is the first one that ends after the line's first word
     for line, ws in zip(lines, words, strict=True):
-        cut = gone[at:at + len(ws)]
-        at += len(ws)
-        if not cut.any():
+        end = at + len(ws)
+        while k < len(edges) and edges[k][1] <= at:
+            k += 1
+        if not ws or k == len(edges) or edges[k][0] >= end:
             out.append(line)
-        elif not cut.all():
-            out.append(" ".join(w for w, g in zip(ws, cut.tolist(), strict=True) if not g))
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))).tolist()
-    return "\n".join(out), int(gone.sum()), list(zip(edge[::2], edge[1::2], strict=True))
+        else:
+            kept = list(compress(ws, ~gone[at:end]))
+            if kept:
+                out.append(" ".join(kept))
+        at = end
+    return "\n".join(out), int(gone.sum()), edges
 
 
 def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -219,26 +219,20 @@ def drop_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = df.select(F.struct(*[F.col(c) for c in df.columns if c != text_col]).alias("row"),
                      F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"),
                      F.col(text_col).cast("string").alias("text"))
-    rows = (merged(docs, found, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
+    rows = (hashed(docs, found, F.col("id").eqNullSafe(F.col("hid")) & (F.col("th") == F.col("hth")), "left")
             .select("row", "text", "hits"))
     schema = StructType([rows.schema["row"], rows.schema["text"]]).add("words_removed", LongType()).add(
         "passages", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, texts = batch.num_rows, batch.column("text")
-            hits = batch.column("hits")
+            n, texts = batch.num_rows, batch.column("text").to_pylist()
             removed, said = np.zeros(n, np.int64), [""] * n
-            found = np.flatnonzero(hits.is_valid().to_numpy(zero_copy_only=False)).tolist()
-            if found:
-                texts = texts.to_pylist()
-            for i in found:
-                of = hits[i].values
-                texts[i], removed[i], cuts = without(texts[i], list(zip(
-                    of.field("start").to_pylist(), of.field("stop").to_pylist(), strict=True)))
+            for i, start, stop in filled(batch.column("hits")):
+                texts[i], removed[i], cuts = without(texts[i], start, stop)
                 said[i] = ",".join(f"{a}-{b}" for a, b in cuts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), texts if not found else pa.array(texts, pa.string()), pa.array(removed),
-                 pa.array(said, pa.string())], names=["row", "text", "words_removed", "passages"])
+                [batch.column("row"), pa.array(texts, pa.string()), pa.array(removed), pa.array(said, pa.string())],
+                names=["row", "text", "words_removed", "passages"])
 
     return rows.mapInArrow(run, schema)

@@ -53,6 +53,14 @@ def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFra
     return left.join(right.hint("merge"), on, how)
 
 
+def hashed(left: DataFrame, right: DataFrame, on, how: str = "left") -> DataFrame:
+    """A join of a table of whole texts with one that has a small row for each
+    of some keys: both are shuffled at every size, and a partition of the small
+    rows is held as a hash table, so the texts need no sort. A partition is the
+    less the more shuffle partitions there are."""
+    return left.join(right.hint("shuffle_hash"), on, how)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

@@ -75,6 +75,12 @@ def span_hashes(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
                                    + np.uint64(0x9E3779B97F4A7C15)), base) + lens.astype(np.uint64))
 
 
+def text_hashes(values: list[str]) -> np.ndarray:
+    """A 64-bit hash of each string, the same in every process."""
+    from pandas.util import hash_array
+    return hash_array(np.array(values, dtype=object), categorize=False) if values else np.zeros(0, np.uint64)
+
+
 def runs(mask: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True; ``cuts`` are positions where a new
     run begins in any case."""

@@ -61,3 +61,18 @@ def test_edges(edge, empty):
     spans = {r.doc_id: r.cuts for r in dedup_lines(edge).select("row.doc_id", "cuts").collect()}
     assert spans[9] == "0-1" and spans[8] == ""
     assert drop_repeated_lines(empty).count() == 0
+
+
+def test_the_texts_are_joined_without_a_sort(spark):
+    df = spark.createDataFrame([(i, f"one two three four five {i % 3}\nand a line {i}") for i in range(9)],
+                               "doc_id long, text string")
+    plan = dedup_lines(df)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("sorted", "")
+
+
+def test_lines_are_read_as_python_reads_them():
+    from hearth.llm.line_dedup import _Lines
+    lines = _Lines([" a  b\u00a0c\n\u3000\n\ta b\r", "", "x\na  b\u00a0c d e f g "], 5)
+    assert lines.text.tolist() == [0, 0, 2, 2] and lines.number.tolist() == [0, 2, 0, 1]
+    assert [min(n, 5) for n in lines.words.tolist()] == [3, 2, 1, 5]
+    assert len(set(lines.hash.tolist())) == 4 and lines.hash[0] == _Lines(["a  b\u00a0c"], 5).hash[0]

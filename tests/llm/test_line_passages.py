@@ -113,3 +113,26 @@ def test_edges(edge, empty):
     assert by[8][0].words_removed == 0 and by[9][0].text == ""
     assert sorted(r.words_removed for r in by[None]) == [0, 0] and by[1][0].text == "" and by[11][0].text == ""
     assert drop_passages(empty).count() == 0
+
+
+def test_sentences_are_the_same_whatever_parts_their_words():
+    from hearth.llm.line_passages import _Sentences
+    even = _Sentences(["One two. Three!\nfour . Five? 3.5 six", "", "Three!"])
+    assert even.words.tolist() == [2, 1, 2, 1, 2, 1] and even.text.tolist() == [0, 0, 0, 0, 0, 2]
+    assert even.of_text.tolist() == [0, 8, 8, 9] and even.whole[1] == even.whole[5]
+    odd = _Sentences(["\n One\ttwo.\u00a0 Three! \n\n four\u3000. Five?\r3.5\x1csix ", " \n", "Three!"])
+    assert odd.whole.tolist() == even.whole.tolist() and odd.first.tolist() == even.first.tolist()
+
+
+def test_lines_without_words_stay_beside_what_goes():
+    import numpy as np
+
+    from hearth.llm.line_passages import without
+    assert without("a b\n\n c\nd", np.array([1, 1]), np.array([3, 2])) == ("a\n\nd", 2, [(1, 3)])
+
+
+def test_common_first_words(spark):
+    from hearth.llm.line_passages import _common
+    rows = [([], [], 0), ([1], [], 0), ([1, 2], [1, 2], 2), ([1, 2, 3], [1, 2], 2), ([1, 2, 3], [1, 4, 3], 1), ([2], [1], 0)]
+    df = spark.createDataFrame(rows, "a array<int>, b array<int>, n int")
+    assert [r.n for r in df.select("n", _common("a", "b").alias("m")).collect() if r.n != r.m] == []
