@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth import schemas as S
+from hearth.operators.partitioning import keep_valid
 
 SUMMARY_COLS = ["table_name", "check_name", "column_name", "violations"]
 
@@ -45,11 +46,12 @@ def too_long(df: DataFrame, limits: dict[str, int]) -> DataFrame:
 
 
 def decimal_overflow(df: DataFrame, specs: dict[str, tuple[int, int]]) -> DataFrame:
-    """V6: rows with a number that does not fit its NUMERIC(p, s)."""
+    """V6: rows with a number that does not fit its NUMERIC(p, s). Numbers that
+    ``df`` computes are computed once a row, not in each part of the test."""
     cond = reduce(lambda a, b: a | b,
                   [F.col(c).isNotNull() & F.col(c).try_cast(f"decimal({p},{s})").isNull()
                    for c, (p, s) in specs.items()])
-    return df.where(cond)
+    return keep_valid(df, cond)
 
 
 def apply_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:

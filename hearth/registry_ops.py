@@ -318,7 +318,7 @@ def dq_overflow(t: TestStar) -> DataFrame:
     typed = raw.select(C.clean_price("sale_price").alias("sale_price"),
                        (C.clean_price("sale_price") / F.nullif(C.clean_int("gross_square_feet"), F.lit(0)))
                        .alias("price_per_sqft"))
-    bad = [Q._count(Q.decimal_overflow(typed, {c: spec}), "city_sales", "numeric({},{})".format(*spec), c)
+    bad = [Q._count(Q.decimal_overflow(typed.select(c), {c: spec}), "city_sales", "numeric({},{})".format(*spec), c)
            for c, spec in (("sale_price", (15, 2)), ("price_per_sqft", (10, 2)))]
     clean = I.clean_city_sales(raw)
     nulls = Q._count(clean.where(F.col("price_per_sqft").isNull() & (F.col("gross_sqft") == 1)),

@@ -40,6 +40,16 @@ def test_decimal_overflow(spark):
     assert [r["id"] for r in Q.decimal_overflow(df, {"x": (4, 2)}).collect()] == [2]
 
 
+def test_decimal_overflow_computes_a_value_once(spark):
+    from hearth.functions import clean as C
+    raw = spark.createDataFrame([(1, "$1,234"), (2, "1e20"), (3, None), (4, "x")], "id int, price string")
+    typed = raw.select("id", C.clean_price("price").alias("price"), F.col("id").cast("double").alias("n"))
+    out = Q.decimal_overflow(typed, {"price": (15, 2), "n": (2, 1)})
+    assert out.columns == typed.columns and [tuple(r) for r in out.collect()] == [(2, 1e20, 2.0)]
+    parsed = [df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") for df in (typed, out)]
+    assert parsed[0] == parsed[1]
+
+
 def test_defaults(spark):
     df = spark.createDataFrame([("T1", None), ("T2", "NY")], "town_name string, state string")
     got = sorted(map(tuple, Q.apply_defaults(df, {"state": "CT"}).collect()))
