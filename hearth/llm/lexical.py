@@ -24,6 +24,9 @@ a range is a document and the bound its exact score.
 4. Each block is searched for all queries and gives its best ``TOP``; a window
    over at most ``TOP`` rows per block and query ranks them.
 
+A block is several MB, so wherever blocks are written, read and handed to a
+worker it is one at a time (``BLOCKS_AT_A_TIME``), however many a task has.
+
 Queries are dealt into chunks of ``CHUNK_CHARS`` characters; the terms of one
 chunk are what the driver holds and sends out at a time. A very common term
 costs one row path, and a term's occurrences are never gathered.
@@ -40,6 +43,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +59,7 @@ SLOPE = 90  # of 100: how much of a document's m follows its length
 BLOCK_CELLS = 1 << 19
 CHUNK_CHARS = 16_000_000
 BATCH = 256  # ranges opened at a time
+BLOCKS_AT_A_TIME = 1  # in a row group of the written index and in a batch for a worker
 
 # Of a quadrant's shape (a bit per child): whether child q is there, and how
 # many children come before it.
@@ -278,7 +283,19 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     made = docs.mapInArrow(run, f"ids array<{kind}>, terms array<long>, row array<int>, df array<int>, "
                                 "values array<long>, sizes array<long>, treap binary")
-    return stage(made, "treaps"), n_docs
+    return stage(made, "treaps", {"parquet.block.row.count.limit": str(BLOCKS_AT_A_TIME)}), n_docs
+
+
+@contextmanager
+def _few_blocks(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hand their workers ``BLOCKS_AT_A_TIME`` rows at a time."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, BLOCKS_AT_A_TIME)
+    try:
+        yield
+    finally:
+        spark.conf.set(rows, before)
 
 
 def _query_terms(items: DataFrame) -> list[tuple]:
@@ -353,13 +370,15 @@ def ranked_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     queries = stage(items.select(F.col(item_id).alias("item_id"), text_of(item_text).alias("text"))
                     .withColumn("qid", F.monotonically_increasing_id()), "queries")
     chunks = -(-(queries.agg(F.sum(F.length("text"))).first()[0] or 0) // chunk_chars)
-    found = None
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    ranked = None
     for c in range(max(1, chunks)):
         mine = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(max(1, chunks))) == c)
-        part = _search(index, n_docs, _query_terms(mine), top)
-        found = part if found is None else found.union(part)
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+        terms = _query_terms(mine)
+        with _few_blocks(index.sparkSession):
+            part = stage(_search(index, n_docs, terms, top).withColumn("rank", F.row_number().over(order))
+                         .filter(F.col("rank") <= top), "ranked")
+        ranked = part if ranked is None else ranked.union(part)
     return ranked.join(queries.select("qid", "item_id"), "qid").select("item_id", "rank", "doc_id", "score")
 
 

@@ -13,8 +13,9 @@ from hearth.session import scratch_path
 BATCH_ROWS = 1000
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back.
+def stage(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under ``spark.checkpoint.dir`` and read it back;
+    ``options`` are the writer's.
 
     Later steps reuse the rows instead of deriving them again, the lineage is
     cut, and a lost executor costs a re-read only. The folder must outlive
@@ -22,7 +23,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     clean-up of that folder; ``unstage`` removes it earlier.
     """
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
+    df.write.options(**(options or {})).mode("overwrite").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out

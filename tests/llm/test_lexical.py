@@ -100,3 +100,32 @@ def test_empty(spark, empty):
     d = spark.createDataFrame([(1, "the cat")], "doc_id long, text string")
     assert ranked_search(d, q.limit(0)).collect() == []
     assert build_index(d)[1] == 1
+
+
+def test_blocks_are_handled_one_at_a_time(spark, monkeypatch):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from hearth.llm import lexical as module
+    docs, items = corpus(7, 150)
+    d = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    q = spark.createDataFrame(items, "item_id long, text string")
+    seen, rows = {}, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def kept(df, name, *args):
+        seen[name] = (spark.conf.get(rows), stage(df, name, *args))
+        return seen[name][1]
+
+    stage, before = module.stage, spark.conf.get(rows)
+    monkeypatch.setattr(module, "stage", kept)
+    try:
+        spark.conf.set(rows, 5)  # a block ends with a batch at the earliest
+        assert run(d, q, block_cells=1) == brute(docs, items)
+        assert spark.conf.get(rows) == "5"
+    finally:
+        spark.conf.set(rows, before)
+    groups = [pq.ParquetFile(f).metadata for f in glob.glob(f"{seen['treaps'][1]._staged_path}/*.parquet")]
+    assert sum(m.num_rows for m in groups) > 20
+    assert {m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)} == {1}
+    assert seen["ranked"][0] == "1"
