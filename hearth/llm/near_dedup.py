@@ -5,13 +5,14 @@ one shingle of all words where there are fewer): term frequency times inverse
 document frequency. Two documents are linked when their weighted Jaccard
 similarity is ``THRESHOLD`` or more; classes are the connected components.
 
-1. Document frequencies over the whole corpus, exact: each task counts the
-   shingles of its documents and sends the sorted hashes on in slices of the
-   hash range, where the counts are added up. Shingles in at least two and in
-   1 / ``FREQUENT`` of all documents have a weight of their own (below 16,384
-   documents these are all that repeat); the rarer ones share that of the rarest
-   of these. So the table that goes to all tasks has at most ``FREQUENT`` entries
-   for each shingle of an average document, whatever the corpus.
+1. Document frequencies over the whole corpus, exact for every shingle: each
+   task counts the shingles of a piece of its documents and sends the sorted
+   hashes on in slices of the hash range, where the counts are added up. Those in
+   at least two and in 1 / ``FREQUENT`` of all documents go to all tasks as a
+   table, which has at most ``FREQUENT`` entries for each shingle of an average
+   document, whatever the corpus. The frequencies of the rarer ones go back slice
+   by slice to the piece they came from, in the order in which they were sent, and
+   from there with each document as far as it goes.
 2. Improved consistent weighted sampling draws ``BANDS x ROWS`` samples per
    document; a pair of similarity s agrees in each with probability s. At 0.8
    a pair misses every band with probability 3e-5. For the sampling alone,
@@ -49,15 +50,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearth.llm.components import components
-from hearth.llm.staging import is_empty, merged, stage, table, text_of
+from hearth.llm.staging import free, is_empty, merged, stage, table, text_of
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4
 FREQUENT = 1 << 13  # shingles in at least this part of all documents have a weight of their own
 HELD = 1 << 20  # shingles that a task counts before it sends them on
+CHUNK = 10  # bits: a piece lies within so many documents in a row
 PART_BYTES = 16 << 20  # of text, for each task that adds up
 BLOCK_CHARS = 1 << 20
+_TEXT = (1 << 31) - 1  # in the place of a slice: a document, after all slices
 SURE = 0.13  # three standard deviations of the share of equal samples
 STEP = 0.125  # sampled weights are rounded to this in their logarithm
 _DRAWS = 1 << 15
@@ -95,30 +98,55 @@ def shingles(texts: list[str], words: int = WORDS):
 class Weights:
     """TF-IDF weights: ``value`` are the hashes (ascending) and ``count`` the
     document frequencies of the shingles in ``least`` and more of ``n``
-    documents; all others weigh as one in ``least - 1``."""
+    documents. The frequencies of all others come with the shingles (``few``,
+    of the type ``kind``); without them they weigh as one in ``least - 1``.
+    ``back``: for the driver, the table of the frequencies that go back."""
 
-    def __init__(self, value: np.ndarray, count: np.ndarray, n: int, least: int = 2):
+    def __init__(self, value: np.ndarray, count: np.ndarray, n: int, least: int = 2,
+                 back: DataFrame | None = None, parts: int = 1):
         self.value, self.own = value, np.log((n + 1) / (count + 1)) + 1
-        self.rare = np.log((n + 1) / least) + 1
+        self.n, self.rare = n, np.log((n + 1) / least) + 1
+        self.kind = np.dtype(np.uint16 if least <= 1 << 16 else np.uint32)
+        self.back, self.parts = back, parts
 
-    def idf(self, value: np.ndarray) -> np.ndarray:
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "back": None}
+
+    def idf(self, value: np.ndarray, few: np.ndarray | None = None) -> np.ndarray:
+        rare = np.full(len(value), self.rare) if few is None else np.log((self.n + 1) / (few + 1.0)) + 1
         if not len(self.value):
-            return np.full(len(value), self.rare)
+            return rare
         at = np.minimum(np.searchsorted(self.value, value), len(self.value) - 1)
-        return np.where(self.value[at] == value, self.own[at], self.rare)
+        return np.where(self.value[at] == value, self.own[at], rare)
 
-    def of(self, value: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return count * self.idf(value)
+    def of(self, value: np.ndarray, count: np.ndarray, few: np.ndarray | None = None) -> np.ndarray:
+        return count * self.idf(value, few)
 
-    def levels(self, value: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def levels(self, value: np.ndarray, count: np.ndarray, few: np.ndarray | None = None) -> np.ndarray:
         """The weights, as whole steps of ``STEP`` in their logarithm."""
-        return np.rint(np.log(self.of(value, count)) / STEP).astype(np.int64)
+        return np.rint(np.log(self.of(value, count, few)) / STEP).astype(np.int64)
+
+    def few_of(self, blobs: list[bytes] | None) -> np.ndarray | None:
+        """The frequencies that came with a group of texts, in the order of its shingles."""
+        return None if blobs is None else np.frombuffer(b"".join(blobs), self.kind)
+
+
+def _blobs(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """An array cut into binary values of ``sizes`` elements."""
+    ends = (np.append(0, np.cumsum(sizes)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [
+        None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 def document_frequencies(docs: DataFrame) -> Weights:
     """Counts in how many rows of ``docs`` each shingle is, and returns the
     weights. Tasks send sorted hashes with their counts as slices of the
-    hash range, of which each is added up in one piece."""
+    hash range, of which each is added up in one piece. Rows that come in the
+    order of ``uid`` without a gap, up to ``HELD`` shingles, are a piece; it goes
+    by its first ``uid``, under which its frequencies go back: 0 for those in
+    the table of the frequent ones."""
+    if "uid" not in docs.columns:
+        docs = docs.withColumn("uid", F.monotonically_increasing_id())
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n = size["n"]
     least = max(2, -(-n // FREQUENT))
@@ -126,10 +154,12 @@ def document_frequencies(docs: DataFrame) -> Weights:
                 int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     slices = np.uint64(8 * parts)
 
+    kind = Weights(np.zeros(0), np.zeros(0), n, least).kind
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hearth.llm.textvec import groups
 
-        def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        def counted(piece: int, held: list[np.ndarray]) -> pa.RecordBatch:
             value = np.concatenate(held)
             value.sort()
             at = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
@@ -137,41 +167,69 @@ def document_frequencies(docs: DataFrame) -> Weights:
             value = value[at]
             part = ((value >> np.uint64(32)) * slices >> np.uint64(32)).astype(np.int32)
             head = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            ends = np.append(head, len(value)).astype(np.int32)
-            values, counts = (pa.Array.from_buffers(pa.binary(), len(head), [
-                None, pa.py_buffer(ends * x.itemsize), pa.py_buffer(x)]) for x in (value, count))
-            return pa.RecordBatch.from_arrays([pa.array(part[head]), values, counts],
-                                              names=["part", "shingles", "counts"])
+            size = np.diff(np.append(head, len(value)))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(head), piece, np.int64)), pa.array(part[head]),
+                 _blobs(value, size), _blobs(count, size)], names=["piece", "part", "shingles", "counts"])
 
         held: list[np.ndarray] = []
+        piece, last, size = 0, -2, 0
         for batch in batches:
-            for _, group in groups(batch.column(0).to_pylist()):
-                held.append(shingles(group)[2])
-                if sum(map(len, held)) >= HELD:
-                    yield counted(held)
-                    held = []
-        if sum(map(len, held)):
-            yield counted(held)
+            uid, texts = batch.column("uid").to_numpy(), batch.column("text").to_pylist()
+            cuts = np.flatnonzero((uid[1:] != uid[:-1] + 1) | (uid[1:] >> CHUNK != uid[:-1] >> CHUNK)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(uid)], strict=True):
+                for first, group in groups(texts[a:b]):
+                    here = int(uid[a + first])
+                    if here != last + 1 or here >> CHUNK != last >> CHUNK or size >= HELD:
+                        if size:
+                            yield counted(piece, held)
+                        held, piece, size = [], here, 0
+                    held.append(shingles(group)[2])
+                    size += len(held[-1])
+                    last = here + len(group) - 1
+        if size:
+            yield counted(piece, held)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["piece", "part", "shingles", "n"]
+        pieces, parts_of, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         values, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
         for batch in batches:
-            values.append(np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64))
+            shingled = batch.column("shingles").to_pylist()
+            pieces.append(batch.column("piece").to_numpy())
+            parts_of.append(batch.column("part").to_numpy())
+            sizes.append(np.array([len(x) // 8 for x in shingled], np.int64))
+            values.append(np.frombuffer(b"".join(shingled), np.uint64))
             counts.append(np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.int32))
-        value, count = np.concatenate(values), np.concatenate(counts).astype(np.int64)
+        value, count, size = np.concatenate(values), np.concatenate(counts), np.concatenate(sizes)
+        if not len(value):
+            return
         order = np.argsort(value)
-        value, count = value[order], count[order]
-        at = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
-        count = np.add.reduceat(count, at) if len(at) else count
-        often = count >= least
-        yield pa.RecordBatch.from_arrays([pa.array(value[at][often].view(np.int64)), pa.array(count[often])],
-                                         names=["shingle", "n"])
-
-    rows = (docs.select("text").mapInArrow(cut, "part int, shingles binary, counts binary")
-            .repartition(parts, "part").mapInArrow(add, "shingle long, n long").toArrow())
-    value = rows.column("shingle").to_numpy().view(np.uint64)
+        value = value[order]
+        new = np.append(True, value[1:] != value[:-1])
+        at = np.flatnonzero(new)
+        total = np.add.reduceat(count[order].astype(np.int64), at)
+        often = total >= least
+        back = np.empty(len(value), kind)
+        back[order] = np.where(often, 0, total).astype(kind)[np.cumsum(new) - 1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(pieces)), pa.array(np.concatenate(parts_of)),
+             pa.nulls(len(size), pa.binary()), _blobs(back, size)], names=names)
+        if often.any():
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([value[at][often].tobytes()], pa.binary()),
+                 pa.array([total[often].tobytes()], pa.binary())], names=names)
+
+    counts = stage(docs.select("uid", "text")
+                   .mapInArrow(cut, "piece long, part int, shingles binary, counts binary")
+                   .repartition(parts, "part").mapInArrow(add, "piece long, part int, shingles binary, n binary"),
+                   "counts")
+    table = counts.filter("piece is null").select("shingles", "n").toArrow()
+    free(docs.select("uid"))  # the shuffle, which is larger than the texts; a job's last one is still in use
+    value = np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64)
+    count = np.frombuffer(b"".join(table.column("n").to_pylist()), np.int64)
     order = np.argsort(value)
-    return Weights(value[order], rows.column("n").to_numpy()[order], n, least)
+    return Weights(value[order], count[order], n, least, counts, parts)
 
 
 class Sampler:
@@ -221,24 +279,58 @@ class Sampler:
 
 
 def _signed(docs: DataFrame, weights: Weights, bands: int, rows: int) -> DataFrame:
-    """Per row: its word-sequence hash ``s1, s2`` and its samples."""
+    """Per row: its word-sequence hash ``s1, s2``, its samples, and the
+    frequencies ``n`` of its shingles that are not in the table. The rows of a
+    piece meet the frequencies that went back to it."""
     kind = docs.schema["id"].dataType.simpleString()
+    chunk = F.shiftright("uid", CHUNK).alias("chunk")
+    kept = ["uid", "id", "t1", "t2"]
+    mine = docs.select(chunk, *kept, "text", F.lit(_TEXT).alias("part"), F.lit(None).cast("binary").alias("n"))
+    back = weights.back.filter("piece is not null").withColumnRenamed("piece", "uid").select(
+        chunk, "uid", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in (*kept[1:], "text")], "part", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hearth.llm.textvec import groups
         sampler = Sampler(bands * rows)
-        for batch in batches:
-            for first, group in groups(batch.column("text").to_pylist()):
-                seq, text, value, count = shingles(group)
-                sig = sampler.samples(text, value, weights.levels(value, count), len(group))
+
+        def signed(few: list[bytes], held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            docs = pa.Table.from_batches(held).combine_chunks()
+            parts = [(first, group, shingles(group)) for first, group in groups(docs.column("text").to_pylist())]
+            every, at = np.unique(np.concatenate([p[2][2] for p in parts]), return_inverse=True)
+            n, done = weights.few_of(few), 0
+            if len(n) != len(every):
+                raise RuntimeError(f"{len(n)} frequencies came back for {len(every)} shingles")
+            for first, group, (seq, text, value, count) in parts:
+                own = n[at[done:done + len(value)]]
+                done += len(value)
+                sig = sampler.samples(text, value, weights.levels(value, count, own), len(group))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(first, len(group)) for c in ("id", "t1", "t2")],
+                    [*[docs.column(c).slice(first, len(group)).combine_chunks() for c in kept],
                      pa.array(seq[0].view(np.int64)), pa.array(seq[1].view(np.int64)),
-                     pa.array([row.tobytes() for row in sig], pa.binary())],
-                    names=["id", "t1", "t2", "s1", "s2", "sig"])
+                     pa.array([row.tobytes() for row in sig], pa.binary()),
+                     _blobs(own, np.bincount(text, minlength=len(group)))],
+                    names=[*kept, "s1", "s2", "sig", "n"])
 
-    return docs.select("id", "text", "t1", "t2").mapInArrow(
-        run, f"id {kind}, t1 long, t2 long, s1 long, s2 long, sig binary")
+        few: list[bytes] = []
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            text = batch.column("part").to_numpy() == _TEXT
+            cuts = np.flatnonzero(text[1:] != text[:-1]) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True):
+                if a == b:
+                    continue
+                if text[a]:
+                    held.append(batch.select([*kept, "text"]).slice(a, b - a))
+                    continue
+                if held:  # the next piece
+                    yield from signed(few, held)
+                    few, held = [], []
+                few += batch.column("n").slice(a, b - a).to_pylist()
+        if held:
+            yield from signed(few, held)
+
+    return mine.unionByName(back).repartition(weights.parts, "chunk").sortWithinPartitions("uid", "part").mapInArrow(
+        run, f"uid long, id {kind}, t1 long, t2 long, s1 long, s2 long, sig binary, n binary")
 
 
 def _band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -257,11 +349,13 @@ def _agree(a: str, b: str, n: int) -> object:
     return F.aggregate(parts, F.lit(0), lambda x, y: x + y) / F.lit(float(n))
 
 
-def weighted_jaccard(xs: list[str], ys: list[str], weights: Weights) -> np.ndarray:
-    """The similarity of each pair of texts; 1 for two texts without words."""
+def weighted_jaccard(xs: list[str], ys: list[str], weights: Weights,
+                     few: list[bytes] | None = None) -> np.ndarray:
+    """The similarity of each pair of texts; 1 for two texts without words.
+    ``few``: the frequencies that came with the texts, first those of ``xs``."""
     n = len(xs)
     _, text, value, count = shingles([*xs, *ys])
-    weight = weights.of(value, count)
+    weight = weights.of(value, count, weights.few_of(few))
     pair = text % n
     order = np.lexsort((value, pair))
     pair, value, weight = pair[order], value[order], weight[order]
@@ -273,25 +367,31 @@ def weighted_jaccard(xs: list[str], ys: list[str], weights: Weights) -> np.ndarr
 
 def _verify(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
     """The pairs ``(a, b)`` whose texts reach the threshold."""
-    left = stage(merged(pairs, texts.select(F.col("uid").alias("a"), F.col("text").alias("x")), "a"), "left")
-    both = merged(left, texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
+    def end(uid: str, text: str, n: str) -> DataFrame:
+        return texts.select(F.col("uid").alias(uid), F.col("text").alias(text), F.col("n").alias(n))
+
+    left = stage(merged(pairs, end("a", "x", "xn"), "a"), "left")
+    both = merged(left, end("b", "y", "yn"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hearth.llm.textvec import groups
         for batch in batches:
-            xs, ys = batch.column("x").to_pylist(), batch.column("y").to_pylist()
+            xs, ys, xn, yn = (batch.column(c).to_pylist() for c in ("x", "y", "xn", "yn"))
             for first, group in groups([x + y for x, y in zip(xs, ys, strict=True)]):
                 last = first + len(group)
-                ok = weighted_jaccard(xs[first:last], ys[first:last], weights) >= threshold
+                ok = weighted_jaccard(xs[first:last], ys[first:last], weights,
+                                      xn[first:last] + yn[first:last]) >= threshold
                 yield batch.select(["a", "b"]).slice(first, len(group)).filter(pa.array(ok))
 
-    return stage(both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"), "verified")
+    return stage(both.select("a", "b", "x", "y", "xn", "yn").mapInArrow(run, "a long, b long"), "verified")
 
 
-def similar(few: list[str], every: list[str], weights: Weights, threshold: float) -> Iterator[np.ndarray]:
-    """For each text of ``few``, the places in ``every`` that reach the threshold."""
+def similar(few: list[str], every: list[str], weights: Weights, threshold: float,
+            n: list[bytes] | None = None) -> Iterator[np.ndarray]:
+    """For each text of ``few``, the places in ``every`` that reach the threshold.
+    ``n``: the frequencies that came with the texts, first those of ``few``."""
     _, text, value, count = shingles([*few, *every])
-    weight = weights.of(value, count)
+    weight = weights.of(value, count, weights.few_of(n))
     total = np.bincount(text, weights=weight, minlength=len(few) + len(every))
     first = np.searchsorted(text, np.arange(len(few) + 1))
     rest = np.arange(first[-1], len(text))
@@ -300,9 +400,9 @@ def similar(few: list[str], every: list[str], weights: Weights, threshold: float
     for i in range(len(few)):
         own = slice(first[i], first[i + 1])
         lo = np.searchsorted(values, value[own])
-        n = np.searchsorted(values, value[own], side="right") - lo
-        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        low = np.bincount(owner[at], weights=np.minimum(other[at], np.repeat(weight[own], n)),
+        met = np.searchsorted(values, value[own], side="right") - lo
+        at = np.repeat(lo - (np.cumsum(met) - met), met) + np.arange(int(met.sum()))
+        low = np.bincount(owner[at], weights=np.minimum(other[at], np.repeat(weight[own], met)),
                           minlength=len(every))
         yield np.flatnonzero(low >= threshold * np.maximum(total[i] + total[len(few):] - low, 1e-12))
 
@@ -325,21 +425,22 @@ def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, weights: Wei
 
     def blocked(df: DataFrame, blocks: str, name: str) -> DataFrame:
         block = F.pmod(F.xxhash64("uid"), F.greatest(F.col(blocks), F.lit(1))).alias("block")
-        return df.groupBy("key", block).agg(F.collect_list(F.struct("uid", "cls", "text")).alias(name)).drop("block")
+        return df.groupBy("key", block).agg(F.collect_list(F.struct("uid", "cls", "text", "n")).alias(name)).drop("block")
 
     few, all_of = blocked(rows.filter("cls <> main"), "few_blocks", "few"), blocked(rows, "all_blocks", "every")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(col, i):
             v = col[i].values
-            return v.field("uid").to_numpy(), v.field("cls").to_numpy(), v.field("text").to_pylist()
+            return (v.field("uid").to_numpy(), v.field("cls").to_numpy(), v.field("text").to_pylist(),
+                    v.field("n").to_pylist())
 
         for batch in batches:
             out = []
             for i in range(batch.num_rows):
-                fu, fc, ft = parts(batch.column("few"), i)
-                eu, ec, et = parts(batch.column("every"), i)
-                for u, c, hit in zip(fu, fc, similar(ft, et, weights, threshold), strict=True):
+                fu, fc, ft, fn = parts(batch.column("few"), i)
+                eu, ec, et, en = parts(batch.column("every"), i)
+                for u, c, hit in zip(fu, fc, similar(ft, et, weights, threshold, fn + en), strict=True):
                     hit = hit[ec[hit] != c]
                     for e in eu[hit[np.unique(ec[hit], return_index=True)[1]]]:
                         out.append((min(u, e), max(u, e)))
@@ -354,15 +455,17 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``uid, id, t1, t2, cls``: a row per input row (its id and text hashes);
     rows of one class share ``cls``."""
     text = text_of(text_col)
-    docs = df.select(F.col(id_col).alias("id"), text.alias("text"),
-                     F.xxhash64(text).alias("t1"), F.xxhash64(text, F.lit(1)).alias("t2"))
+    docs = stage(df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("t1"),
+                           F.xxhash64(text, F.lit(1)).alias("t2"))
+                 .withColumn("uid", F.monotonically_increasing_id()), "docs")
     weights = document_frequencies(docs)
-    signed = stage(_signed(docs, weights, bands, rows).withColumn("uid", F.monotonically_increasing_id()), "signed")
+    signed = stage(_signed(docs, weights, bands, rows), "signed")
     firsts = stage(signed.groupBy("s1", "s2").agg(F.min("uid").alias("rep")), "firsts")
+    free(weights.back)
     named = stage(merged(signed.select("uid", "id", "t1", "t2", "s1", "s2"), firsts, ["s1", "s2"])
                   .select("uid", "id", "t1", "t2", "rep"), "named")
     reps = merged(signed, firsts.select(F.col("rep").alias("uid")), "uid", "left_semi")
-    sigs = stage(reps.select("uid", "id", "t1", "t2", "sig"), "reps")
+    sigs = stage(reps.select("uid", "sig"), "reps")
     keys = stage(_band_keys(sigs, bands, rows), "bands")
     # A leader per bucket, by a hash so that buckets of one family differ.
     buckets = stage(keys.groupBy("key").agg(
@@ -378,16 +481,14 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = stage(star.filter(F.col("two") | (_agree("sa", "sb", n) >= least)).select("a", "b"), "pairs")
 
     involved = members.select("uid").distinct()
-    wanted = stage(sigs.join(involved, "uid", "left_semi").select("uid", "id", "t1", "t2"), "wanted")
+    wanted = stage(merged(signed.select("uid", "n"), involved, "uid", "left_semi"), "wanted")
     # A table of at most 2^20 hash values lets most other documents go before
     # the texts are shuffled.
-    near = F.pmod(F.col("t1"), F.lit(1 << 20))
-    some = docs.join(F.broadcast(wanted.select(near.alias("near")).distinct()), near == F.col("near"), "left_semi")
-    fetched = merged(some, wanted.select("uid", F.col("id").alias("wid"), F.col("t1").alias("w1"),
-                                         F.col("t2").alias("w2")),
-                     F.col("id").eqNullSafe(F.col("wid")) & (F.col("t1") == F.col("w1"))
-                     & (F.col("t2") == F.col("w2")))
-    texts = stage(fetched.select("uid", "text").dropDuplicates(["uid"]), "texts")
+    near = F.pmod(F.xxhash64("uid"), F.lit(1 << 20))
+    some = docs.select("uid", "text").join(
+        F.broadcast(wanted.select(near.alias("near")).distinct()), near == F.col("near"), "left_semi")
+    texts = stage(merged(some, wanted, "uid"), "texts")
+    free(docs, wanted)
     links = _verify(pairs, texts, weights, threshold)
     classes = components(links)
     more = stage(_rest(members.select("key", "uid"), classes, texts, weights, threshold), "more")

@@ -141,3 +141,29 @@ def test_the_pair_of_a_bucket_of_two_is_always_verified(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in module.near_dedup(df).collect()}
     assert got == {i: i - i % 2 for i in range(60)}
+
+
+def by_pairs(rows):
+    """The classes by the similarity of all pairs, with weights counted one by one."""
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a)]
+    sim = weighted_jaccard([rows[a][1] for a, _ in pairs], [rows[b][1] for _, b in pairs], exact(rows))
+    return union_find([i for i, _ in rows], [p for p, s in zip(pairs, sim, strict=True) if s >= THRESHOLD])
+
+
+def test_every_shingle_weighs_by_its_own_frequency(spark, monkeypatch):
+    from hearth.llm import near_dedup as module
+    passage = " ".join(f"b{j}" for j in range(24))
+    rows = []
+    for i in range(10):  # one with and one without a passage that 50 of 60 documents have
+        own = " ".join(f"p{i}w{j}" for j in range(60))
+        rows += [(2 * i, own), (2 * i + 1, f"{own} {passage}")]
+    rows += [(20 + i, " ".join([passage, *(f"o{i}w{j}" for j in range(30))])) for i in range(40)]
+    want = by_pairs(rows)
+    assert want == {i: i - i % 2 if i < 20 else i for i in range(60)}
+    monkeypatch.setattr(module, "FREQUENT", 1)  # as in a large corpus: the table of the frequent ones has none of these
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.class_id for r in module.near_dedup(df).collect()} == want
+    for held in (100, 1 << 20):  # many pieces, or one per task
+        monkeypatch.setattr(module, "HELD", held)
+        assert {r.doc_id: r.class_id for r in module.near_dedup(df).collect()} == want
+    assert module.drop_near_copies(df).count() == 50
