@@ -3,7 +3,10 @@
 A document is the weighted set of its five-word shingles (lower-case words;
 one shingle of all words where there are fewer): term frequency times inverse
 document frequency. Two documents are linked when their weighted Jaccard
-similarity is ``THRESHOLD`` or more; classes are the connected components.
+similarity or the plain one of their sets of shingles is ``THRESHOLD`` or more
+(within a large group of copies, what the copies share weighs little and each
+edit much, so that the weighted one alone falls as the group grows); classes are
+the connected components.
 
 1. Document frequencies over the whole corpus, exact for every shingle: each
    task counts the shingles of a piece of its documents and sends the sorted
@@ -14,9 +17,10 @@ similarity is ``THRESHOLD`` or more; classes are the connected components.
    by slice to the piece they came from, in the order in which they were sent, and
    from there with each document as far as it goes.
 2. Improved consistent weighted sampling draws ``BANDS x ROWS`` samples per
-   document; a pair of similarity s agrees in each with probability s. At 0.8
-   a pair misses every band with probability 3e-5. For the sampling alone,
-   weights are rounded to steps of an eighth in the logarithm.
+   document, and min-hashing as many of the plain set; a pair of similarity s
+   agrees in each of the one or the other with probability s. At 0.8 a pair
+   misses every band with probability 3e-5. For the sampling alone, weights are
+   rounded to steps of an eighth in the logarithm.
 3. Documents of equal word sequence are one class at once; only one of each
    goes on. In each bucket (band and its samples) every member is compared
    with one leader, which is linear in the bucket's size.
@@ -26,9 +30,9 @@ similarity is ``THRESHOLD`` or more; classes are the connected components.
    ``BLOCK_CHARS`` characters whose texts meet in one row. Nothing is capped,
    only links are sent on, and a bucket whose members already form one class
    costs nothing more.
-5. Every link is verified by the weighted Jaccard similarity of both texts. A
-   member's pair with its leader is passed over if their samples agree in less
-   than ``THRESHOLD - SURE`` of all: at a similarity of exactly 0.8 that happens
+5. Every link is verified by the similarities of both texts. A member's pair
+   with its leader is passed over if their samples, weighted and plain, agree in
+   less than ``THRESHOLD - SURE`` of all: at a similarity of exactly 0.8 that happens
    with probability 0.28 %, and less above. Such a pair is met again in step 4,
    which leaves out buckets of two; so the pair of such a bucket is always
    verified.
@@ -60,6 +64,7 @@ HELD = 1 << 20  # shingles that a task counts before it sends them on
 CHUNK = 10  # bits: a piece lies within so many documents in a row
 PART_BYTES = 16 << 20  # of text, for each task that adds up
 BLOCK_CHARS = 1 << 20
+ORDERS = 4
 _TEXT = (1 << 31) - 1  # in the place of a slice: a document, after all slices
 SURE = 0.13  # three standard deviations of the share of equal samples
 STEP = 0.125  # sampled weights are rounded to this in their logarithm
@@ -277,10 +282,23 @@ class Sampler:
             out[who, j] = (mix(np.minimum.reduceat(rank, first)) >> np.uint64(32)).astype(np.uint32)
         return out
 
+    def plain(self, text: np.ndarray, value: np.ndarray, n_texts: int) -> np.ndarray:
+        """The same of the sets, all elements of equal weight: the least of
+        their multiples, as the hashes are random already."""
+        from hearth.llm.textvec import mix
+        out = np.zeros((n_texts, len(self.odd)), np.uint32)
+        if not len(text):
+            return out
+        first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        who = text[first]
+        for j, odd in enumerate(self.odd):
+            out[who, j] = (mix(np.minimum.reduceat(value * odd, first)) >> np.uint64(32)).astype(np.uint32)
+        return out
+
 
 def _signed(docs: DataFrame, weights: Weights, bands: int, rows: int) -> DataFrame:
-    """Per row: its word-sequence hash ``s1, s2``, its samples, and the
-    frequencies ``n`` of its shingles that are not in the table. The rows of a
+    """Per row: its word-sequence hash ``s1, s2``, its samples (16 bits of
+    each, weighted and then plain), and the frequencies ``n`` of its shingles that are not in the table. The rows of a
     piece meet the frequencies that went back to it."""
     kind = docs.schema["id"].dataType.simpleString()
     chunk = F.shiftright("uid", CHUNK).alias("chunk")
@@ -303,7 +321,8 @@ def _signed(docs: DataFrame, weights: Weights, bands: int, rows: int) -> DataFra
             for first, group, (seq, text, value, count) in parts:
                 own = n[at[done:done + len(value)]]
                 done += len(value)
-                sig = sampler.samples(text, value, weights.levels(value, count, own), len(group))
+                sig = np.concatenate([sampler.samples(text, value, weights.levels(value, count, own), len(group)),
+                                      sampler.plain(text, value, len(group))], axis=1).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
                     [*[docs.column(c).slice(first, len(group)).combine_chunks() for c in kept],
                      pa.array(seq[0].view(np.int64)), pa.array(seq[1].view(np.int64)),
@@ -334,35 +353,43 @@ def _signed(docs: DataFrame, weights: Weights, bands: int, rows: int) -> DataFra
 
 
 def _band_keys(reps: DataFrame, bands: int, rows: int) -> DataFrame:
-    """``uid, key``: one row per document and band."""
-    width = 4 * rows
+    """``uid, key``: one row per document and band, weighted or plain."""
+    width = 2 * rows
     return reps.select("uid", F.posexplode(F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
+        F.sequence(F.lit(0), F.lit(2 * bands - 1)),
         lambda b: F.xxhash64(b, F.substring(F.col("sig"), b * width + 1, F.lit(width))))).alias("band", "key")
     ).select("uid", "key")
 
 
 def _agree(a: str, b: str, n: int) -> object:
-    """The share of equal samples of two signature columns."""
-    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(
-        F.substring(F.col(a), i * 4 + 1, F.lit(4)) == F.substring(F.col(b), i * 4 + 1, F.lit(4)), 1).otherwise(0))
-    return F.aggregate(parts, F.lit(0), lambda x, y: x + y) / F.lit(float(n))
+    """The share of equal samples of two signature columns, the larger one of
+    the ``n`` weighted and the ``n`` plain samples."""
+    def share(first: int) -> object:
+        parts = F.transform(F.sequence(F.lit(first), F.lit(first + n - 1)), lambda i: F.when(
+            F.substring(F.col(a), i * 2 + 1, F.lit(2)) == F.substring(F.col(b), i * 2 + 1, F.lit(2)), 1).otherwise(0))
+        return F.aggregate(parts, F.lit(0), lambda x, y: x + y) / F.lit(float(n))
+
+    return F.greatest(share(0), share(n))
 
 
 def weighted_jaccard(xs: list[str], ys: list[str], weights: Weights,
                      few: list[bytes] | None = None) -> np.ndarray:
-    """The similarity of each pair of texts; 1 for two texts without words.
-    ``few``: the frequencies that came with the texts, first those of ``xs``."""
+    """The similarity of each pair of texts, the larger one of the weighted and
+    the plain; 1 for two texts without words. ``few``: the frequencies that came with the texts, first those of ``xs``."""
     n = len(xs)
     _, text, value, count = shingles([*xs, *ys])
     weight = weights.of(value, count, weights.few_of(few))
     pair = text % n
     order = np.lexsort((value, pair))
     pair, value, weight = pair[order], value[order], weight[order]
-    total = np.bincount(pair, weights=weight, minlength=n)
     same = np.flatnonzero((pair[1:] == pair[:-1]) & (value[1:] == value[:-1]))
-    low = np.bincount(pair[same], weights=np.minimum(weight[same], weight[same + 1]), minlength=n)
-    return np.where(total > 0, low / np.maximum(total - low, 1e-12), 1.0)
+
+    def ratio(weight: np.ndarray) -> np.ndarray:
+        total = np.bincount(pair, weights=weight, minlength=n)
+        low = np.bincount(pair[same], weights=np.minimum(weight[same], weight[same + 1]), minlength=n)
+        return np.where(total > 0, low / np.maximum(total - low, 1e-12), 1.0)
+
+    return np.maximum(ratio(weight), ratio(np.ones(len(weight))))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
@@ -388,11 +415,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: flo
 
 def similar(few: list[str], every: list[str], weights: Weights, threshold: float,
             n: list[bytes] | None = None) -> Iterator[np.ndarray]:
-    """For each text of ``few``, the places in ``every`` that reach the threshold.
+    """For each text of ``few``, the places in ``every`` whose weighted or plain
+    similarity reaches the threshold.
     ``n``: the frequencies that came with the texts, first those of ``few``."""
     _, text, value, count = shingles([*few, *every])
     weight = weights.of(value, count, weights.few_of(n))
     total = np.bincount(text, weights=weight, minlength=len(few) + len(every))
+    size = np.bincount(text, minlength=len(few) + len(every))
     first = np.searchsorted(text, np.arange(len(few) + 1))
     rest = np.arange(first[-1], len(text))
     rest = rest[np.argsort(value[rest], kind="stable")]
@@ -404,7 +433,9 @@ def similar(few: list[str], every: list[str], weights: Weights, threshold: float
         at = np.repeat(lo - (np.cumsum(met) - met), met) + np.arange(int(met.sum()))
         low = np.bincount(owner[at], weights=np.minimum(other[at], np.repeat(weight[own], met)),
                           minlength=len(every))
-        yield np.flatnonzero(low >= threshold * np.maximum(total[i] + total[len(few):] - low, 1e-12))
+        both = np.bincount(owner[at], minlength=len(every))
+        yield np.flatnonzero((low >= threshold * np.maximum(total[i] + total[len(few):] - low, 1e-12))
+                             | (both >= threshold * np.maximum(size[i] + size[len(few):] - both, 1e-12)))
 
 
 def _rest(members: DataFrame, classes: DataFrame, texts: DataFrame, weights: Weights, threshold: float) -> DataFrame:
@@ -467,9 +498,10 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     reps = merged(signed, firsts.select(F.col("rep").alias("uid")), "uid", "left_semi")
     sigs = stage(reps.select("uid", "sig"), "reps")
     keys = stage(_band_keys(sigs, bands, rows), "bands")
-    # A leader per bucket, by a hash so that buckets of one family differ.
+    # A leader per bucket, by a hash so that buckets of one family differ; of
+    # ORDERS hashes, so that most of its members meet few leaders, not one per band.
     buckets = stage(keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("uid", F.xxhash64("key", "uid")).alias("leader"))
+        F.count(F.lit(1)).alias("n"), F.min_by("uid", F.xxhash64(F.pmod("key", F.lit(ORDERS)), "uid")).alias("leader"))
         .filter("n > 1").select("key", "leader", (F.col("n") == 2).alias("two")), "buckets")
     members = stage(merged(keys, buckets, "key"), "members")
     n, least = bands * rows, threshold - SURE

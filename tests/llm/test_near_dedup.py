@@ -167,3 +167,28 @@ def test_every_shingle_weighs_by_its_own_frequency(spark, monkeypatch):
         monkeypatch.setattr(module, "HELD", held)
         assert {r.doc_id: r.class_id for r in module.near_dedup(df).collect()} == want
     assert module.drop_near_copies(df).count() == 50
+
+
+def test_a_large_group_of_near_copies_stays_together(spark):
+    rng = random.Random(6)
+    base = [f"w{j}" for j in range(200)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 120):  # four edits each: 0.81 to the base plain, 0.7 by weights, as 120 documents share the rest
+        w = list(base)
+        for j in rng.sample(range(10, 190, 10), 4):
+            w[j] = f"e{i}x{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(120 + i, " ".join(f"o{i}w{j}" for j in range(60))) for i in range(280)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.class_id, r.class_size) for r in near_dedup(df).collect()}
+    assert got == {i: (0, 120) if i < 120 else (i, 1) for i in range(400)}
+
+
+def test_plain_samples_agree_with_the_similarity():
+    rng = np.random.default_rng(3)
+    values = np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    sampler = Sampler(2000)
+    keep = rng.random(300) < 0.8
+    one = sampler.plain(np.zeros(300, np.int64), values, 1)[0]
+    two = sampler.plain(np.zeros(keep.sum(), np.int64), values[keep], 1)[0]
+    assert abs((one == two).mean() - keep.mean()) < 0.04
